@@ -1 +1,6 @@
-"""Named queries over the TPC-H-like test tables, each with its SQL oracle where one exists."""
+"""Named queries over the test tables, each with its SQL oracle where one exists."""
+
+from tapeworks.plans import warehouse  # noqa: F401
+from tapeworks.plans.catalog import CATALOG
+
+__all__ = ["CATALOG"]
