@@ -10,23 +10,21 @@ TEXT_TIMESTAMP = "yyyy-MM-dd HH:mm:ss"
 
 def date_key(date: Column) -> Column:
     """Date to the int key yyyyMMdd."""
-    return F.date_format(date, "yyyyMMdd").cast("int")
+    return F.year(date) * 10000 + F.month(date) * 100 + F.dayofmonth(date)
 
 
 def clock_key(text: Column) -> Column:
     """``HH:mm:ss`` text to the int key HHmmss; text of another form gives NULL."""
-    return F.date_format(F.try_to_timestamp(F.trim(text), F.lit("HH:mm:ss")), "HHmmss").cast("int")
+    text = F.trim(text)
+    valid = text.rlike("^([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]$")
+    return F.when(valid, F.replace(text, F.lit(":"), F.lit("")).cast("int"))
 
 
 def clock_text(seconds_of_day: Column) -> Column:
     """Seconds since midnight to ``HH:mm:ss``."""
-    part = lambda value: F.lpad(value.cast("int").cast("string"), 2, "0")
-    return F.concat_ws(
-        ":",
-        part(F.floor(seconds_of_day / 3600)),
-        part(F.floor(seconds_of_day / 60) % 60),
-        part(seconds_of_day % 60),
-    )
+    hours, minutes = (seconds_of_day / 3600).cast("int"), (seconds_of_day / 60).cast("int") % 60
+    digits = (F.lit(1_000_000) + hours * 10000 + minutes * 100 + seconds_of_day % 60).cast("string")
+    return F.concat_ws(":", *[F.substring(digits, start, 2) for start in (2, 4, 6)])
 
 
 def trading_date(text: Column) -> Column:

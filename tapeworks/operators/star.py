@@ -16,6 +16,7 @@ from tapeworks.schemas import (
 )
 
 MONEY = "decimal(18,2)"
+DATE_KEY, MONTH = "tradingdate_key", "trading_month"
 
 
 class Link(NamedTuple):
@@ -188,60 +189,67 @@ def index_facts(raw: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
 # Loads
 
 
-def new_rows(
-    facts: DataFrame, existing: DataFrame, keys: Sequence[str], batch_dates: DataFrame, slice_key: str = "tradingdate_key"
-) -> DataFrame:
+def new_rows(facts: DataFrame, existing: DataFrame, keys: Sequence[str], batch_dates: DataFrame) -> DataFrame:
     """Fact rows not yet stored, over all dates of the batch in one pass.
 
-    Stored rows of other dates are left out by a semi join that prunes the partitions of a table
-    partitioned by ``slice_key``. ``batch_dates`` holds one row per calendar day of the batch.
+    Stored rows of other dates are left out before the anti join. ``batch_dates`` holds the date
+    keys of the batch: at most one row per calendar day once made distinct.
     """
-    days = batch_dates.select(F.col(slice_key).alias("_day")).distinct()
-    touched = existing.join(F.broadcast(days), F.col(slice_key).eqNullSafe(F.col("_day")), "left_semi")
+    days = batch_dates.select(F.col(DATE_KEY).alias("_day")).distinct()
+    touched = existing.join(F.broadcast(days), F.col(DATE_KEY).eqNullSafe(F.col("_day")), "left_semi")
     return not_in(facts, touched, keys)
 
 
-def append_facts(new: DataFrame, path: str, slice_key: str = "tradingdate_key") -> int:
-    """Append to a partitioned table and return the number of rows written.
+def month_of(day_key: Column) -> Column:
+    """Partition value of a fact: yyyyMM, or 0 where the date is not in the dimension."""
+    return F.coalesce((day_key / 100).cast("int"), F.lit(0))
 
-    The rebalance hint groups rows by date and lets Spark split a date that holds many rows.
+
+def append_facts(new: DataFrame, path: str) -> int:
+    """Append to a table partitioned by month and return the number of rows written.
+
+    The rebalance hint groups rows by month into files of even size and lets Spark split a month
+    that holds many rows. A month is coarse enough to keep files large; days are found within it
+    by the row-group statistics of the date key, for which the rows are sorted.
     """
     written = Observation()
     (
         new.observe(written, F.count(F.lit(1)).alias("rows"))
-        .hint("rebalance", slice_key)
-        .write.mode("append").partitionBy(slice_key).parquet(path)
+        .withColumn(MONTH, month_of(F.col(DATE_KEY)))
+        .hint("rebalance", MONTH)
+        .sortWithinPartitions(MONTH, DATE_KEY)
+        .write.mode("append").partitionBy(MONTH).parquet(path)
     )
     return written.get["rows"]
 
 
 def read_facts(spark: SparkSession, table: str, path: str) -> DataFrame:
-    return spark.read.schema(TABLES[table]).parquet(path)
+    return spark.read.schema(f"{TABLES[table]}, {MONTH} int").parquet(path)
 
 
 def load_facts(facts: DataFrame, table: str, path: str, batch_dates: DataFrame | None = None) -> int:
     """One incremental load of ``facts`` into the table at ``path``; running it again adds nothing.
 
     ``batch_dates`` (the date keys of the raw batch, cheap to scan) saves computing the facts twice.
+    Only partitions of the batch's months are read.
     """
     spark = facts.sparkSession
-    slice_key = "tradingdate_key"
-    create_if_missing(spark, table, path, slice_key)
-    stored = read_facts(spark, table, path)
-    days = facts.select(slice_key) if batch_dates is None else batch_dates
-    fresh = new_rows(facts, stored, NATURAL_KEYS[table], days, slice_key)
-    return append_facts(fresh, path, slice_key)
+    create_if_missing(spark, table, path)
+    days = facts.select(DATE_KEY) if batch_dates is None else batch_dates
+    # date keys that are not in the dimension are stored as NULL, month 0
+    days = days.select(DATE_KEY).unionByName(spark.createDataFrame([(None,)], f"{DATE_KEY} int"))
+    months = days.select(month_of(F.col(DATE_KEY)).alias(MONTH)).distinct()
+    stored = read_facts(spark, table, path).join(F.broadcast(months), MONTH, "left_semi")
+    return append_facts(new_rows(facts, stored, NATURAL_KEYS[table], days), path)
 
 
-def create_if_missing(spark: SparkSession, table: str, path: str, slice_key: str | None = None) -> None:
-    """Create an empty table unless one is there."""
-    empty = spark.createDataFrame([], TABLES[table])
-    writer = empty.write.mode("ignore")
-    (writer.partitionBy(slice_key) if slice_key else writer).parquet(path)
+def create_if_missing(spark: SparkSession, table: str, path: str) -> None:
+    """Create an empty fact table unless one is there."""
+    spark.createDataFrame([], f"{TABLES[table]}, {MONTH} int").write.mode("ignore").partitionBy(MONTH).parquet(path)
 
 
-def rows_per_day(rows: DataFrame, slice_key: str = "tradingdate_key") -> DataFrame:
-    return rows.groupBy(slice_key).agg(F.count("*").alias("new_rows"))
+def rows_per_day(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(DATE_KEY).agg(F.count("*").alias("new_rows"))
 
 
 # Reads of the star

@@ -6,6 +6,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from tapeworks.operators.merge import surrogate_keys
 from tapeworks.operators.star import date_members, name_members, symbol_members, time_members
 from tapeworks.schemas import CHANNELS
 from tapeworks.session import staged
+from tapeworks.sources.files import spread
 
 # The declared schemas of the test tables used.
 SCHEMAS = {
@@ -53,9 +56,11 @@ class Inputs:
 
     # Raw market tables
 
-    def trades(self) -> DataFrame:
+    def trades(self, dealt_out: bool = True) -> DataFrame:
+        """Trades; ``dealt_out`` where heavy work per row follows, not for the scan of a column."""
         quantity = F.col("l_quantity").cast("bigint")
-        rows = self.table("lineitem").withColumns(
+        rows = spread(self.table("lineitem")) if dealt_out else self.table("lineitem")
+        rows = rows.withColumns(
             {
                 "_px": F.expr("(2 * cast(round(l_extendedprice * 100) as bigint) + cast(l_quantity as bigint))"
                               " div (2 * cast(l_quantity as bigint))"),
@@ -209,7 +214,7 @@ class Inputs:
 
     def members(self, name: str) -> DataFrame:
         if name == "dim_date":
-            return date_members(self.trades())
+            return date_members(self.trades(dealt_out=False))
         if name == "dim_time":
             return time_members(self.quotes())
         if name == "dim_symbol":
@@ -217,12 +222,16 @@ class Inputs:
         source, column, member, key = {
             "dim_exchange": (self.index_values, "exchange", "exchange_name", "exchange_key"),
             "dim_index": (self.index_values, "index_name", "index_name", "index_key"),
-            "dim_session": (self.trades, "trading_session", "trading_session", "trading_session_key"),
+            "dim_session": (
+                lambda: self.trades(dealt_out=False), "trading_session", "trading_session", "trading_session_key"
+            ),
         }[name]
         return surrogate_keys(name_members(source(), column, member), member, key)
 
     def dims(self, *names: str) -> dict[str, DataFrame]:
-        return {name: staged(self.members(name), name) for name in names}
+        """The named dimensions; the writes are independent and run side by side."""
+        with ThreadPoolExecutor(len(names)) as pool:
+            return dict(zip(names, pool.map(lambda name: staged(self.members(name), name), names)))
 
 
 def envelopes(rows: DataFrame, channel: str) -> DataFrame:

@@ -139,6 +139,7 @@ def fact_market_index(t: Inputs) -> DataFrame:
 
 
 def _date_keys(raw: DataFrame) -> DataFrame:
+    """The distinct date keys of a raw batch."""
     return star.dated(raw).select(date_key(F.col("trading_date")).alias("tradingdate_key"))
 
 
@@ -169,7 +170,7 @@ def incremental_by_date(t: Inputs) -> DataFrame:
     trades, dims, path = t.trades(), t.dims(*TRADE_DIMS), scratch_path(t.spark, "fact_trade")
     for batch in (trades.where(F.col("trading_date") < CUTOFF), trades):
         star.load_facts(star.trade_facts(batch, dims), "fact_trade", path, _date_keys(batch))
-    return star.read_facts(t.spark, "fact_trade", path)
+    return star.read_facts(t.spark, "fact_trade", path).drop(star.MONTH)
 
 
 @query("batch_dates", f"SELECT DISTINCT {o.day_key('ts')} AS tradingdate_key FROM events WHERE ts >= '2024-01-28'")
