@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ def tick_order(ts: Column, tick_id: Column | None) -> Column:
     if tick_id is None:
         return F.unix_micros(ts)
     micros = F.unix_micros(ts).cast("decimal(18,0)")
-    return (micros * F.lit(10**19).cast("decimal(20,0)") + tick_id.cast("decimal(19,0)")).cast("decimal(38,0)")
+    return (micros * F.lit(Decimal(10**19)) + tick_id.cast("decimal(19,0)")).cast("decimal(38,0)")
 
 
 def bars(

@@ -6,10 +6,12 @@ they are, and only the sums of a symbol meet.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,9 @@ MODEL = "LAG1"
 FLUSH_KEYS = 5_000
 STATE = ["n", "sx", "sy", "sxx", "sxy"]
 
+# the functions run in tasks travel with the job, so executors need not have the package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 # One lag: price of the next row from the price of this row
 

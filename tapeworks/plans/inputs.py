@@ -208,7 +208,8 @@ class Inputs:
         )
 
     def event_stream(self) -> DataFrame:
-        return self.spark.readStream.schema(SCHEMAS["events"]).parquet(self.path("events"))
+        # a glob serves a single file as well as a folder of files
+        return self.spark.readStream.schema(SCHEMAS["events"]).parquet(f"{self.sf_dir}/{{events}}.parquet")
 
     # Dimensions, written as tables the way the warehouse holds them
 

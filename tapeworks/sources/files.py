@@ -21,9 +21,7 @@ def spread(df: DataFrame) -> DataFrame:
     next shuffle. Scans of many splits are left as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, F.xxhash64(*df.columns))
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def append_table(df: DataFrame, path: str) -> None:
