@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -220,7 +221,10 @@ def append_facts(new: DataFrame, path: str) -> int:
         .sortWithinPartitions(MONTH, DATE_KEY)
         .write.mode("append").partitionBy(MONTH).parquet(path)
     )
-    return written.get["rows"]
+    try:
+        return written.get["rows"]
+    except Py4JJavaError:  # Spark finds there are no rows and drops the metric with the rest of the plan
+        return 0
 
 
 def read_facts(spark: SparkSession, table: str, path: str) -> DataFrame:

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeworks.functions.scaling import minmax_back
-from tapeworks.functions.times import clock_key
+from tapeworks.functions.times import clock_key, date_key
 from tapeworks.operators import forecast, merge, series, ticks
 from tapeworks.plans import oracle as o
 from tapeworks.plans.catalog import query
 from tapeworks.plans.inputs import Inputs
 from tapeworks.schemas import FEATURES
+from tapeworks.session import staged
 
 MARK = "1999-06-30"
 SERIES_SQL = (o.TRADE, o.SERIES)
@@ -33,7 +34,7 @@ def _daily(t: Inputs) -> DataFrame:
 def _marks(rows: DataFrame) -> DataFrame:
     """Two symbols of three have been trained up to the mark."""
     trained = rows.where((F.col("symbol").cast("int") % 3 != 0) & (F.col("tradingdate") <= MARK))
-    return trained.groupBy("symbol").agg(F.max("tradingdate").alias("last_train_date"))
+    return staged(trained.groupBy("symbol").agg(F.max("tradingdate").alias("last_train_date")), "marks")
 
 
 # Series
@@ -192,7 +193,7 @@ def incremental_sequences(t: Inputs) -> DataFrame:
     )
 
 
-# Sequences over single trades: a symbol's trades are cut into months
+# Sequences over single trades; a busy symbol's trades are cut at hours
 
 TICK_ORDER = ["tradingdate", "time_key", "last_price", "avg_price", "total_val", "change", "ratio_change"]
 TICK_LENGTH = 10
@@ -202,7 +203,7 @@ def _tick_rows(t: Inputs) -> DataFrame:
     return t.trades().select(
         F.trim("symbol").alias("symbol"),
         F.col("trading_date").alias("tradingdate"),
-        F.date_trunc("month", "trading_date").cast("date").alias("month"),
+        (date_key(F.col("trading_date")) * 100 + F.substring("time", 1, 2).cast("int")).alias("hour_slot"),
         clock_key(F.col("time")).alias("time_key"),
         *FEATURES,
     )
@@ -221,7 +222,7 @@ FROM trade QUALIFY row_number() {_TICK_WINDOW} > {TICK_LENGTH}""",
 )
 def tick_sequences(t: Inputs) -> DataFrame:
     """The prices of the ten trades before each trade."""
-    runs = ticks.tick_sequences(_tick_rows(t), "symbol", "month", TICK_ORDER, ["last_price"], TICK_LENGTH)
+    runs = ticks.tick_sequences(_tick_rows(t), "symbol", "hour_slot", TICK_ORDER, ["last_price"], TICK_LENGTH)
     prices = [F.col("steps")[i]["last_price"].alias(f"price_{i + 1}") for i in range(TICK_LENGTH)]
     return runs.select("symbol", "tradingdate", "time_key", "label", *prices)
 
@@ -235,7 +236,7 @@ def tick_sequences(t: Inputs) -> DataFrame:
 )
 def tick_split(t: Inputs) -> DataFrame:
     """Chronological split of single trades by their position within the symbol."""
-    placed = ticks.with_position(_tick_rows(t), "symbol", "month", TICK_ORDER)
+    placed = ticks.tick_positions(_tick_rows(t), "symbol", "hour_slot", TICK_ORDER)
     is_train = F.col("position") <= F.floor(F.col("total") * 0.8)
     return placed.select("symbol", "last_price", "position", "total", is_train.alias("is_train"))
 
@@ -387,7 +388,7 @@ def incremental_fit(t: Inputs) -> DataFrame:
     """Training up to the mark for some symbols, then training of all symbols on what is newer."""
     daily = _daily(t)
     early = daily.where((F.col("symbol").cast("int") % 3 != 0) & (F.col("tradingdate") <= MARK))
-    state = forecast.incremental_fit(daily, forecast.pair_sums(early))
+    state = forecast.incremental_fit(daily, staged(forecast.pair_sums(early), "model_state"))
     line = forecast.line_of(state).select("symbol", "n", "last_train_date", "lo", "hi", "slope", "intercept")
     return _rounded(line, lo=4, hi=4, slope=6, intercept=4)
 
@@ -411,6 +412,6 @@ def ar_fit(t: Inputs) -> DataFrame:
 def tick_fit(t: Inputs) -> DataFrame:
     """Ten trades of four features, fitted over all trades of a symbol."""
     used = ["last_price", "total_val", "change", "ratio_change"]
-    runs = ticks.tick_sequences(_tick_rows(t), "symbol", "month", TICK_ORDER, used, TICK_LENGTH)
+    runs = ticks.tick_sequences(_tick_rows(t), "symbol", "hour_slot", TICK_ORDER, used, TICK_LENGTH)
     models = forecast.fit_sequences(runs, TICK_LENGTH, used)
     return models.select("symbol", "n", F.round("train_mse", 2).alias("train_mse"))

@@ -18,14 +18,11 @@ def response_rows(responses: DataFrame, body: str, row_schema: str, *keep: str)
 
     Records come back typed by ``row_schema``; a response without records contributes nothing.
     """
-    rows_type = f"array<struct<{row_schema}>>"
-
-    def rows_at(json: Column) -> Column:
-        as_list = F.when(F.ltrim(json).startswith("["), F.from_json(json, rows_type))
-        return F.when(F.size(as_list) > 0, as_list)
-
-    choices = [rows_at(F.col(body)), *[rows_at(F.get_json_object(body, path)) for path in ROW_PATHS]]
-    return responses.select(*keep, F.explode(F.coalesce(*choices)).alias("_row")).select(*keep, "_row.*")
+    filled_list = r"^\s*\[\s*[^\]\s]"
+    texts = [F.col(body), *[F.get_json_object(body, path) for path in ROW_PATHS]]
+    rows_text = F.coalesce(*[F.when(text.rlike(filled_list), text) for text in texts])
+    rows = F.from_json(rows_text, f"array<struct<{row_schema}>>")
+    return responses.select(*keep, F.explode(rows).alias("_row")).select(*keep, "_row.*")
 
 
 def load_rows(rows: DataFrame, fields: Fields, code: str, *keep: str) -> DataFrame:
