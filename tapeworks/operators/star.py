@@ -15,6 +15,7 @@ from tapeworks.operators.merge import first_by_key, surrogate_keys
 from tapeworks.schemas import (
     DEDUPE_KEYS, FEATURES, INDEX_MEASURES, NATURAL_KEYS, TABLES, TRADE_MEASURES, columns_of,
 )
+from tapeworks.session import staged
 
 MONEY = "decimal(18,2)"
 DATE_KEY, MONTH = "tradingdate_key", "trading_month"
@@ -239,11 +240,13 @@ def load_facts(facts: DataFrame, table: str, path: str, batch_dates: DataFrame |
     """
     spark = facts.sparkSession
     create_if_missing(spark, table, path)
-    days = facts.select(DATE_KEY) if batch_dates is None else batch_dates
-    # date keys that are not in the dimension are stored as NULL, month 0
-    days = days.select(DATE_KEY).unionByName(spark.createDataFrame([(None,)], f"{DATE_KEY} int"))
-    months = days.select(month_of(F.col(DATE_KEY)).alias(MONTH)).distinct()
-    stored = read_facts(spark, table, path).join(F.broadcast(months), MONTH, "left_semi")
+    days = facts.select(DATE_KEY) if batch_dates is None else batch_dates.select(DATE_KEY)
+    # date keys that are not in the dimension are stored as NULL, in month 0
+    unknown = spark.createDataFrame([(None,)], f"{DATE_KEY} int")
+    days = staged(days.distinct().unionByName(unknown), "batch_dates")
+    # a literal list prunes partitions when the plan is made; it holds one entry per calendar month
+    months = [row[0] for row in days.select(month_of(F.col(DATE_KEY))).distinct().collect()]
+    stored = read_facts(spark, table, path).where(F.col(MONTH).isin(months))
     return append_facts(new_rows(facts, stored, NATURAL_KEYS[table], days), path)
 
 

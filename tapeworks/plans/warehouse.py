@@ -139,7 +139,7 @@ def fact_market_index(t: Inputs) -> DataFrame:
 
 
 def _date_keys(raw: DataFrame) -> DataFrame:
-    """The distinct date keys of a raw batch."""
+    """The date keys of a raw batch."""
     return star.dated(raw).select(date_key(F.col("trading_date")).alias("tradingdate_key"))
 
 
@@ -147,7 +147,7 @@ def _fresh_trades(t: Inputs) -> DataFrame:
     """Facts of all trades against a warehouse that holds the trades before the cutoff."""
     trades, dims = t.trades(), t.dims(*TRADE_DIMS)
     stored = star.trade_facts(trades.where(F.col("trading_date") < CUTOFF), dims)
-    return star.new_rows(star.trade_facts(trades, dims), stored, NATURAL_KEYS["fact_trade"], _date_keys(trades))
+    return star.new_rows(star.trade_facts(trades, dims), stored, NATURAL_KEYS["fact_trade"], _date_keys(t.trades(dealt_out=False)))
 
 
 @query("fact_new_rows", TRADE_SQL + f"SELECT * FROM fact_trade WHERE tradingdate_key >= {CUTOFF_KEY}")
@@ -167,9 +167,10 @@ def new_rows_per_day(t: Inputs) -> DataFrame:
 @query("incremental_by_date", TRADE_SQL + "SELECT * FROM fact_trade")
 def incremental_by_date(t: Inputs) -> DataFrame:
     """The stored table after a load of early trades and a second load of all trades."""
-    trades, dims, path = t.trades(), t.dims(*TRADE_DIMS), scratch_path(t.spark, "fact_trade")
-    for batch in (trades.where(F.col("trading_date") < CUTOFF), trades):
-        star.load_facts(star.trade_facts(batch, dims), "fact_trade", path, _date_keys(batch))
+    dims, path = t.dims(*TRADE_DIMS), scratch_path(t.spark, "fact_trade")
+    for part in (F.col("trading_date") < CUTOFF, F.lit(True)):
+        dates = _date_keys(t.trades(dealt_out=False).where(part))
+        star.load_facts(star.trade_facts(t.trades().where(part), dims), "fact_trade", path, dates)
     return star.read_facts(t.spark, "fact_trade", path).drop(star.MONTH)
 
 
