@@ -161,6 +161,14 @@ def line_of(state: DataFrame) -> DataFrame:
     return fitted.withColumn("intercept", (sy - F.col("slope") * sx) / F.nullif(n, F.lit(0)))
 
 
+def predict_line(lines: DataFrame, series: DataFrame, price: str = PRICE) -> DataFrame:
+    """The price expected after the latest row of every symbol with a fitted line."""
+    last = latest(series.select(SYMBOL, DAY, price))
+    fitted = lines.where("slope is not null").select(SYMBOL, "slope", "intercept")
+    expected = F.col("intercept") + F.col("slope") * F.col(price)
+    return last.join(fitted, SYMBOL).select(SYMBOL, DAY, price, expected.alias("predicted_price"))
+
+
 # Result tables
 
 

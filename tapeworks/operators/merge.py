@@ -20,6 +20,8 @@ def first_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column] = (
     pile up in a task.
     """
     rest = [F.col(c).asc_nulls_first() for c in df.columns if c not in keys]
+    if not rest and not order:
+        return df.distinct()
     window = Window.partitionBy(*keys).orderBy(*order, *rest)
     return df.withColumn("_rank", F.row_number().over(window)).where("_rank = 1").drop("_rank")
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeworks.functions.times import clock_key, date_key
@@ -15,10 +14,9 @@ from tapeworks.operators.merge import first_by_key, surrogate_keys
 from tapeworks.schemas import (
     DEDUPE_KEYS, FEATURES, INDEX_MEASURES, NATURAL_KEYS, TABLES, TRADE_MEASURES, columns_of,
 )
-from tapeworks.session import staged
 
 MONEY = "decimal(18,2)"
-DATE_KEY, MONTH = "tradingdate_key", "trading_month"
+DATE_KEY = "tradingdate_key"
 
 
 class Link(NamedTuple):
@@ -100,9 +98,9 @@ def new_members(candidates: DataFrame, existing: DataFrame, keys: Sequence[str])
 
 
 def number_members(candidates: DataFrame, existing: DataFrame, name: str, key: str) -> DataFrame:
-    """New members with surrogate keys that follow the largest key in use."""
+    """New members, one per name, with surrogate keys that follow the largest key in use."""
     used = existing.agg(F.max(key)).first()[0] or 0
-    return surrogate_keys(new_members(candidates, existing, [name]), name, key, used)
+    return surrogate_keys(first_by_key(new_members(candidates, existing, [name]), [name]), name, key, used)
 
 
 # Facts
@@ -188,7 +186,7 @@ def index_facts(raw: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
     return index_star(raw, dims).select(*_fact_columns("fact_market_index")).distinct()
 
 
-# Loads
+# New rows
 
 
 def new_rows(facts: DataFrame, existing: DataFrame, keys: Sequence[str], batch_dates: DataFrame) -> DataFrame:
@@ -202,59 +200,6 @@ def new_rows(facts: DataFrame, existing: DataFrame, keys: Sequence[str], batch_d
     return not_in(facts, touched, keys)
 
 
-def month_of(day_key: Column) -> Column:
-    """Partition value of a fact: yyyyMM, or 0 where the date is not in the dimension."""
-    return F.coalesce((day_key / 100).cast("int"), F.lit(0))
-
-
-def append_facts(new: DataFrame, path: str) -> int:
-    """Append to a table partitioned by month and return the number of rows written.
-
-    The rebalance hint groups rows by month into files of even size and lets Spark split a month
-    that holds many rows. A month is coarse enough to keep files large; days are found within it
-    by the row-group statistics of the date key, for which the rows are sorted.
-    """
-    written = Observation()
-    (
-        new.observe(written, F.count(F.lit(1)).alias("rows"))
-        .withColumn(MONTH, month_of(F.col(DATE_KEY)))
-        .hint("rebalance", MONTH)
-        .sortWithinPartitions(MONTH, DATE_KEY)
-        .write.mode("append").partitionBy(MONTH).parquet(path)
-    )
-    try:
-        return written.get["rows"]
-    except Py4JJavaError:  # Spark finds there are no rows and drops the metric with the rest of the plan
-        return 0
-
-
-def read_facts(spark: SparkSession, table: str, path: str) -> DataFrame:
-    return spark.read.schema(f"{TABLES[table]}, {MONTH} int").parquet(path)
-
-
-def load_facts(facts: DataFrame, table: str, path: str, batch_dates: DataFrame | None = None) -> int:
-    """One incremental load of ``facts`` into the table at ``path``; running it again adds nothing.
-
-    ``batch_dates`` (the date keys of the raw batch, cheap to scan) saves computing the facts twice.
-    Only partitions of the batch's months are read.
-    """
-    spark = facts.sparkSession
-    create_if_missing(spark, table, path)
-    days = facts.select(DATE_KEY) if batch_dates is None else batch_dates.select(DATE_KEY)
-    # date keys that are not in the dimension are stored as NULL, in month 0
-    unknown = spark.createDataFrame([(None,)], f"{DATE_KEY} int")
-    days = staged(days.distinct().unionByName(unknown), "batch_dates")
-    # a literal list prunes partitions when the plan is made; it holds one entry per calendar month
-    months = [row[0] for row in days.select(month_of(F.col(DATE_KEY))).distinct().collect()]
-    stored = read_facts(spark, table, path).where(F.col(MONTH).isin(months))
-    return append_facts(new_rows(facts, stored, NATURAL_KEYS[table], days), path)
-
-
-def create_if_missing(spark: SparkSession, table: str, path: str) -> None:
-    """Create an empty fact table unless one is there."""
-    spark.createDataFrame([], f"{TABLES[table]}, {MONTH} int").write.mode("ignore").partitionBy(MONTH).parquet(path)
-
-
 def rows_per_day(rows: DataFrame) -> DataFrame:
     return rows.groupBy(DATE_KEY).agg(F.count("*").alias("new_rows"))
 

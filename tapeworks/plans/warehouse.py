@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapeworks.etl import load_facts
 from tapeworks.functions.text import row_hash
 from tapeworks.functions.times import clock_key, date_key
 from tapeworks.operators import merge, star
@@ -15,6 +16,7 @@ from tapeworks.plans.inputs import Inputs
 from tapeworks.schemas import NATURAL_KEYS
 from tapeworks.session import scratch_path, staged
 from tapeworks.sources.responses import index_list_rows
+from tapeworks.sources.stores import ParquetStore
 
 CUTOFF = "1998-01-01"
 CUTOFF_KEY = 19980101
@@ -167,11 +169,11 @@ def new_rows_per_day(t: Inputs) -> DataFrame:
 @query("incremental_by_date", TRADE_SQL + "SELECT * FROM fact_trade")
 def incremental_by_date(t: Inputs) -> DataFrame:
     """The stored table after a load of early trades and a second load of all trades."""
-    dims, path = t.dims(*TRADE_DIMS), scratch_path(t.spark, "fact_trade")
+    dims, warehouse = t.dims(*TRADE_DIMS), ParquetStore(t.spark, scratch_path(t.spark, "warehouse"))
     for part in (F.col("trading_date") < CUTOFF, F.lit(True)):
         dates = _date_keys(t.trades(dealt_out=False).where(part))
-        star.load_facts(star.trade_facts(t.trades().where(part), dims), "fact_trade", path, dates)
-    return star.read_facts(t.spark, "fact_trade", path).drop(star.MONTH)
+        load_facts("fact_trade", star.trade_facts(t.trades().where(part), dims), dates, warehouse)
+    return warehouse.read("fact_trade")
 
 
 @query("batch_dates", f"SELECT DISTINCT {o.day_key('ts')} AS tradingdate_key FROM events WHERE ts >= '2024-01-28'")

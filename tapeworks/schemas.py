@@ -149,6 +149,11 @@ TABLES = {
     "prediction_log": table(
         "symbol s, tradingdate date, last_price d, predicted_next_day_price d, model_name s, model_type s"
     ),
+    "model_state": table(
+        "symbol s, n id, sx d, sy d, sxx d, sxy d, lo d, hi d, last_train_date date"
+    ),
+    "corporation": table("symbol_id s, sector_id i, symbol_name s, symbol_en_name s"),
+    "corporation_sector": table("sector_id i, sector_name s"),
     "securities": table("symbol_id s, symbol_name s, symbol_en_name s"),
     "security_detail": table("symbol_id s, detail_json s"),
     "index_list": table("indexlist_id s, market_id i, index_name s, index_code s"),

@@ -5,8 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeworks import schemas
+from tapeworks.etl import JOBS, load_facts
+from tapeworks.functions.times import date_key
 from tapeworks.operators import joins, merge, star
+from tapeworks.plans.inputs import Inputs
 from tapeworks.session import scratch_path
+from tapeworks.sources.stores import ParquetStore
 
 DAY1, DAY2 = dt.date(2025, 1, 6), dt.date(2025, 1, 7)
 
@@ -26,6 +30,11 @@ def trade(spark, *given):
     return spark.createDataFrame(full, schemas.TABLES["raw_trade"])
 
 
+def load_batch(raw, dims, store):
+    dates = star.dated(raw).select(date_key(F.col("trading_date")).alias("tradingdate_key"))
+    return load_facts("fact_trade", star.trade_facts(raw, dims), dates, store)
+
+
 @pytest.fixture
 def dims(spark):
     make = lambda name, *members: spark.createDataFrame(list(members), schemas.TABLES[name])
@@ -71,13 +80,13 @@ def test_load_is_idempotent_over_several_dates(spark, dims):
         (DAY2, "09:30:00", "VCB", 12.0, 1.0, 12.0), (DAY2, "11:11:11", "VCB", 12.0, 2.0, 24.0),
         (dt.date(2031, 1, 1), "09:30:00", "VCB", 9.0, 1.0, 9.0),
     )
-    path = scratch_path(spark, "test_facts")
-    load = lambda batch: star.load_facts(star.trade_facts(batch, dims), "fact_trade", path)
+    store = ParquetStore(spark, scratch_path(spark, "test_facts"))
+    load = lambda batch: load_batch(batch, dims, store)
     assert load(raw) == 5
     assert load(raw) == 0
     more = raw.unionByName(trade(spark, (DAY2, "09:30:00", "ACB", 12.0, 1.0, 12.0)))
     assert load(more) == 1
-    assert star.read_facts(spark, "fact_trade", path).count() == 6
+    assert store.read("fact_trade").count() == 6
 
 
 def test_prices_are_decimals_before_the_comparison(spark):
@@ -140,9 +149,30 @@ def test_orphan_report(spark, dims):
     assert rows(report) == [("dim_date", 0, 1), ("dim_time", 1, 0)]
 
 
-def test_batch_months_prune_the_stored_partitions(spark, dims):
-    path = scratch_path(spark, "test_pruning")
-    star.load_facts(star.trade_facts(trade(spark, (DAY1, "09:30:00", "VCB", 10.0, 1.0, 10.0)), dims), "fact_trade", path)
-    stored = star.read_facts(spark, "fact_trade", path).where(F.col(star.MONTH) == 202501)
-    assert "trading_month" in stored._jdf.queryExecution().executedPlan().toString()
-    assert stored.count() == 1
+def test_only_the_months_of_the_batch_are_read(spark, dims):
+    store = ParquetStore(spark, scratch_path(spark, "test_pruning"))
+    load_batch(trade(spark, (DAY1, "09:30:00", "VCB", 10.0, 1.0, 10.0)), dims, store)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [trading_month" in plan(store.read("fact_trade", [202501])).replace("isnotnull(", "")
+    assert store.read("fact_trade", [202501]).count() == 1
+    assert store.read("fact_trade", [202502]).count() == 0
+
+
+def test_all_jobs_run_again_without_change(spark):
+    inputs = Inputs(spark, "/root/testdata/sf0.001")
+    source = ParquetStore(spark, scratch_path(spark, "test_source"))
+    warehouse = ParquetStore(spark, scratch_path(spark, "test_warehouse"))
+    raw = {"raw_trade": inputs.trades(), "raw_quote": inputs.quotes(), "raw_index": inputs.index_values(),
+           "corporation": inputs.corporations(), "corporation_sector": inputs.sectors()}
+    for table, rows_ in raw.items():
+        source.append(table, rows_)
+    first = {name: job(source, warehouse) for name, job in JOBS.items()}
+    assert all(first.values())
+    assert first["fact_trade"] == warehouse.read("fact_trade").count()
+    facts = warehouse.read("fact_trade").join(warehouse.read("dim_symbol"), "symbol_key", "left_anti")
+    assert facts.count() == 0
+    again = {name: job(source, warehouse) for name, job in JOBS.items()}
+    assert {name for name, n in again.items() if n} == {"features"}
+    assert warehouse.read("model_state").count() == first["train"]
+    assert warehouse.read("prediction_log").where("predicted_next_day_price is null").count() == 0
+    assert JOBS["fact_trade"](source, warehouse, as_of="2001-11-04") == 0
