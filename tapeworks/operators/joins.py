@@ -41,7 +41,9 @@ def lookup(
     else:
         spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
         right = right.withColumn("_salt", spread)
-        facts = facts.withColumn("_fact_salt", F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int"))
+        # the partition number spreads copies of one row, which hash alike, and is the same on a retry
+        salt = F.pmod(F.pmod(F.xxhash64(*facts.columns), F.lit(salts)) + F.spark_partition_id(), F.lit(salts))
+        facts = facts.withColumn("_fact_salt", salt.cast("int"))
     match = [F.col(left) == F.col(f"_key_{i}") for i, left in enumerate(on)]
     if "_salt" in right.columns:
         match.append(F.col("_fact_salt") == F.col("_salt"))

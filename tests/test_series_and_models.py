@@ -77,11 +77,43 @@ def test_tick_positions(spark, target):
 
 def test_busy_keys_are_cut_into_even_segments(spark):
     _, df = tick_rows(spark, {"hot": 700, "cold": 30})
-    sizes = ticks.cut_segments(df, "k", "slot", 100).groupBy("k", "segment").count().collect()
-    assert max(r["count"] for r in sizes) <= 107
+    cut, packed = ticks.cut_segments(df, "k", "slot", 100)
+    sizes = cut.groupBy("k", "segment").count().collect()
+    assert not packed and max(r["count"] for r in sizes) <= 107
     assert [r.segment for r in sizes if r.k == "cold"] == [0]
 
 
+def copies(spark):
+    """A key of which most rows are copies of one row, within a single slot."""
+    rows = [("hot", i, i, float(i % 5)) for i in range(40)] + [("hot", 17, 17, 9.0)] * 95 + [("cold", 1, 1, 2.0)] * 4
+    random.Random(6).shuffle(rows)
+    return rows, spark.createDataFrame(rows, "k string, slot int, at int, price double").repartition(4)
+
+
+@pytest.mark.parametrize("length", [1, 6])
+def test_sequences_of_a_slot_full_of_copies(spark, length, monkeypatch):
+    monkeypatch.setattr(ticks, "CHUNK_ROWS", 10)
+    rows, df = copies(spark)
+    assert ticks.cut_segments(df, "k", "slot", 30)[1]
+    got = ticks.tick_sequences(df, "k", "slot", ["at", "price"], ["price"], length, 30).collect()
+    want = []
+    for key in ("hot", "cold"):
+        own = sorted((r[2], r[3]) for r in rows if r[0] == key)
+        want += [(key, own[i][0], [p for _, p in own[i - length:i]], own[i][1]) for i in range(length, len(own))]
+    assert sorted((r.k, r.at, [s.price for s in r.steps], r.label) for r in got) == sorted(want)
+
+
+def test_positions_in_a_slot_full_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(ticks, "CHUNK_ROWS", 10)
+    rows, df = copies(spark)
+    got = ticks.tick_positions(df, "k", "slot", ["at", "price"], 30).collect()
+    want = []
+    for key in ("hot", "cold"):
+        own = sorted((r[2], r[3]) for r in rows if r[0] == key)
+        want += [(key, *row, i + 1, len(own)) for i, row in enumerate(own)]
+    assert sorted((r.k, r.at, r.price, r.position, r.total) for r in got) == sorted(want)
+
+
 def test_lag1_fit_is_least_squares(spark):
     prices = [3, 5, 4, 8, 7, 9, 12, 10]
     model = forecast.fit_lag1(forecast.price_pairs(daily(spark, A=prices))).first()
