@@ -12,7 +12,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeworks.functions.scaling import minmax, minmax_back
@@ -74,12 +74,21 @@ def predict_next(models: DataFrame, series: DataFrame, price: str = PRICE) -> Da
     return scored.select(SYMBOL, DAY, price, _predicted(F.col(price)).alias("predicted_price"))
 
 
+def with_fit(pairs: DataFrame, used: Column) -> DataFrame:
+    """Pairs with the slope and intercept fitted to those of their symbol that are ``used``.
+
+    The fit is a window over the pairs, which are partitioned by symbol already; nothing is joined.
+    """
+    ready = scaled_pairs(pairs)
+    x, y = F.when(used, F.col("sx")), F.when(used, F.col("sy"))
+    fits = {"slope": F.regr_slope(y, x).over(by_symbol()), "intercept": F.regr_intercept(y, x).over(by_symbol())}
+    return ready.withColumns(fits)
+
+
 def backtest(series: DataFrame, share: float = 0.8) -> DataFrame:
     """Predictions for every pair by a model fitted to the first ``share`` of the pairs."""
     pairs = chrono_split(price_pairs(series), DAY, share)
-    models = fit_lag1(pairs.where("is_train")).select(SYMBOL, "slope", "intercept")
-    # one row per symbol and day against one per symbol: bounded by the calendar on each key
-    return pairs.join(models, SYMBOL, "left").withColumn("predicted", _predicted(F.col("x")))
+    return with_fit(pairs, F.col("is_train")).withColumn("predicted", _predicted(F.col("x")))
 
 
 def error_metrics(scored: DataFrame, actual: str = "y", predicted: str = "predicted") -> DataFrame:
@@ -106,8 +115,7 @@ def evaluate(series: DataFrame, share: float = 0.8) -> DataFrame:
 
 def actual_vs_predicted(series: DataFrame) -> DataFrame:
     """The price of every row after the first beside its prediction; the last row is marked."""
-    models = fit_lag1(price_pairs(series)).select(SYMBOL, "slope", "intercept")
-    scored = price_pairs(series).join(models, SYMBOL)
+    scored = with_fit(price_pairs(series), F.lit(True))
     is_last = F.col("label_date") == F.max("label_date").over(by_symbol())
     return scored.select(
         SYMBOL,

@@ -56,10 +56,18 @@ class Inputs:
 
     # Raw market tables
 
-    def trades(self, dealt_out: bool = True) -> DataFrame:
-        """Trades; ``dealt_out`` where heavy work per row follows, not for the scan of a column."""
+    def trades(self, dealt_out: bool = True, since: str | None = None, before: str | None = None) -> DataFrame:
+        """Trades; ``dealt_out`` where heavy work per row follows, not for the scan of a column.
+
+        ``since`` and ``before`` bound the date by the stored column, so that the scan can skip rows.
+        """
         quantity = F.col("l_quantity").cast("bigint")
-        rows = spread(self.table("lineitem")) if dealt_out else self.table("lineitem")
+        rows, day = self.table("lineitem"), F.col("l_shipdate")
+        if since:
+            rows = rows.where(day >= F.lit(since).cast("timestamp_ntz"))
+        if before:
+            rows = rows.where(day < F.lit(before).cast("timestamp_ntz"))
+        rows = spread(rows) if dealt_out else rows
         rows = rows.withColumns(
             {
                 "_px": F.expr("(2 * cast(round(l_extendedprice * 100) as bigint) + cast(l_quantity as bigint))"

@@ -31,6 +31,11 @@ def _daily(t: Inputs) -> DataFrame:
     return series.daily_series(t.trades())
 
 
+def _stored(t: Inputs) -> DataFrame:
+    """The series as a stored feature table, for queries that read it more than once."""
+    return staged(_daily(t), "feature_data")
+
+
 def _marks(rows: DataFrame) -> DataFrame:
     """Two symbols of three have been trained up to the mark."""
     trained = rows.where((F.col("symbol").cast("int") % 3 != 0) & (F.col("tradingdate") <= MARK))
@@ -98,7 +103,7 @@ def min_history(t: Inputs) -> DataFrame:
   DATE '1900-01-01')""",
 )
 def newer_than_mark(t: Inputs) -> DataFrame:
-    daily = _daily(t)
+    daily = _stored(t)
     return _shown(series.newer_than(daily, _marks(daily)), "symbol", "tradingdate")
 
 
@@ -186,7 +191,7 @@ def chrono_split(t: Inputs) -> DataFrame:
     row_number() {BY_DAY} AS n FROM series WHERE NOT ({MARKED}) OR series.tradingdate > '{MARK}') AS x WHERE n > 2""",
 )
 def incremental_sequences(t: Inputs) -> DataFrame:
-    daily = _daily(t)
+    daily = _stored(t)
     runs = series.incremental_sequences(daily, _marks(daily), 2)
     return _flat(runs, 2, "symbol", "label_date", F.round("label", 4).alias("label")).select(
         "symbol", "label_date", "label", "last_price_1", "last_price_2"
@@ -291,7 +296,7 @@ def lag1_fit(t: Inputs) -> DataFrame:
 
 
 def _predictions(t: Inputs) -> DataFrame:
-    daily = _daily(t)
+    daily = _stored(t)
     return forecast.predict_next(forecast.fit_lag1(forecast.price_pairs(daily)), daily)
 
 
@@ -354,7 +359,7 @@ FROM fit JOIN trained USING (symbol) JOIN marks USING (symbol) LEFT JOIN metrics
 )
 def model_info(t: Inputs) -> DataFrame:
     """The model table after a run: models of trained symbols replaced, others kept."""
-    daily = _daily(t)
+    daily = _stored(t)
     models = forecast.fit_lag1(forecast.price_pairs(daily))
     batch = forecast.model_rows(models, daily, forecast.evaluate(daily)).drop("lo", "hi").withColumn("arrival", F.lit(1))
     marks = _marks(daily)
@@ -386,7 +391,7 @@ state AS (
 )
 def incremental_fit(t: Inputs) -> DataFrame:
     """Training up to the mark for some symbols, then training of all symbols on what is newer."""
-    daily = _daily(t)
+    daily = _stored(t)
     early = daily.where((F.col("symbol").cast("int") % 3 != 0) & (F.col("tradingdate") <= MARK))
     state = forecast.incremental_fit(daily, staged(forecast.pair_sums(early), "model_state"))
     line = forecast.line_of(state).select("symbol", "n", "last_train_date", "lo", "hi", "slope", "intercept")
@@ -399,7 +404,7 @@ def incremental_fit(t: Inputs) -> DataFrame:
 @query("ar_fit")
 def ar_fit(t: Inputs) -> DataFrame:
     """Two days of eight scaled features, and the price expected next."""
-    scaled = series.scaled(_daily(t))
+    scaled = series.scaled(_stored(t))
     models = forecast.fit_sequences(series.sequences(scaled, 2), 2)
     scored = forecast.score_sequences(models, series.scoring_sequence(scaled, 2))
     fit = models.select("symbol", "n", F.round("train_mse", 6).alias("train_mse"))

@@ -27,7 +27,7 @@ NOW_MS = 1_735_689_600_000  # 2025-01-01 00:00:00
     + "SELECT symbol, time, last_price, last_vol, total_val FROM trade WHERE trade.trading_date = '1998-06-01'",
 )
 def day_slice(t: Inputs) -> DataFrame:
-    day = t.trades(dealt_out=False).where(F.col("trading_date") == F.lit("1998-06-01").cast("date"))
+    day = t.trades(dealt_out=False, since="1998-06-01", before="1998-06-02")
     return day.select(F.trim("symbol").alias("symbol"), "time", "last_price", "last_vol", "total_val")
 
 
@@ -38,7 +38,7 @@ def day_slice(t: Inputs) -> DataFrame:
 FROM trade WHERE trade.trading_date >= DATE '2001-11-04' - INTERVAL 5 DAY""",
 )
 def recent_trades(t: Inputs) -> DataFrame:
-    rows = star.recent(t.trades(dealt_out=False), "2001-11-04", 5)
+    rows = star.recent(t.trades(dealt_out=False, since="2001-10-30"), "2001-11-04", 5)
     return rows.select(F.trim("symbol").alias("symbol"), "trading_date", "time", "last_price", "last_vol")
 
 

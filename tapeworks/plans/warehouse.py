@@ -148,7 +148,7 @@ def _date_keys(raw: DataFrame) -> DataFrame:
 def _fresh_trades(t: Inputs) -> DataFrame:
     """Facts of all trades against a warehouse that holds the trades before the cutoff."""
     trades, dims = t.trades(), t.dims(*TRADE_DIMS)
-    stored = star.trade_facts(trades.where(F.col("trading_date") < CUTOFF), dims)
+    stored = star.trade_facts(t.trades(before=CUTOFF), dims)
     return star.new_rows(star.trade_facts(trades, dims), stored, NATURAL_KEYS["fact_trade"], _date_keys(t.trades(dealt_out=False)))
 
 
@@ -170,9 +170,9 @@ def new_rows_per_day(t: Inputs) -> DataFrame:
 def incremental_by_date(t: Inputs) -> DataFrame:
     """The stored table after a load of early trades and a second load of all trades."""
     dims, warehouse = t.dims(*TRADE_DIMS), ParquetStore(t.spark, scratch_path(t.spark, "warehouse"))
-    for part in (F.col("trading_date") < CUTOFF, F.lit(True)):
-        dates = _date_keys(t.trades(dealt_out=False).where(part))
-        load_facts("fact_trade", star.trade_facts(t.trades().where(part), dims), dates, warehouse)
+    for before in (CUTOFF, None):
+        dates = _date_keys(t.trades(dealt_out=False, before=before))
+        load_facts("fact_trade", star.trade_facts(t.trades(before=before), dims), dates, warehouse)
     return warehouse.read("fact_trade")
 
 

@@ -77,9 +77,9 @@ def test_tick_positions(spark, target):
 
 def test_busy_keys_are_cut_into_even_segments(spark):
     _, df = tick_rows(spark, {"hot": 700, "cold": 30})
-    cut, packed = ticks.cut_segments(df, "k", "slot", 100)
+    cut, form = ticks.cut_segments(df, "k", "slot", 100)
     sizes = cut.groupBy("k", "segment").count().collect()
-    assert not packed and max(r["count"] for r in sizes) <= 107
+    assert form == ticks.CUT and max(r["count"] for r in sizes) <= 107
     assert [r.segment for r in sizes if r.k == "cold"] == [0]
 
 
@@ -94,7 +94,7 @@ def copies(spark):
 def test_sequences_of_a_slot_full_of_copies(spark, length, monkeypatch):
     monkeypatch.setattr(ticks, "CHUNK_ROWS", 10)
     rows, df = copies(spark)
-    assert ticks.cut_segments(df, "k", "slot", 30)[1]
+    assert ticks.cut_segments(df, "k", "slot", 30)[1] == ticks.PACKED
     got = ticks.tick_sequences(df, "k", "slot", ["at", "price"], ["price"], length, 30).collect()
     want = []
     for key in ("hot", "cold"):
