@@ -10,10 +10,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapeworks.functions.text import json_record
 from tapeworks.functions.times import date_key
 from tapeworks.operators import forecast, merge, series, star
-from tapeworks.schemas import NATURAL_KEYS
+from tapeworks.operators.joins import lookup
+from tapeworks.schemas import DAILY_INDEX, DAILY_PRICE, NATURAL_KEYS
 from tapeworks.session import staged
+from tapeworks.sources.responses import accepted, index_list_rows, load_rows, load_sectors
 from tapeworks.sources.stores import Store, month_of
 
 TRADE_DIMS = ("dim_date", "dim_time", "dim_symbol", "dim_exchange", "dim_session")
@@ -92,15 +95,43 @@ def train(source: Store, warehouse: Store) -> int:
     return fresh.count()
 
 
-def load_insert_ignore(table: str, batch: DataFrame, key: str, sequence: str, warehouse: Store) -> int:
-    """Append the records whose key is not stored, the first of each key."""
-    fresh = merge.insert_ignore(warehouse.read(table), batch, key, sequence)
-    return warehouse.append(table, fresh.drop(sequence))
+# Reference data from landed responses
 
 
-def load_upsert(table: str, batch: DataFrame, key: str, sequence: str, warehouse: Store) -> None:
-    """Store the records, the last of each key replacing what was there."""
-    warehouse.replace(table, merge.upsert(warehouse.read(table), batch, key, sequence))
+def load_securities(landed: DataFrame, warehouse: Store) -> int:
+    """Securities of all markets (``market, Symbol, StockName, StockEnName``); known symbols are left alone."""
+    batch = landed.select(
+        F.trim("Symbol").alias("symbol_id"), F.col("StockName").alias("symbol_name"),
+        F.col("StockEnName").alias("symbol_en_name"), "market",
+    ).dropna(subset=["symbol_id"])
+    fresh = merge.insert_ignore(warehouse.read("securities"), batch, "symbol_id", "market")
+    return warehouse.append("securities", fresh.drop("market"))
+
+
+def load_security_details(items: DataFrame, warehouse: Store) -> int:
+    """Detail records with their ``Symbol``, stored whole as JSON text."""
+    batch = items.select(
+        F.trim("Symbol").alias("symbol_id"), json_record(*items.columns).alias("detail_json")
+    ).dropna(subset=["symbol_id"])
+    fresh = merge.insert_ignore(warehouse.read("security_detail"), batch, "symbol_id", "detail_json")
+    return warehouse.append("security_detail", fresh)
+
+
+def load_index_list(items: DataFrame, markets: DataFrame, sequence: str, warehouse: Store) -> None:
+    """Index records of known markets (``market_id, market_name``); the last of each code is stored."""
+    named = markets.select("market_id", F.trim("market_name").alias("market_name"))
+    found = lookup(index_list_rows(items, sequence), named, {"exchange": "market_name"}, ["market_id"], "inner")
+    warehouse.replace("index_list", merge.upsert(warehouse.read("index_list"), found, "index_code", sequence))
+
+
+def load_daily(table: str, records: DataFrame, warehouse: Store) -> int:
+    """Append the accepted records of ``daily_index`` or ``daily_price`` responses."""
+    fields, code = {"daily_index": (DAILY_INDEX, "IndexId"), "daily_price": (DAILY_PRICE, "Symbol")}[table]
+    return warehouse.append(table, accepted(load_rows(records, fields, code)))
+
+
+def load_sector_file(rows: DataFrame, warehouse: Store) -> int:
+    return warehouse.append("sector", load_sectors(rows))
 
 
 def _names(raw: str, column: str, name: str) -> Callable[[Store], DataFrame]:

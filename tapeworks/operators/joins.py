@@ -25,18 +25,19 @@ def lookup(
     how: str = "left",
     broadcast_rows: int = BROADCAST_ROWS,
     salts: int = SALTS,
+    bounded: bool = False,
 ) -> DataFrame:
     """Join ``facts`` to ``reference`` rows, unique on the keys, taking the columns ``take``.
 
     ``on`` maps fact columns to reference columns. A reference table within ``broadcast_rows`` is
-    broadcast. A larger one is repeated once per salt and both sides are hashed on key and salt, so
+    broadcast, as is one that is ``bounded`` by its nature (calendar days, seconds of a day). A larger one is repeated once per salt and both sides are hashed on key and salt, so
     that a key holding much of the facts (NULL included) is spread over ``salts`` tasks.
     """
     right_keys = {f"_key_{i}": F.col(right) for i, right in enumerate(on.values())}
     picked = [F.col(c) if isinstance(c, str) else c for c in take]
     right = reference.select(*[c.alias(n) for n, c in right_keys.items()], *picked)
     right = right.dropna(subset=list(right_keys))
-    if is_small(right, broadcast_rows):
+    if bounded or is_small(right, broadcast_rows):
         right = F.broadcast(right)
     else:
         spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))

@@ -27,10 +27,12 @@ class Link(NamedTuple):
     match: str
     key: str
     how: str = "left"
+    bounded: bool = False
 
 
-DATE = Link("_date_key", "dim_date", "tradingdate_key", "tradingdate_key")
-TIME = Link("_time_key", "dim_time", "time_key", "time_key")
+# a row per calendar day (under 37,000 in a century), a row per second of the day (86,400)
+DATE = Link("_date_key", "dim_date", "tradingdate_key", "tradingdate_key", bounded=True)
+TIME = Link("_time_key", "dim_time", "time_key", "time_key", bounded=True)
 EXCHANGE = Link("_exchange", "dim_exchange", "exchange_name", "exchange_key")
 SESSION = Link("_session", "dim_session", "trading_session", "trading_session_key")
 SYMBOL = Link("_symbol", "dim_symbol", "symbol", "symbol_key", "inner")
@@ -107,10 +109,10 @@ def number_members(candidates: DataFrame, existing: DataFrame, name: str, key: s
 
 
 def star_lookup(raw: DataFrame, dims: dict[str, DataFrame], links: Sequence[Link]) -> DataFrame:
-    """Attach the key of every linked dimension; each is broadcast only after a size check."""
+    """Attach the key of every linked dimension; each is broadcast if bounded by the calendar, else after a size check."""
     for link in links:
         taken = F.col(link.key).alias(f"_found_{link.key}")
-        raw = lookup(raw, dims[link.dimension], {link.column: link.match}, [taken], link.how)
+        raw = lookup(raw, dims[link.dimension], {link.column: link.match}, [taken], link.how, bounded=link.bounded)
         raw = raw.drop(link.column).withColumnRenamed(f"_found_{link.key}", link.key)
     return raw
 

@@ -6,14 +6,16 @@ from collections.abc import Callable
 from typing import Protocol
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tapeworks.operators.star import DATE_KEY
-from tapeworks.schemas import TABLES
+from tapeworks.schemas import CHANNELS, TABLES
 from tapeworks.session import staged
 from tapeworks.sources.files import replace_table
 from tapeworks.sources.jdbc import read_jdbc, write_jdbc
+from tapeworks.streaming.jobs import raw_table
 
 MONTH = "trading_month"
 
@@ -55,14 +57,17 @@ class ParquetStore:
         return f"{self.root}/{table}"
 
     def read(self, table: str, months: list[int] | None = None) -> DataFrame:
-        """The table, empty at first; of a fact table only the partitions of ``months`` if given."""
+        """The table, empty before the first write; of a fact table only ``months`` if given."""
         schema = self.schemas[table]
-        if not table.startswith("fact_"):
-            self.spark.createDataFrame([], schema).write.mode("ignore").parquet(self.path(table))
-            return self.spark.read.schema(schema).parquet(self.path(table))
-        schema = f"{schema}, {MONTH} int"
-        self.spark.createDataFrame([], schema).write.mode("ignore").partitionBy(MONTH).parquet(self.path(table))
-        rows = self.spark.read.schema(schema).parquet(self.path(table))
+        partitioned = table.startswith("fact_")
+        try:
+            rows = self.spark.read.schema(f"{schema}, {MONTH} int" if partitioned else schema).parquet(self.path(table))
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+        if not partitioned:
+            return rows
         return (rows if months is None else rows.where(F.col(MONTH).isin(months))).drop(MONTH)
 
     def append(self, table: str, rows: DataFrame) -> int:
@@ -82,6 +87,16 @@ class ParquetStore:
         replace_table(rows, self.path(table))
 
 
+class RawStore(ParquetStore):
+    """Raw tables as the ingestion streams write them, one folder per channel; other tables as usual."""
+
+    def read(self, table: str, months: list[int] | None = None) -> DataFrame:
+        channel = table.removeprefix("raw_")
+        if channel not in CHANNELS:
+            return super().read(table, months)
+        return raw_table(self.spark, channel, f"{self.root}/{channel}")
+
+
 class JdbcStore:
     """Tables of a database; ``names`` maps table names to qualified ones where they differ.
 

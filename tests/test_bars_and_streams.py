@@ -10,6 +10,7 @@ from tapeworks.operators.bars import bars, candles
 from tapeworks.plans.inputs import Inputs
 from tapeworks.session import scratch_path
 from tapeworks.sources.messages import decode_ticks, good
+from tapeworks.sources.stores import RawStore
 from tapeworks.streaming import jobs
 
 
@@ -100,6 +101,9 @@ def test_ingest_keeps_good_and_rejected_rows_and_replays_once(spark, tmp_path):
     # the last batch handed over again after a failure
     jobs.batch_writer("trade", raw)(spark.createDataFrame([(message("C"),)], "value string"), 1)
     assert jobs.raw_table(spark, "trade", raw).count() == 3
+    spark.read.parquet(raw).write.partitionBy("batch_id", "rejected").parquet(f"{raw}-root/trade")
+    assert RawStore(spark, f"{raw}-root").read("raw_trade").count() == 3
+    assert RawStore(spark, raw).read("dim_date").count() == 0
 
 
 def test_side_by_side_streams_report_the_failing_one(spark, tmp_path):

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tapeworks import schemas
+from tapeworks import etl, schemas
 from tapeworks.etl import JOBS, load_facts
 from tapeworks.functions.times import date_key
 from tapeworks.operators import joins, merge, star
@@ -176,3 +176,31 @@ def test_all_jobs_run_again_without_change(spark):
     assert warehouse.read("model_state").count() == first["train"]
     assert warehouse.read("prediction_log").where("predicted_next_day_price is null").count() == 0
     assert JOBS["fact_trade"](source, warehouse, as_of="2001-11-04") == 0
+
+
+def test_reference_data_loads(spark):
+    store = ParquetStore(spark, scratch_path(spark, "test_loads"))
+    pages = spark.createDataFrame(
+        [("HOSE", "VCB ", "a", "b"), ("UPCOM", "VCB", "x", "y"), ("HNX", "ACB", "c", "d"), ("HNX", None, "c", "d")],
+        "market string, Symbol string, StockName string, StockEnName string")
+    assert etl.load_securities(pages, store) == 2
+    assert etl.load_securities(pages, store) == 0
+    assert rows(store.read("securities")) == [("ACB", "c", "d"), ("VCB", "a", "b")]
+    details = spark.createDataFrame([("VCB", 5, None)], "Symbol string, Lot int, Note string")
+    assert etl.load_security_details(details, store) == 1
+    assert etl.load_security_details(details, store) == 0
+    assert rows(store.read("security_detail")) == [("VCB", '{"Symbol":"VCB","Lot":5,"Note":null}')]
+    markets = spark.createDataFrame([(1, "HOSE  "), (2, "HNX")], "market_id int, market_name string")
+    items = lambda *given: spark.createDataFrame(list(given), "Exchange string, IndexCode string, IndexName string, seq int")
+    etl.load_index_list(items(("HOSE", "X", "old", 1), ("HOSE", " ", "n", 2), ("NYSE", "Z", "n", 3)), markets, "seq", store)
+    etl.load_index_list(items(("HOSE ", "X ", "new", 1), ("HNX", "Y", "", 2)), markets, "seq", store)
+    assert rows(store.read("index_list")) == [("X", 1, "new", "X"), ("Y", 2, "Y", "Y")]
+    blank = {wire: None for wire, _, _ in schemas.DAILY_PRICE}
+    price = lambda **given: tuple({**blank, **given}.values())
+    daily = spark.createDataFrame(
+        [price(Symbol="VCB ", TradingDate="20/09/2025", ClosePrice="1.5"), price(Symbol="ACB", TradingDate="x")],
+        ", ".join(f"{wire} string" for wire in blank))
+    assert etl.load_daily("daily_price", daily, store) == 1
+    assert [(r.symbol_id, r.close_price) for r in store.read("daily_price").collect()] == [("VCB", 1.5)]
+    sectors = spark.createDataFrame([("Bank", "VCB", "HOSE")], "Brand string, Symbol string, Market string")
+    assert etl.load_sector_file(sectors, store) == 1
