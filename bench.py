@@ -15,9 +15,8 @@ from tapeworks.plans import CATALOG
 from tapeworks.session import build_session
 
 QUERIES = [
-    "ohlcv_1m", "ohlc_daily", "ohlcv_1m_stream", "dim_date", "fact_trade", "fact_quote", "fact_market_index",
-    "incremental_by_date", "dedupe_by_key", "upsert_latest", "ingest_trade", "sequences", "lag1_fit", "model_metrics",
-    "tick_sequences", "ar_fit",
+    "ohlcv_1m", "ohlc_daily", "ohlcv_1m_stream", "fact_trade", "fact_quote", "incremental_by_date", "dedupe_by_key",
+    "upsert_latest", "ingest_trade", "sequences", "lag1_fit", "model_metrics", "tick_sequences", "ar_fit",
 ]
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TEXT_TIMESTAMP = "yyyy-MM-dd HH:mm:ss"
+LAST_MS = 253_402_300_799_999  # the last millisecond of the year 9999
 
 
 def date_key(date: Column) -> Column:
@@ -34,9 +35,19 @@ def trading_date(text: Column) -> Column:
     return F.when(wire_form, F.try_to_date(text, "d/M/yyyy"))
 
 
+def now_ms() -> Column:
+    """The current time in epoch milliseconds."""
+    return F.unix_millis(F.current_timestamp())
+
+
+def ms_to_moment(ms: Column) -> Column:
+    """Epoch milliseconds to a timestamp; NULL where the year would pass 9999."""
+    return F.when(ms.between(-LAST_MS, LAST_MS), F.timestamp_millis(ms))
+
+
 def ms_to_text(ms: Column) -> Column:
     """Epoch milliseconds to ``yyyy-MM-dd HH:mm:ss``; NULL stays NULL."""
-    return F.date_format(F.timestamp_millis(ms), TEXT_TIMESTAMP)
+    return F.date_format(ms_to_moment(ms), TEXT_TIMESTAMP)
 
 
 def text_to_ms(text: Column) -> Column:

@@ -127,8 +127,9 @@ def _keys(**names: str) -> list[Column]:
 
 
 def _fact_columns(table: str) -> list[Column]:
-    """The declared columns of a fact table, cast before any comparison with stored rows."""
-    return [F.col(name).cast(kind).alias(name) for name, kind in columns_of(TABLES[table])]
+    """The declared columns of a fact table, cast before any comparison with stored rows; a value that
+    does not fit its column becomes NULL rather than ending the load."""
+    return [F.col(name).try_cast(kind).alias(name) for name, kind in columns_of(TABLES[table])]
 
 
 def dated(raw: DataFrame) -> DataFrame:
@@ -147,7 +148,7 @@ def recent(raw: DataFrame, as_of: str, days: int, column: str = "trading_date")
 
 
 def trade_star(raw: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
-    measures = [F.col("prior_val" if m == "prio_val" else m).cast(MONEY).alias(m) for m in TRADE_MEASURES]
+    measures = [F.col("prior_val" if m == "prio_val" else m).try_cast(MONEY).alias(m) for m in TRADE_MEASURES]
     keyed = dated(raw).select(
         *_keys(symbol="symbol", exchange="exchange", session="trading_session"), *measures
     )
@@ -162,7 +163,7 @@ def trade_facts(raw: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
 def quote_star(raw: DataFrame, dims: dict[str, DataFrame], levels: int = 3) -> DataFrame:
     """The first ``levels`` of the order book with star keys."""
     book = [
-        F.col(f"{side}_{part}{n}").cast(MONEY).alias(f"{side}_{part}{n}")
+        F.col(f"{side}_{part}{n}").try_cast(MONEY).alias(f"{side}_{part}{n}")
         for side in ("ask", "bid") for n in range(1, levels + 1) for part in ("price", "vol")
     ]
     keyed = dated(raw).select(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeworks.functions.text import number
-from tapeworks.functions.times import trading_date
+from tapeworks.functions.times import ms_to_moment, trading_date
 
 Fields = list[tuple[str, str, str]]
 BROKEN = "_broken"
@@ -81,18 +81,19 @@ def decode_ticks(messages: DataFrame, value: str = "value", *keep: str) -> DataF
     unread = F.lit(False)
     for name, kind in kinds.items():
         unread = unread | (text[name].isNotNull() & number(text[name], kind).isNull())
+    read = {name: F.coalesce(number(text[name], kind), F.lit(0).cast(kind)) for name, kind in kinds.items()}
+    event_ts = ms_to_moment(read["timestamp"])
     reason = (
         F.when(~is_object(F.col(value), F.col("_record")), "not a JSON object")
         .when(text["symbol"].isNull(), "no symbol")
-        .when(unread, "bad number")
+        .when(unread | event_ts.isNull(), "bad number")
     )
-    read = {name: F.coalesce(number(text[name], kind), F.lit(0).cast(kind)) for name, kind in kinds.items()}
     return opened.select(
         *keep,
         F.col(value).alias("_message"),
         F.trim(text["symbol"]).alias("symbol"),
         *[column.alias(name) for name, column in read.items()],
-        F.timestamp_millis(read["timestamp"]).alias("event_ts"),
+        event_ts.alias("event_ts"),
         reason.alias("reject_reason"),
     )
 

@@ -44,11 +44,13 @@ def test_ticks(spark):
     batch = sent(
         spark, '{"symbol":"BTC","price":68000.5,"volume":0.02,"timestamp":1710000000000}',
         '{"symbol":"A","price":"1.5","timestamp":"12"}', '{"price":1}', '{"symbol":"A","price":"x"}', "[1]",
+        '{"symbol":"A","timestamp":9000000000000000000}',
     )
     decoded = messages.decode_ticks(batch)
     got = [(r.symbol, r.price, r.volume, r.timestamp) for r in messages.good(decoded).collect()]
     assert got == [("BTC", 68000.5, 0.02, 1710000000000), ("A", 1.5, 0.0, 12)]
-    assert [r.reject_reason for r in messages.quarantine(decoded).collect()] == ["no symbol", "bad number", "not a JSON object"]
+    assert [r.reject_reason for r in messages.quarantine(decoded).collect()] == [
+        "no symbol", "bad number", "not a JSON object", "bad number"]
 
 
 def test_routing(spark):

@@ -74,6 +74,11 @@ def test_unknown_symbol_is_dropped_and_other_misses_stay(spark, dims):
     assert star.undated(raw).count() == 1
 
 
+def test_a_value_that_does_not_fit_becomes_null(spark, dims):
+    facts = star.trade_facts(trade(spark, (DAY1, "09:30:00", "VCB", 1e300, 1.0, 10.005)), dims).first()
+    assert facts.last_price is None and str(facts.total_val) == "10.01"
+
+
 def test_load_is_idempotent_over_several_dates(spark, dims):
     raw = trade(
         spark, (DAY1, "09:30:00", "VCB", 10.0, 1.0, 10.0), (DAY1, "09:30:00", "ACB", 11.0, 1.0, 11.0),
