@@ -5,6 +5,7 @@ from __future__ import annotations
 from tapeworks.llm.op1_quality_rules import op1_quality_rules
 from tapeworks.llm.op4_quality_classifier import op4_quality_classifier
 from tapeworks.llm.op5_url_filters import op5_url_filters
+from tapeworks.llm.op7_substring_dedup import OP7_SQL, op7_substring_dedup
 from tapeworks.llm.op9_sharding import op9_sharding
 from tapeworks.llm.op10_decontamination import OP10_SQL, op10_decontamination
 
@@ -12,7 +13,11 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_url_filters": op5_url_filters,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
 }
-SQL: dict[str, str] = {"op10_decontamination": OP10_SQL}
+SQL: dict[str, str] = {
+    "op7_substring_dedup": OP7_SQL,
+    "op10_decontamination": OP10_SQL,
+}
