@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tapeworks.llm.op1_quality_rules import op1_quality_rules
+from tapeworks.llm.op3_jaccard_join import OP3_SQL, op3_jaccard_join
 from tapeworks.llm.op4_quality_classifier import op4_quality_classifier
 from tapeworks.llm.op5_url_filters import op5_url_filters
 from tapeworks.llm.op7_substring_dedup import OP7_SQL, op7_substring_dedup
@@ -11,6 +12,7 @@ from tapeworks.llm.op10_decontamination import OP10_SQL, op10_decontamination
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_url_filters": op5_url_filters,
     "op7_substring_dedup": op7_substring_dedup,
@@ -18,6 +20,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
 }
 SQL: dict[str, str] = {
+    "op3_jaccard_join": OP3_SQL,
     "op7_substring_dedup": OP7_SQL,
     "op10_decontamination": OP10_SQL,
 }
