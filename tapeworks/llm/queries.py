@@ -7,6 +7,7 @@ from tapeworks.llm.op3_jaccard_join import OP3_SQL, op3_jaccard_join
 from tapeworks.llm.op4_quality_classifier import op4_quality_classifier
 from tapeworks.llm.op5_url_filters import op5_url_filters
 from tapeworks.llm.op7_substring_dedup import OP7_SQL, op7_substring_dedup
+from tapeworks.llm.op8_sentencepiece import op8_sentencepiece
 from tapeworks.llm.op9_sharding import op9_sharding
 from tapeworks.llm.op10_decontamination import OP10_SQL, op10_decontamination
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_url_filters": op5_url_filters,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
 }
