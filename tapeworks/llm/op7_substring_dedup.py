@@ -395,18 +395,18 @@ def remove_repeats(
     named, found = fresh(docs, "_doc_key"), fresh(docs, "_repeats")
     repeats = repeats.select(F.col("id").alias(named), F.col("repeats").alias(found))
     joined = docs.join(repeats, docs[doc_id].cast("long") == repeats[named], "left").drop(named)
-    place = docs.columns.index(text)
+    place, width_of = docs.columns.index(text), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):
                 texts = part.column(place)
                 changed = texts.to_pylist()
-                touched = [i for i, r in enumerate(part.column(len(docs.columns)).to_pylist()) if r]
+                touched = [i for i, r in enumerate(part.column(width_of).to_pylist()) if r]
                 if touched:
                     own = texts.take(pa.array(touched))
                     words, seqs = find_words(own), _seqs(_digests(own))
-                    lists = part.column(len(docs.columns)).take(pa.array(touched)).to_pylist()
+                    lists = part.column(width_of).take(pa.array(touched)).to_pylist()
                     for k, i in enumerate(touched):
                         for r in lists[k]:
                             if r["seq"] != seqs[k]:
@@ -417,7 +417,7 @@ def remove_repeats(
                             base = words.bounds[k]
                             changed[i] = _cut(raw, words.start[a:b] - base, words.end[a:b] - base, gone).decode()
                             break
-                columns = [part.column(i) for i in range(len(docs.columns))]
+                columns = [part.column(i) for i in range(width_of)]
                 columns[place] = pa.array(changed, schema.field(place).type)
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
