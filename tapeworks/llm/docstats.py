@@ -11,8 +11,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from tapeworks.llm.words import BYTE_BASE, BYTE_VALUES, Words, find_words, mix, run_hashes, slices
+from tapeworks.llm.words import BYTE_BASE, BYTE_VALUES, Words, batch_of, find_words, mix, run_hashes, slices
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SHARES = [
@@ -135,25 +137,19 @@ def map_stats(docs: DataFrame, text: str, keep: list[str], schema: str, build) -
 
     Runs inside the tasks that read the texts; no shuffle. Empty partitions give no rows.
     """
-    import pyspark.sql.types as T
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    fields = [docs.schema[name] for name in keep] + T._parse_datatype_string(schema).fields
-    out_schema = T.StructType(fields)
+    fields = [docs.schema[name] for name in keep] + StructType.fromDDL(schema).fields
+    out_schema = StructType(fields)
     arrow = to_arrow_schema(out_schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):
                 new = build(stats_of(part.column(text)))
-                columns = [part.column(name) for name in keep]
-                columns += [pa.array(new[f.name]).cast(arrow.field(f.name).type) for f in fields[len(keep):]]
-                yield pa.RecordBatch.from_arrays(
-                    [c.cast(arrow.field(i).type) for i, c in enumerate(columns)], schema=arrow
-                )
+                columns = [part.column(name) for name in keep] + [pa.array(new[f.name]) for f in fields[len(keep) :]]
+                yield batch_of(columns, arrow)
 
-    return docs.select(*keep, *([text] if text not in keep else [])).mapInArrow(run, out_schema)
+    read = [*keep, *([text] if text not in keep else [])]
+    return docs.select(*[F.col(f"`{c}`") for c in read]).mapInArrow(run, out_schema)
 
 
 def sample_by_hash(rows: DataFrame, id_column: str, most: int, seed: int = 17) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tapeworks.llm.docstats import sample_by_hash
 from tapeworks.llm.shared import table
-from tapeworks.llm.words import slices
+from tapeworks.llm.words import batch_of, slices
 
 # Element names of HTML (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -477,7 +477,7 @@ def extract_texts(pages: DataFrame, model: Model, keep: list[str], html: str = "
             for part in slices(batch, html):
                 texts = page_texts(model, part.column(html).to_pylist())
                 columns = [part.column(c) for c in keep] + [pa.array(texts, pa.string())]
-                yield pa.RecordBatch.from_arrays([c.cast(t.type) for c, t in zip(columns, schema)], schema=schema)
+                yield batch_of(columns, schema)
 
     out = StructType([*[pages.schema[c] for c in keep], StructField("text", StringType())])
     schema = to_arrow_schema(out)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tapeworks.llm.shared import fresh, table
-from tapeworks.llm.words import Words, find_words, mix, signed, slices
+from tapeworks.llm.words import Words, batch_of, find_words, mix, signed, slices
 from tapeworks.session import staged
 
 GRAM = 8
@@ -180,10 +180,6 @@ def _segments(rows: DataFrame, width: int, shard_words: int) -> DataFrame:
         if open_run:
             yield tuple(open_run)
 
-    def batch_of(out: list[tuple]) -> pa.RecordBatch:
-        columns = zip(zip(*out, strict=True), schema, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in columns], schema=schema)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -204,10 +200,10 @@ def _segments(rows: DataFrame, width: int, shard_words: int) -> DataFrame:
                             for salt in range(salts) if ref == own else (own % salts,):
                                 out.append((ref, salt, ref != own, own, known[i], start, data))
                         if len(out) >= 2000:
-                            yield batch_of(out)
+                            yield batch_of(list(zip(*out, strict=True)), schema)
                             out = []
                 if out:
-                    yield batch_of(out)
+                    yield batch_of(list(zip(*out, strict=True)), schema)
 
     out_schema = rows.sparkSession.createDataFrame([], SEGMENT).schema
     schema = to_arrow_schema(out_schema)
@@ -234,10 +230,7 @@ def _matched(segments: DataFrame, width: int, shard_words: int) -> DataFrame:
     """
 
     def emit(ids, seqs, firsts, lasts, ones, twos):
-        return pa.RecordBatch.from_arrays([
-            pa.array(c, f.type, from_pandas=False) if not isinstance(c, pa.Array) else c
-            for c, f in zip((ids, seqs, firsts, lasts, ones, twos), schema, strict=True)
-        ], schema=schema)
+        return batch_of([ids, seqs, firsts, lasts, ones, twos], schema)
 
     def left_over(own, seq, start, words, missing):
         one, two = _window_hashes(words, width)
@@ -347,7 +340,7 @@ def _cut(raw: bytes, start: np.ndarray, end: np.ndarray, gone: np.ndarray) -> by
 
 def removal_counts(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 50, shard_words: int = 100_000,
-    salt_rows: int = 1000,
+    salt_rows: int = 200,
 ) -> DataFrame:
     """``id, n_words, n_removed, kept_sha256`` for every row of ``docs``."""
     infos = staged(text_infos(docs, doc_id, text, width), "repeat-infos")
@@ -367,7 +360,7 @@ def removal_counts(
                         kept = [w for w, g in zip((raws[i] or "").encode().split(), gone, strict=True) if not g]
                         out.append((ids[i], int(seqs[i]), int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], schema=schema)
+                    yield batch_of(list(zip(*out, strict=True)), schema)
 
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     out_schema = docs.sparkSession.createDataFrame([], "id long, seq long, n_cut long, kept string").schema
@@ -387,7 +380,7 @@ def removal_counts(
 
 def remove_repeats(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 50, shard_words: int = 100_000,
-    salt_rows: int = 1000,
+    salt_rows: int = 200,
 ) -> DataFrame:
     """``docs`` with the spans of repeated windows cut out of the text; all rows and columns are kept."""
     infos = staged(text_infos(docs, doc_id, text, width), "repeat-infos")
@@ -419,7 +412,7 @@ def remove_repeats(
                             break
                 columns = [part.column(i) for i in range(width_of)]
                 columns[place] = pa.array(changed, schema.field(place).type)
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+                yield batch_of(columns, schema)
 
     schema = to_arrow_schema(docs.schema)
     return joined.mapInArrow(run, docs.schema)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tapeworks.llm.shared import table
-from tapeworks.llm.words import slices
+from tapeworks.llm.words import batch_of, slices
 from tapeworks.session import staged
 
 MARK = "▁"
@@ -252,11 +252,11 @@ def _encode_rows(docs: DataFrame, keep: list[str], text: str, model: bytes) -> D
                 values = np.frombuffer(b"".join(data), "<i4")
                 ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
                 columns = [part.column(c) for c in keep] + [ids, pa.array(same)]
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+                yield batch_of(columns, schema)
 
     out = _encoded_schema(docs, keep)
     schema = to_arrow_schema(out)
-    return docs.select(*keep, *([] if text in keep else [text])).mapInArrow(run, out)
+    return docs.select(*[F.col(f"`{c}`") for c in [*keep, *([] if text in keep else [text])]]).mapInArrow(run, out)
 
 
 def _encoded_schema(docs: DataFrame, keep: list[str]):

@@ -143,5 +143,12 @@ def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Itera
         at = to
 
 
+def batch_of(columns: list, schema: pa.Schema) -> pa.RecordBatch:
+    """A batch from arrays or sequences, in the types of ``schema``."""
+    arrays = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)]
+    arrays = [c if c.type == f.type else c.cast(f.type) for c, f in zip(arrays, schema, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
 def signed(hashes: np.ndarray) -> np.ndarray:
     return hashes.view(np.int64)
