@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from tapeworks.functions.text import json_record
 from tapeworks.functions.times import date_key
 from tapeworks.operators import forecast, merge, series, star
-from tapeworks.operators.joins import lookup
+from tapeworks.operators.joins import lookup, not_in
 from tapeworks.schemas import DAILY_INDEX, DAILY_PRICE, NATURAL_KEYS
 from tapeworks.session import staged
 from tapeworks.sources.responses import accepted, index_list_rows, load_rows, load_sectors
 from tapeworks.sources.stores import Store, month_of
 
-TRADE_DIMS = ("dim_date", "dim_time", "dim_symbol", "dim_exchange", "dim_session")
-INDEX_DIMS = ("dim_date", "dim_time", "dim_index", "dim_exchange", "dim_session")
+TRADE_DIMS = ("dim_symbol", "dim_exchange", "dim_session")
+INDEX_DIMS = ("dim_index", "dim_exchange", "dim_session")
 # Days of raw rows each incremental load looks back over.
 LOOK_BACK = {"fact_trade": 5, "fact_quote": 2}
 
@@ -50,8 +50,7 @@ def load_facts(table: str, facts: DataFrame, batch_dates: DataFrame, warehouse:
 
     Only the months of the batch are read back. ``batch_dates`` holds the date keys of the raw rows.
     """
-    unknown = facts.sparkSession.createDataFrame([(None,)], f"{star.DATE_KEY} int")  # dates without a dimension row
-    days = staged(batch_dates.select(star.DATE_KEY).distinct().unionByName(unknown), "batch_dates")
+    days = staged(batch_dates.select(star.DATE_KEY).distinct(), "batch_dates")
     # a literal list prunes partitions when the plan is made; it holds one entry per calendar month
     months = [row[0] for row in days.select(month_of(F.col(star.DATE_KEY))).distinct().collect()]
     fresh = star.new_rows(facts, warehouse.read(table, months), NATURAL_KEYS[table], days)
@@ -71,26 +70,41 @@ def fact_job(table: str, raw: str, build: Callable, dims: tuple[str, ...]) -> Ca
 
 
 def load_features(source: Store, warehouse: Store) -> int:
-    """The daily series of every symbol, from the trades; replaces the feature table."""
-    rows = series.daily_series(source.read("raw_trade"))
-    warehouse.replace("feature_data", rows)
+    """Trade facts with symbol and date in place of their keys; replaces the feature table."""
+    dims = {name: warehouse.read(name) for name in ("dim_symbol", "dim_date")}
+    warehouse.replace("feature_data", star.feature_rows(warehouse.read("fact_trade"), dims))
     return warehouse.read("feature_data").count()
 
 
+def load_daily_features(source: Store, warehouse: Store) -> int:
+    """The daily series of every symbol, from the raw trades; replaces the table that is trained on."""
+    warehouse.replace("daily_features", series.daily_series(source.read("raw_trade")))
+    return warehouse.read("daily_features").count()
+
+
+def append_unknown(warehouse: Store, table: str, rows: DataFrame) -> int:
+    """Append the rows whose natural key is not stored yet, one of each."""
+    keys = NATURAL_KEYS[table]
+    return warehouse.append(table, not_in(merge.first_by_key(rows, keys), warehouse.read(table), keys))
+
+
 def train(source: Store, warehouse: Store) -> int:
     """Train on what is new, predict the next price of every trained symbol, and log it.
 
-    The model table keeps the training sums of each symbol, so that training goes on from them;
-    symbols without new rows keep their model. Returns the number of symbols trained.
+    The state keeps the training sums and the last price of each symbol, so that training goes on from them;
+    symbols without new rows keep their model. Predictions are stored once per symbol and day, and the state,
+    which moves the mark, is written last: a run that broke off is simply run again. Returns the number of
+    symbols trained.
     """
-    features, stored = warehouse.read("feature_data"), warehouse.read("model_state")
+    features, stored = warehouse.read("daily_features"), warehouse.read("model_state")
     enough = series.with_min_history(features, 3)
-    fresh = staged(forecast.pair_sums(series.newer_than(enough, stored)), "new_sums")
+    fresh = staged(forecast.new_sums(enough, stored), "new_sums")
     merged = staged(forecast.merge_states(stored, fresh), "model_state")
     lines = forecast.line_of(merged).join(fresh.select("symbol"), "symbol", "left_semi")
     predictions = staged(forecast.predict_line(lines, features), "predictions")
-    warehouse.append("target_data", forecast.target_rows(predictions))
-    warehouse.append("prediction_log", forecast.prediction_rows(predictions))
+    append_unknown(warehouse, "target_data", forecast.target_rows(predictions))
+    append_unknown(warehouse, "prediction_log", forecast.prediction_rows(predictions))
+    warehouse.replace("model_info", forecast.model_rows(merged, forecast.evaluate(enough)))
     warehouse.replace("model_state", merged)
     return fresh.count()
 
@@ -125,13 +139,29 @@ def load_index_list(items: DataFrame, markets: DataFrame, sequence: str, warehou
 
 
 def load_daily(table: str, records: DataFrame, warehouse: Store) -> int:
-    """Append the accepted records of ``daily_index`` or ``daily_price`` responses."""
+    """Append the accepted records of ``daily_index`` or ``daily_price`` responses that are not stored yet."""
     fields, code = {"daily_index": (DAILY_INDEX, "IndexId"), "daily_price": (DAILY_PRICE, "Symbol")}[table]
-    return warehouse.append(table, accepted(load_rows(records, fields, code)))
+    return append_unknown(warehouse, table, accepted(load_rows(records, fields, code)))
 
 
 def load_sector_file(rows: DataFrame, warehouse: Store) -> int:
-    return warehouse.append("sector", load_sectors(rows))
+    return append_unknown(warehouse, "sector", load_sectors(rows).dropna(subset=["symbol_id"]))
+
+
+def _index_list_job(source: Store, warehouse: Store) -> int:
+    load_index_list(source.read("landed_index_list"), source.read("markets"), "arrival", warehouse)
+    return warehouse.read("index_list").count()
+
+
+def export_csv(table: str, code: str) -> Callable[[Store, Store], int]:
+    """Landed records that have their code, as a CSV folder with a header; replaces the last export."""
+
+    def job(source: Store, warehouse: Store) -> int:
+        rows = source.read(f"landed_{table}")
+        trimmed = rows.select(*[F.trim(c).alias(c) for c in rows.columns])
+        return warehouse.export(table, trimmed.where((F.col(code) != "") & F.col(code).isNotNull()))
+
+    return job
 
 
 def _names(raw: str, column: str, name: str) -> Callable[[Store], DataFrame]:
@@ -154,5 +184,15 @@ JOBS: dict[str, Callable[..., int]] = {
     "fact_quote": fact_job("fact_quote", "raw_quote", star.quote_facts, TRADE_DIMS),
     "fact_market_index": fact_job("fact_market_index", "raw_index", star.index_facts, INDEX_DIMS),
     "features": load_features,
+    "daily_features": load_daily_features,
     "train": train,
+    "securities": lambda source, warehouse: load_securities(source.read("landed_securities"), warehouse),
+    "security_detail": lambda source, warehouse: load_security_details(source.read("landed_security_details"), warehouse),
+    "index_list": _index_list_job,
+    "daily_index": lambda source, warehouse: load_daily("daily_index", source.read("landed_daily_index"), warehouse),
+    "daily_price": lambda source, warehouse: load_daily("daily_price", source.read("landed_daily_price"), warehouse),
+    "sector": lambda source, warehouse: load_sector_file(source.read("landed_sectors"), warehouse),
+    "index_components": export_csv("index_components", "StockSymbol"),
+    "daily_bars": export_csv("daily_bars", "Symbol"),
+    "intraday_bars": export_csv("intraday_bars", "Symbol"),
 }

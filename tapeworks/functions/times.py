@@ -29,14 +29,14 @@ def clock_text(seconds_of_day: Column) -> Column:
 
 
 def trading_date(text: Column) -> Column:
-    """Wire date ``dd/MM/yyyy`` (one-digit day and month allowed) to a date, else NULL."""
+    """Wire date ``dd/MM/yyyy`` (one-digit day and month allowed) of the years 1900 to 2199, else NULL."""
     text = F.trim(text)
-    wire_form = text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$")
+    wire_form = text.rlike(r"^\d{1,2}/\d{1,2}/(19|2[01])\d{2}$")
     return F.when(wire_form, F.try_to_date(text, "d/M/yyyy"))
 
 
 def now_ms() -> Column:
-    """The current time in epoch milliseconds."""
+    """The current time in epoch milliseconds, the same for all rows of a query."""
     return F.unix_millis(F.current_timestamp())
 
 

@@ -6,12 +6,10 @@ they are, and only the sums of a symbol meet.
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +23,8 @@ MODEL = "LAG1"
 FLUSH_KEYS = 5_000
 STATE = ["n", "sx", "sy", "sxx", "sxy"]
 
-# the functions run in tasks travel with the job, so executors need not have the package installed
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
+#: Added to the variances of scaled regressors: far below any that matters, and above rounding.
+RIDGE = 1e-9
 
 # One lag: price of the next row from the price of this row
 
@@ -130,7 +127,7 @@ def actual_vs_predicted(series: DataFrame) -> DataFrame:
 
 
 def pair_sums(series: DataFrame, price: str = PRICE) -> DataFrame:
-    """Training state of a series: sums over its consecutive prices, bounds and last day."""
+    """Training state of a series: sums over its consecutive prices, bounds, and the last day with its price."""
     pairs = series.select(SYMBOL, DAY, F.col(price).alias("x"), F.lead(price).over(by_day()).alias("y"))
     have = F.col("y").isNotNull()
     x, y = F.when(have, F.col("x")), F.col("y")
@@ -143,6 +140,7 @@ def pair_sums(series: DataFrame, price: str = PRICE) -> DataFrame:
         F.min("x").alias("lo"),
         F.max("x").alias("hi"),
         F.max(DAY).alias("last_train_date"),
+        F.max_by("x", DAY).alias("last_x"),
     )
 
 
@@ -153,12 +151,26 @@ def merge_states(old: DataFrame, new: DataFrame) -> DataFrame:
         F.min("lo").alias("lo"),
         F.max("hi").alias("hi"),
         F.max("last_train_date").alias("last_train_date"),
+        F.max_by("last_x", "last_train_date").alias("last_x"),
     )
 
 
+def new_sums(series: DataFrame, state: DataFrame, price: str = PRICE) -> DataFrame:
+    """Sums over the rows after each symbol's mark, the pair that crosses the mark included.
+
+    The state keeps the last price before the mark, which the first new price follows. Symbols without
+    new rows have no sums.
+    """
+    fresh = newer_than(series, state).select(SYMBOL, DAY, price)
+    before = state.select(SYMBOL, F.col("last_train_date").alias(DAY), F.col("last_x").alias(price))
+    before = before.join(fresh.select(SYMBOL).distinct(), SYMBOL, "left_semi")
+    return pair_sums(before.unionByName(fresh), price)
+
+
 def incremental_fit(series: DataFrame, state: DataFrame) -> DataFrame:
-    """The stored state after training on the rows that came after each symbol's mark."""
-    return merge_states(state, pair_sums(newer_than(series, state)))
+    """The stored state after training on the rows that came after each symbol's mark: training in steps
+    gives the sums of training at once."""
+    return merge_states(state, new_sums(series, state))
 
 
 def line_of(state: DataFrame) -> DataFrame:
@@ -199,45 +211,56 @@ def prediction_rows(predictions: DataFrame) -> DataFrame:
     )
 
 
-def model_rows(models: DataFrame, series: DataFrame, metrics: DataFrame) -> DataFrame:
-    """One row per trained symbol: name, training mark, scale, coefficients and hold-out metrics."""
-    marks = series.groupBy(SYMBOL).agg(F.max(DAY).alias("last_train_date"))
-    return (
-        models.join(marks, SYMBOL).join(metrics, SYMBOL, "left")
-        .select(
-            SYMBOL,
-            model_name().alias("model_name"),
-            F.lit(MODEL).alias("model_type"),
-            F.concat(F.lit("models/"), model_name()).alias("model_path"),
-            "last_train_date", "mse", "mae", "r2", "lo", "hi", "slope", "intercept",
-        )
+def model_rows(state: DataFrame, metrics: DataFrame) -> DataFrame:
+    """One row per symbol of a training state: name, mark, hold-out metrics, and the line in price units."""
+    return line_of(state).join(metrics, SYMBOL, "left").select(
+        SYMBOL,
+        model_name().alias("model_name"),
+        F.lit(MODEL).alias("model_type"),
+        F.concat(F.lit("models/"), model_name()).alias("model_path"),
+        "last_train_date", "mse", "mae", "r2", "lo", "hi", "slope", "intercept",
     )
 
 
 # Many lags and features
 
 
+def _regressors(features: Sequence[str]) -> Column:
+    """All features of all steps as one array, the oldest step first."""
+    return F.flatten(F.transform("steps", lambda s: F.array(*[s[c].cast("double") for c in features])))
+
+
+def fit_products(
+    sequences: DataFrame, features: Sequence[str] = FEATURES, key: str = SYMBOL
+) -> DataFrame:
+    """Sums per key of the products of (1, regressors, label): ``key, row, column, total``, upper triangle only.
+
+    Each task reduces its rows to one triangle per key; Spark adds the cells up. Rows with a missing value
+    are left out.
+    """
+    rows = sequences.where("label is not null").select(
+        F.col(key).cast("string").alias("_key"), _regressors(features).alias("_x"), F.col("label").cast("double").alias("_y")
+    )
+    sums = rows.mapInPandas(_partial_products, "_key string, _width int, _products array<double>")
+    cells = sums.select("_key", "_width", F.posexplode("_products").alias("_at", "_product"))
+    added = cells.groupBy("_key", "_width", "_at").agg(F.sum("_product").alias("total"))
+    return added.select(F.col("_key").alias(key), F.col("_width").alias("width"), F.col("_at").alias("at"), "total")
+
+
 def fit_sequences(
     sequences: DataFrame, length: int, features: Sequence[str] = FEATURES, key: str = SYMBOL
 ) -> DataFrame:
     """Least squares of ``label`` on all features of all ``steps``, one model per key.
 
-    Each task reduces its rows to the products of the regressors, a fixed number per key, and the
-    products are added up by Spark before the equations of a key are solved. Regressors that do not
-    vary or repeat one another get the solution of least norm.
+    Features should be scaled alike (to [0, 1], say). The covariances of the regressors get ``RIDGE`` on their
+    diagonal: a regressor that does not vary gets no weight, and regressors that repeat one another share
+    theirs, so that every key has one solution.
     """
-    flat = F.flatten(F.transform("steps", lambda s: F.array(*[s[c].cast("double") for c in features])))
-    rows = sequences.where("label is not null").select(
-        F.col(key).cast("string").alias("_key"), flat.alias("_x"), F.col("label").cast("double").alias("_y")
-    )
     width = length * len(features) + 2  # constant, regressors, label
-    sums = rows.mapInPandas(_partial_products, "_key string, _products array<double>")
-    added = (
-        sums.select("_key", F.posexplode("_products").alias("_at", "_product"))
-        .groupBy("_key", "_at").agg(F.sum("_product").alias("_product"))
-        .groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_at", "_product"))).alias("_cells"))
-        .select("_key", F.transform("_cells", lambda c: c["_product"]).alias("_products"))
+    cells = fit_products(sequences, features, key).groupBy(F.col(key).alias("_key")).agg(
+        F.sort_array(F.collect_list(F.struct("at", "total"))).alias("_cells")
     )
+    added = cells.select("_key", F.transform("_cells", lambda c: c["total"]).alias("_products"))
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -253,7 +276,9 @@ def _partial_products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
     held: dict[str, np.ndarray] = {}
 
     def emit() -> pd.DataFrame:
-        out = pd.DataFrame({"_key": list(held), "_products": [m.ravel() for m in held.values()]})
+        width = len(next(iter(held.values())))
+        upper = np.triu_indices(width)
+        out = pd.DataFrame({"_key": list(held), "_width": width, "_products": [m[upper] for m in held.values()]})
         held.clear()
         return out
 
@@ -271,18 +296,22 @@ def _partial_products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
 
 
 def _solve(key: str, products: np.ndarray, width: int) -> tuple:
-    moments = np.asarray(products, dtype=float).reshape(width, width)
-    left, right, n = moments[:-1, :-1], moments[:-1, -1], moments[0, 0]
+    moments = np.zeros((width, width))
+    moments[np.triu_indices(width)] = products
+    n = moments[0, 0]
     if n == 0:
         return key, 0, None, None, None
-    weights, *_ = np.linalg.lstsq(left, right, rcond=1e-10)
-    residual = moments[-1, -1] - 2 * weights @ right + weights @ left @ weights
-    return key, int(n), float(weights[0]), weights[1:].tolist(), float(max(residual, 0.0) / n)
+    means = moments[0, 1:] / n
+    upper = moments[1:, 1:] / n - np.outer(means, means)
+    covariance = np.triu(upper) + np.triu(upper, 1).T
+    left, right = covariance[:-1, :-1], covariance[:-1, -1]
+    weights = np.linalg.solve(left + RIDGE * np.eye(len(left)), right)
+    error = covariance[-1, -1] - 2 * weights @ right + weights @ left @ weights
+    return key, int(n), float(means[-1] - weights @ means[:-1]), weights.tolist(), float(max(error, 0.0))
 
 
 def score_sequences(models: DataFrame, scoring: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     """The scaled price each fitted model expects after the scoring sequence of its symbol."""
-    flat = F.flatten(F.transform("steps", lambda s: F.array(*[s[c].cast("double") for c in features])))
-    terms = F.zip_with("weights", flat, lambda w, x: w * x)
+    terms = F.zip_with("weights", _regressors(features), lambda w, x: w * x)
     value = F.aggregate(terms, F.col("intercept"), lambda total, term: total + term)
     return scoring.join(models, SYMBOL).select(SYMBOL, DAY, value.alias("predicted_scaled"))

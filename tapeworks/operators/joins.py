@@ -1,4 +1,4 @@
-"""Equi-joins against reference data whose size is checked before it is broadcast."""
+"""Equi-joins against reference data, and anti joins."""
 
 from __future__ import annotations
 
@@ -7,51 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
-SALTS = 32
-
-
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows. The count is distributed, and on a stored table it
-    comes from the file footers."""
-    return df.count() <= rows
-
 
 def lookup(
-    facts: DataFrame,
-    reference: DataFrame,
-    on: dict[str, str],
-    take: Sequence[str | Column],
-    how: str = "left",
-    broadcast_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
-    bounded: bool = False,
+    facts: DataFrame, reference: DataFrame, on: dict[str, str], take: Sequence[str | Column], how: str = "left"
 ) -> DataFrame:
     """Join ``facts`` to ``reference`` rows, unique on the keys, taking the columns ``take``.
 
-    ``on`` maps fact columns to reference columns. A reference table within ``broadcast_rows`` is
-    broadcast, as is one that is ``bounded`` by its nature (calendar days, seconds of a day). A larger one is repeated once per salt and both sides are hashed on key and salt, so
-    that a key holding much of the facts (NULL included) is spread over ``salts`` tasks.
+    ``on`` maps fact columns to reference columns. Building the plan runs nothing: a stored table within the
+    session's broadcast threshold is broadcast by its size in files, a computed one by its size at run time, and
+    beyond that both sides are shuffled, where adaptive execution splits the partitions of hot keys (NULL included).
     """
     right_keys = {f"_key_{i}": F.col(right) for i, right in enumerate(on.values())}
     picked = [F.col(c) if isinstance(c, str) else c for c in take]
-    right = reference.select(*[c.alias(n) for n, c in right_keys.items()], *picked)
-    right = right.dropna(subset=list(right_keys))
-    if bounded or is_small(right, broadcast_rows):
-        right = F.broadcast(right)
-    else:
-        spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-        right = right.withColumn("_salt", spread)
-        # the partition number spreads copies of one row, which hash alike, and is the same on a retry
-        salt = F.pmod(F.pmod(F.xxhash64(*facts.columns), F.lit(salts)) + F.spark_partition_id(), F.lit(salts))
-        facts = facts.withColumn("_fact_salt", salt.cast("int"))
-    match = [F.col(left) == F.col(f"_key_{i}") for i, left in enumerate(on)]
-    if "_salt" in right.columns:
-        match.append(F.col("_fact_salt") == F.col("_salt"))
-    condition = match[0]
-    for extra in match[1:]:
-        condition = condition & extra
-    return facts.join(right, condition, how).drop(*right_keys, "_salt", "_fact_salt")
+    right = reference.select(*[c.alias(n) for n, c in right_keys.items()], *picked).dropna(subset=list(right_keys))
+    condition = F.lit(True)
+    for i, left in enumerate(on):
+        condition = condition & (F.col(left) == F.col(f"_key_{i}"))
+    return facts.join(right, condition, how).drop(*right_keys)
 
 
 def not_in(new: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:

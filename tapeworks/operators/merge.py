@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from tapeworks.functions.text import row_hash
 from tapeworks.operators.joins import not_in
 
-KEY_BUCKETS = 4096
-
 
 def first_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
     """One row per key: the first by ``order``, then by every other column, NULLs first.
@@ -44,12 +42,13 @@ def insert_ignore(existing: DataFrame, batch: DataFrame, key: str, sequence: str
 
 
 def upsert(existing: DataFrame, batch: DataFrame, key: str, sequence: str) -> DataFrame:
-    """``existing`` with ``batch`` merged in: the last batch row per key replaces the old one."""
-    values = [c for c in existing.columns if c != key]
-    old = existing.select(key, F.lit(0).alias("_age"), F.lit(None).cast("bigint").alias("_seq"), *values)
-    new = batch.select(key, F.lit(1).alias("_age"), F.col(sequence).cast("bigint").alias("_seq"), *values)
-    latest = F.max_by(F.struct(*values), F.struct("_age", "_seq", *values)).alias("_row")
-    return old.unionByName(new).groupBy(key).agg(latest).select(key, "_row.*")
+    """``existing`` with ``batch`` merged in: the last batch row per key replaces the old one.
+
+    Only the batch is ordered; stored rows are kept by an anti join, which needs no sort of them
+    while the keys of the batch can be broadcast.
+    """
+    newest = first_by_key(batch, [key], [F.col(sequence).cast("bigint").desc_nulls_last()]).select(*existing.columns)
+    return not_in(existing, newest, [key]).unionByName(newest)
 
 
 def append_new(existing: DataFrame, collected: DataFrame, key: str) -> DataFrame:
@@ -75,7 +74,7 @@ def surrogate_keys(members: DataFrame, name: str, key: str, start: Column | int
     start = F.lit(start) if isinstance(start, int) else start
     number = start + F.col("_offset") + F.row_number().over(within)
     return (
-        hashed.join(F.broadcast(offsets), "_bucket")  # at most KEY_BUCKETS rows
+        hashed.join(F.broadcast(offsets), "_bucket")  # a row per digest prefix, 4,096 at most
         .withColumn(key, number.cast("bigint"))
         .select(key, *members.columns)
     )

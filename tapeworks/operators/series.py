@@ -8,6 +8,7 @@ see ``ticks.py``.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -31,24 +32,32 @@ def by_day() -> WindowSpec:
 def daily_series(trades: DataFrame) -> DataFrame:
     """One row per symbol and day: the day's last trade, with totals and extremes of the day.
 
-    Trades of one second are ordered by their feature values, so the result does not depend on the
-    order of the input. Values are combined before the shuffle.
+    Trades of one second are ordered by price, then by a hash of their features, so the result does
+    not depend on the order of the input. Values are combined before the shuffle, in a hash aggregate.
     """
     state = [c for c in FEATURES if c not in ("total_val", "highest", "lowest")]
     rows = trades.where("trading_date is not null").select(
         F.trim("symbol").alias(SYMBOL),
         F.col("trading_date").alias(DAY),
-        F.struct(clock_key(F.col("time")).alias("at"), *state).alias("_last"),
-        "total_val", "highest", "lowest",
+        _trade_order(clock_key(F.col("time")), F.col("last_price"), state).alias("_order"),
+        *FEATURES,
     )
     days = rows.groupBy(SYMBOL, DAY).agg(
-        F.max("_last").alias("_last"),
+        *[F.max_by(c, "_order").alias(c) for c in state],
         F.sum("total_val").alias("total_val"),
         F.max("highest").alias("highest"),
         F.min("lowest").alias("lowest"),
     )
-    picked = {c: F.col(f"_last.{c}") for c in state}
-    return days.select(SYMBOL, DAY, *[picked.get(c, F.col(c)).alias(c) for c in FEATURES])
+    return days.select(SYMBOL, DAY, *FEATURES)
+
+
+def _trade_order(at: Column, price: Column, columns: Sequence[str]) -> Column:
+    """Time, price in ten-thousandths and a hash of ``columns``, packed in one DECIMAL(38): a number stays in a
+    hash aggregate, where a struct would force a sort of all trades. Missing parts come first."""
+    whole = F.coalesce(F.round(price * 10_000).try_cast("decimal(17,0)"), F.lit(Decimal(-10**16)))
+    tie = F.pmod(F.xxhash64(*columns), F.lit(10**14)).cast("decimal(14,0)")
+    shifted = F.coalesce(at, F.lit(-1)).cast("decimal(6,0)") * F.lit(Decimal(10**17)) + whole.cast("decimal(18,0)")
+    return (shifted.cast("decimal(24,0)") * F.lit(Decimal(10**14)) + tie).cast("decimal(38,0)")
 
 
 def feature_bounds(rows: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
@@ -68,12 +77,14 @@ def with_min_history(series: DataFrame, rows: int = 3) -> DataFrame:
     return series.withColumn("_rows", F.count("*").over(by_symbol())).where(F.col("_rows") >= rows).drop("_rows")
 
 
-def latest(rows: DataFrame, order: Sequence[str] = (DAY,)) -> DataFrame:
-    """The last row of every symbol, as an aggregate: works at any number of rows per symbol."""
-    values = [c for c in rows.columns if c != SYMBOL]
-    return rows.groupBy(SYMBOL).agg(F.max_by(F.struct(*values), F.struct(*order, *values)).alias("_row")).select(
-        SYMBOL, "_row.*"
-    )
+def latest(rows: DataFrame, order: str = DAY) -> DataFrame:
+    """The last row of every symbol by ``order``, which must not repeat within a symbol.
+
+    A hash aggregate of one value per column, at any number of rows per symbol.
+    """
+    values = [c for c in rows.columns if c not in (SYMBOL, order)]
+    last = rows.groupBy(SYMBOL).agg(F.max(order).alias(order), *[F.max_by(c, order).alias(c) for c in values])
+    return last.select(*rows.columns)
 
 
 def sequences(series: DataFrame, length: int, features: Sequence[str] = FEATURES) -> DataFrame:
@@ -88,6 +99,14 @@ def sequences(series: DataFrame, length: int, features: Sequence[str] = FEATURES
     return rows.where(F.size("steps") == length)
 
 
+def labels(series: DataFrame, length: int, price: str = FEATURES[0]) -> DataFrame:
+    """Date and price of every row that has ``length`` rows before it."""
+    numbered = series.select(
+        SYMBOL, F.col(DAY).alias("label_date"), F.col(price).alias("label"), F.row_number().over(by_day()).alias("_n")
+    )
+    return numbered.where(F.col("_n") > length).drop("_n")
+
+
 def scoring_sequence(series: DataFrame, length: int, features: Sequence[str] = FEATURES) -> DataFrame:
     """The last ``length`` rows of every symbol that has as many."""
     back = by_symbol().orderBy(F.col(DAY).desc())

@@ -27,12 +27,10 @@ class Link(NamedTuple):
     match: str
     key: str
     how: str = "left"
-    bounded: bool = False
 
 
-# a row per calendar day (under 37,000 in a century), a row per second of the day (86,400)
-DATE = Link("_date_key", "dim_date", "tradingdate_key", "tradingdate_key", bounded=True)
-TIME = Link("_time_key", "dim_time", "time_key", "time_key", bounded=True)
+DATE = Link("_date_key", "dim_date", "tradingdate_key", "tradingdate_key")
+TIME = Link("_time_key", "dim_time", "time_key", "time_key")
 EXCHANGE = Link("_exchange", "dim_exchange", "exchange_name", "exchange_key")
 SESSION = Link("_session", "dim_session", "trading_session", "trading_session_key")
 SYMBOL = Link("_symbol", "dim_symbol", "symbol", "symbol_key", "inner")
@@ -109,19 +107,24 @@ def number_members(candidates: DataFrame, existing: DataFrame, name: str, key: s
 
 
 def star_lookup(raw: DataFrame, dims: dict[str, DataFrame], links: Sequence[Link]) -> DataFrame:
-    """Attach the key of every linked dimension; each is broadcast if bounded by the calendar, else after a size check."""
+    """Attach the key of every linked dimension."""
     for link in links:
         taken = F.col(link.key).alias(f"_found_{link.key}")
-        raw = lookup(raw, dims[link.dimension], {link.column: link.match}, [taken], link.how, bounded=link.bounded)
+        raw = lookup(raw, dims[link.dimension], {link.column: link.match}, [taken], link.how)
         raw = raw.drop(link.column).withColumnRenamed(f"_found_{link.key}", link.key)
     return raw
 
 
 def _keys(**names: str) -> list[Column]:
-    """Join columns of a raw row: int date and time keys, trimmed names."""
+    """Key columns of a raw row: its date and time keys, and the trimmed names to look up.
+
+    Date and time keys are functions of the row and do not wait for their dimension: a member that comes later
+    neither merges two trades before it nor makes a stored trade look new afterwards. The report on
+    orphans tells which members are missing.
+    """
     return [
-        date_key(F.col("trading_date")).alias("_date_key"),
-        clock_key(F.col("time")).alias("_time_key"),
+        date_key(F.col("trading_date")).alias("tradingdate_key"),
+        clock_key(F.col("time")).alias("time_key"),
         *[F.trim(F.col(column)).alias(f"_{alias}") for alias, column in names.items()],
     ]
 
@@ -152,7 +155,7 @@ def trade_star(raw: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
     keyed = dated(raw).select(
         *_keys(symbol="symbol", exchange="exchange", session="trading_session"), *measures
     )
-    linked = star_lookup(keyed, dims, [SYMBOL, DATE, TIME, EXCHANGE, SESSION])
+    linked = star_lookup(keyed, dims, [SYMBOL, EXCHANGE, SESSION])
     return linked.select(*_fact_columns("fact_trade"))
 
 
@@ -169,7 +172,7 @@ def quote_star(raw: DataFrame, dims: dict[str, DataFrame], levels: int = 3) -> D
     keyed = dated(raw).select(
         *_keys(symbol="symbol_id", exchange="exchange", session="trading_session"), *book
     )
-    return star_lookup(keyed, dims, [SYMBOL, DATE, TIME, EXCHANGE, SESSION])
+    return star_lookup(keyed, dims, [SYMBOL, EXCHANGE, SESSION])
 
 
 def quote_facts(raw: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
@@ -182,7 +185,7 @@ def index_star(raw: DataFrame, dims: dict[str, DataFrame], *carry: str) -> DataF
     keyed = dated(raw).select(
         *_keys(index="index_name", exchange="exchange", session="trading_session"), *measures, *carry
     )
-    return star_lookup(keyed, dims, [DATE, TIME, INDEX, EXCHANGE, SESSION])
+    return star_lookup(keyed, dims, [INDEX, EXCHANGE, SESSION])
 
 
 def index_facts(raw: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
@@ -199,7 +202,7 @@ def new_rows(facts: DataFrame, existing: DataFrame, keys: Sequence[str], batch_d
     keys of the batch: at most one row per calendar day once made distinct.
     """
     days = batch_dates.select(F.col(DATE_KEY).alias("_day")).distinct()
-    touched = existing.join(F.broadcast(days), F.col(DATE_KEY).eqNullSafe(F.col("_day")), "left_semi")
+    touched = existing.join(days, F.col(DATE_KEY).eqNullSafe(F.col("_day")), "left_semi")
     return not_in(facts, touched, keys)
 
 

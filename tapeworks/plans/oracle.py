@@ -76,14 +76,13 @@ dim_session AS ({numbered("SELECT DISTINCT l_returnflag AS trading_session FROM
 dim_symbol AS ({numbered('''SELECT s_suppkey::VARCHAR AS symbol, s_name AS symbol_name, upper(s_name) AS symbol_en_name,
   n_name AS sector FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey''', "symbol", "symbol_key")})"""
 
-STAR_KEYS = "tradingdate_key, time_key, {entity}_key, exchange_key, trading_session_key"
+STAR_KEYS = day_key("trading_date") + " AS tradingdate_key, tk AS time_key, {entity}_key, exchange_key, trading_session_key"
 
 FACT_TRADE = f"""
 trade_star AS (
   SELECT {STAR_KEYS.format(entity='symbol')}, last_price, avg_price, ceiling, floor, ref_price, prior_val AS prio_val,
     last_vol, total_val, change, ratio_change, highest, lowest
-  FROM trade JOIN dim_symbol USING (symbol) LEFT JOIN dim_date ON tradingdate = trading_date
-    LEFT JOIN dim_time ON time_key = tk LEFT JOIN dim_exchange ON exchange_name = exchange
+  FROM trade JOIN dim_symbol USING (symbol) LEFT JOIN dim_exchange ON exchange_name = exchange
     LEFT JOIN dim_session ON dim_session.trading_session = trade.trading_session),
 fact_trade AS (
   SELECT * FROM trade_star QUALIFY row_number() OVER (
@@ -95,8 +94,7 @@ _BOOK = ", ".join(f"{side}_price{n}, {side}_vol{n}" for side in ("ask", "bid") f
 FACT_QUOTE = f"""
 quote_star AS (
   SELECT {STAR_KEYS.format(entity='symbol')}, {_BOOK}
-  FROM quote JOIN dim_symbol ON symbol = symbol_id LEFT JOIN dim_date ON tradingdate = trading_date
-    LEFT JOIN dim_time ON time_key = tk LEFT JOIN dim_exchange ON exchange_name = exchange
+  FROM quote JOIN dim_symbol ON symbol = symbol_id LEFT JOIN dim_exchange ON exchange_name = exchange
     LEFT JOIN dim_session ON dim_session.trading_session = quote.trading_session),
 fact_quote AS (
   SELECT * FROM quote_star QUALIFY row_number() OVER (
@@ -106,8 +104,7 @@ fact_quote AS (
 
 INDEX_MEASURES = """index_value.index_value, prior_index_value AS prio_index_value, change, ratio_change, total_qtty,
     total_value, total_qtty_pt, total_value_pt, advances, nochanges, declines, ceilings, floors"""
-INDEX_JOINS = """index_value LEFT JOIN dim_date ON tradingdate = trading_date LEFT JOIN dim_time ON time_key = tk
-    LEFT JOIN dim_index ON dim_index.index_name = index_value.index_name
+INDEX_JOINS = """index_value LEFT JOIN dim_index ON dim_index.index_name = index_value.index_name
     LEFT JOIN dim_exchange ON exchange_name = exchange
     LEFT JOIN dim_session ON dim_session.trading_session = index_value.trading_session"""
 FACT_INDEX = f"""

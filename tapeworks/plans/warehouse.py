@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.etl import load_facts
+from tapeworks.etl import JOBS, load_facts
 from tapeworks.functions.text import row_hash
 from tapeworks.functions.times import clock_key, date_key
 from tapeworks.operators import merge, star
@@ -21,6 +21,7 @@ from tapeworks.sources.stores import ParquetStore
 CUTOFF = "1998-01-01"
 CUTOFF_KEY = 19980101
 TRADE_DIMS = ["dim_date", "dim_time", "dim_symbol", "dim_exchange", "dim_session"]
+FACT_DIMS = ["dim_symbol", "dim_exchange", "dim_session"]
 INDEX_DIMS = ["dim_date", "dim_time", "dim_index", "dim_exchange", "dim_session"]
 TRADE_SQL = o.with_(o.TRADE, o.DIMS, o.FACT_TRADE)
 
@@ -127,17 +128,17 @@ def symbol_inner_lookup(t: Inputs) -> DataFrame:
 
 @query("fact_trade", TRADE_SQL + "SELECT * FROM fact_trade")
 def fact_trade(t: Inputs) -> DataFrame:
-    return star.trade_facts(t.trades(), t.dims(*TRADE_DIMS))
+    return star.trade_facts(t.trades(), t.dims(*FACT_DIMS))
 
 
 @query("fact_quote", o.with_(o.QUOTE, o.DIMS, o.FACT_QUOTE) + "SELECT * FROM fact_quote")
 def fact_quote(t: Inputs) -> DataFrame:
-    return star.quote_facts(t.quotes(), t.dims(*TRADE_DIMS))
+    return star.quote_facts(t.quotes(), t.dims(*FACT_DIMS))
 
 
 @query("fact_market_index", o.with_(o.INDEX, o.DIMS, o.FACT_INDEX) + "SELECT * FROM fact_market_index")
 def fact_market_index(t: Inputs) -> DataFrame:
-    return star.index_facts(t.index_values(), t.dims(*INDEX_DIMS))
+    return star.index_facts(t.index_values(), t.dims("dim_index", "dim_exchange", "dim_session"))
 
 
 def _date_keys(raw: DataFrame) -> DataFrame:
@@ -147,7 +148,7 @@ def _date_keys(raw: DataFrame) -> DataFrame:
 
 def _fresh_trades(t: Inputs) -> DataFrame:
     """Facts of all trades against a warehouse that holds the trades before the cutoff."""
-    trades, dims = t.trades(), t.dims(*TRADE_DIMS)
+    trades, dims = t.trades(), t.dims(*FACT_DIMS)
     stored = star.trade_facts(t.trades(before=CUTOFF), dims)
     return star.new_rows(star.trade_facts(trades, dims), stored, NATURAL_KEYS["fact_trade"], _date_keys(t.trades(dealt_out=False)))
 
@@ -169,13 +170,30 @@ def new_rows_per_day(t: Inputs) -> DataFrame:
 @query("incremental_by_date", TRADE_SQL + "SELECT * FROM fact_trade")
 def incremental_by_date(t: Inputs) -> DataFrame:
     """The stored table after a load of early trades and a second load of all trades."""
-    dims, warehouse = t.dims(*TRADE_DIMS), ParquetStore(t.spark, scratch_path(t.spark, "warehouse"))
+    dims, warehouse = t.dims(*FACT_DIMS), ParquetStore(t.spark, scratch_path(t.spark, "warehouse"))
     for before in (CUTOFF, None):
         dates = _date_keys(t.trades(dealt_out=False, before=before))
         load_facts("fact_trade", star.trade_facts(t.trades(before=before), dims), dates, warehouse)
     return warehouse.read("fact_trade")
 
 
+@query("late_time_members", TRADE_SQL + """SELECT fact_trade.*, dim_time.time_key IS NOT NULL AS time_known
+FROM fact_trade LEFT JOIN dim_time USING (time_key)""")
+def late_time_members(t: Inputs) -> DataFrame:
+    """All trades loaded before and after half of the time dimension arrives: one row per trade, known times marked."""
+    source, warehouse = (ParquetStore(t.spark, scratch_path(t.spark, name)) for name in ("source", "warehouse"))
+    dims = t.dims(*FACT_DIMS, "dim_time")
+    for name in FACT_DIMS:
+        warehouse.append(name, dims[name])
+    source.append("raw_trade", t.trades())
+    for part in (0, 1):
+        warehouse.append("dim_time", dims["dim_time"].where(F.col("time_key") % 2 == part))
+        JOBS["fact_trade"](source, warehouse)
+    known = warehouse.read("dim_time").select("time_key", F.lit(True).alias("_known"))
+    facts = lookup(warehouse.read("fact_trade"), known, {"time_key": "time_key"}, ["_known"])
+    return facts.withColumn("time_known", F.col("_known").isNotNull()).drop("_known")
+
+
 @query("batch_dates", f"SELECT DISTINCT {o.day_key('ts')} AS tradingdate_key FROM events WHERE ts >= '2024-01-28'")
 def batch_dates(t: Inputs) -> DataFrame:
     return _date_keys(star.recent(t.quotes(), "2024-01-30", 2)).distinct()
@@ -212,7 +230,8 @@ def fk_orphans(t: Inputs) -> DataFrame:
     "index_wide",
     o.with_(o.INDEX, o.DIMS)
     + f"""SELECT DISTINCT {o.day_text('tradingdate')} AS tradingdate, time_hh_mm_ss, dim_index.index_name,
-  {o.INDEX_MEASURES}, exchange_key, trading_session_key FROM {o.INDEX_JOINS}""",
+  {o.INDEX_MEASURES}, exchange_key, trading_session_key FROM {o.INDEX_JOINS}
+  LEFT JOIN dim_date ON tradingdate = trading_date LEFT JOIN dim_time ON time_key = tk""",
 )
 def index_wide(t: Inputs) -> DataFrame:
     return star.index_rows(t.index_values(), t.dims(*INDEX_DIMS))

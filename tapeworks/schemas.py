@@ -113,6 +113,7 @@ DAILY_PRICE = wire_fields(
     Symbol="symbol_id",
 )
 
+# The features of the model, and the measures of the facts.
 FEATURES = [
     "last_price", "avg_price", "ref_price", "total_val", "change", "ratio_change", "highest", "lowest",
 ]
@@ -126,6 +127,7 @@ INDEX_MEASURES = [
     "total_value_pt", "advances", "nochanges", "declines", "ceilings", "floors",
 ]
 
+# The columns of the warehouse and result tables.
 STAR_KEYS = "tradingdate_key key, time_key key, {entity}_key id, exchange_key id, trading_session_key id,"
 TABLES = {
     "dim_date": table("tradingdate_key key, tradingdate date, year i, quarter i, month i, day i, weekday i"),
@@ -149,8 +151,13 @@ TABLES = {
     "prediction_log": table(
         "symbol s, tradingdate date, last_price d, predicted_next_day_price d, model_name s, model_type s"
     ),
+    "daily_features": table("symbol s, tradingdate date," + ",".join(f"{c} d" for c in FEATURES)),
     "model_state": table(
-        "symbol s, n id, sx d, sy d, sxx d, sxy d, lo d, hi d, last_train_date date"
+        "symbol s, n id, sx d, sy d, sxx d, sxy d, lo d, hi d, last_train_date date, last_x d"
+    ),
+    "model_info": table(
+        "symbol s, model_name s, model_type s, model_path s, last_train_date date, mse d, mae d, r2 d, lo d, hi d, slope d,"
+        "intercept d"
     ),
     "corporation": table("symbol_id s, sector_id i, symbol_name s, symbol_en_name s"),
     "corporation_sector": table("sector_id i, sector_name s"),
@@ -159,10 +166,24 @@ TABLES = {
     "index_list": table("indexlist_id s, market_id i, index_name s, index_code s"),
     "sector": table("sector_name s, symbol_id s, market_name s"),
     **{f"raw_{channel}": table_of(fields) for channel, fields in CHANNELS.items()},
+    # responses as they were landed, every field as text
+    "landed_securities": "market string, Symbol string, StockName string, StockEnName string",
+    "landed_security_details": "Symbol string, Detail string",
+    "landed_index_list": "Exchange string, IndexCode string, IndexName string, arrival bigint",
+    "landed_index_components": "IndexCode string, StockSymbol string, Isin string",
+    "landed_daily_bars": "Symbol string, TradingDate string, Open string, High string, Low string, Close string,"
+                         " Volume string, Value string",
+    "landed_intraday_bars": "Symbol string, TradingDate string, Time string, Open string, High string, Low string,"
+                            " Close string, Volume string, Value string",
+    "landed_sectors": "Sector string, Symbol string, Market string",
+    "landed_daily_index": ", ".join(f"{wire} string" for wire, _, _ in DAILY_INDEX),
+    "landed_daily_price": ", ".join(f"{wire} string" for wire, _, _ in DAILY_PRICE),
+    "markets": "market_id int, market_name string",
     "daily_index": table_of(DAILY_INDEX),
     "daily_price": table_of(DAILY_PRICE),
 }
 
+# What makes a stored row the same as a new one, and two raw rows the same fact.
 NATURAL_KEYS = {
     "dim_date": ["tradingdate_key"],
     "dim_time": ["time_key"],
@@ -178,6 +199,11 @@ NATURAL_KEYS = {
     "securities": ["symbol_id"],
     "security_detail": ["symbol_id"],
     "index_list": ["index_code"],
+    "daily_index": ["indexlist_id", "trading_date", "time", "trading_session"],
+    "daily_price": ["symbol_id", "trading_date"],
+    "sector": ["symbol_id"],
+    "target_data": ["symbol", "tradingdate"],
+    "prediction_log": ["symbol", "tradingdate"],
 }
 DEDUPE_KEYS = {
     "fact_trade": ["tradingdate_key", "time_key", "symbol_key", "last_vol", "total_val"],

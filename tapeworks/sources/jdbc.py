@@ -35,17 +35,21 @@ def write_jdbc(
     table: str,
     properties: dict[str, str],
     mode: str = "append",
-    writers: int = 2,
+    writers: int | None = None,
     spread_by: str | None = None,
     batch_rows: int = 500,
     isolation: str = "NONE",
 ) -> None:
-    """Write with ``writers`` connections.
+    """Write with ``writers`` connections, by default one for each partition of ``df``.
 
     Rows are dealt out evenly, or by hash of ``spread_by`` where one writer per key is wanted; an
     even deal keeps a busy key from loading a single connection.
     """
-    dealt = df.repartition(writers, spread_by) if spread_by else df.repartition(writers)
+    dealt = df
+    if spread_by:
+        dealt = df.repartition(writers, spread_by) if writers else df.repartition(spread_by)
+    elif writers:
+        dealt = df.repartition(writers)
     (
         dealt.write.format("jdbc").mode(mode)
         .options(url=url, dbtable=table, batchsize=str(batch_rows), isolationLevel=isolation, **properties)

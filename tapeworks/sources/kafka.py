@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from tapeworks.schemas import TOPICS
 
-MAX_MESSAGES = 50_000
 
-
-def reader_options(servers: str, topic: str, start: str = "earliest", max_messages: int | None = MAX_MESSAGES,
+def reader_options(servers: str, topic: str, start: str = "earliest", max_messages: int | None = None,
                    group: str | None = None) -> dict[str, str]:
-    """``start`` is ``earliest`` or ``latest``; it counts only for the first run of a checkpoint."""
+    """``start`` is ``earliest`` or ``latest``; it counts only for the first run of a checkpoint.
+
+    ``max_messages`` limits a micro-batch; without it a backlog is taken in one.
+    """
     options = {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": start}
     if max_messages:
         options["maxOffsetsPerTrigger"] = str(max_messages)

@@ -6,13 +6,12 @@ from collections.abc import Callable
 from typing import Protocol
 
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tapeworks.operators.star import DATE_KEY
 from tapeworks.schemas import CHANNELS, TABLES
-from tapeworks.session import staged
+from tapeworks.session import path_exists, staged
 from tapeworks.sources.files import replace_table
 from tapeworks.sources.jdbc import read_jdbc, write_jdbc
 from tapeworks.streaming.jobs import raw_table
@@ -60,12 +59,9 @@ class ParquetStore:
         """The table, empty before the first write; of a fact table only ``months`` if given."""
         schema = self.schemas[table]
         partitioned = table.startswith("fact_")
-        try:
-            rows = self.spark.read.schema(f"{schema}, {MONTH} int" if partitioned else schema).parquet(self.path(table))
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
+        if not path_exists(self.spark, self.path(table)):
             return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(f"{schema}, {MONTH} int" if partitioned else schema).parquet(self.path(table))
         if not partitioned:
             return rows
         return (rows if months is None else rows.where(F.col(MONTH).isin(months))).drop(MONTH)
@@ -86,6 +82,11 @@ class ParquetStore:
     def replace(self, table: str, rows: DataFrame) -> None:
         replace_table(rows, self.path(table))
 
+    def export(self, name: str, rows: DataFrame) -> int:
+        """Write a CSV folder with a header under ``export`` in place of the last one; returns the rows written."""
+        path = f"{self.root}/export/{name}"
+        return counted(rows, lambda df: df.write.mode("overwrite").option("header", True).csv(path))
+
 
 class RawStore(ParquetStore):
     """Raw tables as the ingestion streams write them, one folder per channel; other tables as usual."""
@@ -100,13 +101,15 @@ class RawStore(ParquetStore):
 class JdbcStore:
     """Tables of a database; ``names`` maps table names to qualified ones where they differ.
 
+    ``writers`` is the number of connections that write a table, by default one per partition.
     ``splits`` gives the split column, bounds and number of range queries for tables that are read
     in parallel: ``{"raw_trade": {"split_by": "trading_date", "bounds": (...), "partitions": 64}}``.
     """
 
     def __init__(self, spark: SparkSession, url: str, properties: dict[str, str],
-                 names: dict[str, str] | None = None, splits: dict[str, dict] | None = None):
-        self.spark, self.url, self.properties = spark, url, properties
+                 names: dict[str, str] | None = None, splits: dict[str, dict] | None = None,
+                 writers: int | None = None):
+        self.spark, self.url, self.properties, self.writers = spark, url, properties, writers
         self.names, self.splits = names or {}, splits or {}
 
     def read(self, table: str, months: list[int] | None = None) -> DataFrame:
@@ -114,12 +117,16 @@ class JdbcStore:
         if not months:
             return rows
         # a plain comparison, which Spark hands to the database
-        first, last = min(m for m in months if m or len(months) == 1), max(months)
-        return rows.where(F.col(DATE_KEY).isNull() | F.col(DATE_KEY).between(first * 100, last * 100 + 99))
+        wanted = F.col(DATE_KEY).isNull()
+        for month in sorted(m for m in months if m):
+            wanted = wanted | F.col(DATE_KEY).between(month * 100, month * 100 + 99)
+        return rows.where(wanted)
 
     def append(self, table: str, rows: DataFrame) -> int:
-        return counted(rows, lambda df: write_jdbc(df, self.url, self.names.get(table, table), self.properties))
+        name = self.names.get(table, table)
+        return counted(rows, lambda df: write_jdbc(df, self.url, name, self.properties, writers=self.writers))
 
     def replace(self, table: str, rows: DataFrame) -> None:
         kept = staged(rows, "replace")
-        write_jdbc(kept, self.url, self.names.get(table, table), self.properties | {"truncate": "true"}, mode="overwrite")
+        write_jdbc(kept, self.url, self.names.get(table, table), self.properties | {"truncate": "true"}, mode="overwrite",
+                   writers=self.writers)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from contextlib import contextmanager
+from collections import Counter
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
+from threading import Condition
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
 from tapeworks.operators.bars import bars
 from tapeworks.schemas import CHANNELS, table_of
@@ -85,7 +88,7 @@ def candle_stream(
     tick_id: str | None = None,
 ) -> DataFrame:
     """Bars of a tick stream. A bar is emitted once event time passes its end by ``delay``;
-    ticks that come after that are dropped (``late_ticks`` counts them)."""
+    ticks that come after that are dropped (``LateTicks`` counts them)."""
     return bars(ticks.withWatermark("event_ts", delay), interval, symbol, "event_ts", tick_id)
 
 
@@ -97,12 +100,44 @@ def to_table(rows: DataFrame, path: str, checkpoint: str, once: bool = False, ev
 
 
 def to_console(rows: DataFrame) -> DataStreamWriter:
+    """Print a stream batch by batch, to look at it."""
     return rows.writeStream.format("console").outputMode("append").option("truncate", False)
 
 
-def late_ticks(query: StreamingQuery) -> int:
-    """Rows dropped behind the watermark in the recent batches of a query."""
-    return sum(op.numRowsDroppedByWatermark for batch in query.recentProgress for op in batch.stateOperators)
+class LateTicks(StreamingQueryListener):
+    """Counts the rows that each run of a query dropped behind its watermark, over all its batches.
+
+    Add it with ``spark.streams.addListener`` before the queries start.
+    """
+
+    def __init__(self) -> None:
+        self.dropped: Counter[str] = Counter()
+        self.ended: set[str] = set()
+        self.news = Condition()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        with self.news:
+            operators = event.progress.stateOperators
+            self.dropped[str(event.progress.runId)] += sum(op.numRowsDroppedByWatermark for op in operators)
+
+    def onQueryTerminated(self, event) -> None:
+        with self.news:
+            self.ended.add(str(event.runId))
+            self.news.notify_all()
+
+    def of(self, query: StreamingQuery, patience: float = 30) -> int:
+        """Rows dropped so far; of a query that has ended, all of them."""
+        run = str(query.runId)
+        with self.news:
+            if not query.isActive:
+                self.news.wait_for(lambda: run in self.ended, patience)
+            return self.dropped[run]
 
 
 def start_all(writers: dict[str, DataStreamWriter]) -> dict[str, StreamingQuery]:
@@ -110,12 +145,25 @@ def start_all(writers: dict[str, DataStreamWriter]) -> dict[str, StreamingQuery]
     return {name: writer.queryName(name).start() for name, writer in writers.items()}
 
 
+def as_they_end(queries: dict[str, StreamingQuery]) -> Iterator[tuple[str, str | None]]:
+    """Name and error (None without one) of every stream, as soon as it ends while the others go on."""
+    left = dict(queries)
+    while left:
+        for name, query in list(left.items()):
+            if not query.isActive:
+                del left[name]
+                error = query.exception()
+                yield name, None if error is None else str(error)
+        if left:
+            manager = SparkSession.active().streams
+            with suppress(StreamingQueryException):  # read from the query itself above
+                manager.awaitAnyTermination(1)
+            manager.resetTerminated()
+
+
 def wait_all(queries: dict[str, StreamingQuery]) -> dict[str, str]:
-    """Wait until every stream has ended; returns the error of each one that failed."""
-    errors = {}
-    for name, query in queries.items():
-        try:
-            query.awaitTermination()
-        except Exception as error:  # the stream's own failure, reported per stream
-            errors[name] = str(error)
-    return errors
+    """Wait until every stream has ended; returns the error of each one that failed.
+
+    For streams without an end use ``as_they_end``, which reports each failure when it happens.
+    """
+    return {name: error for name, error in as_they_end(queries) if error is not None}

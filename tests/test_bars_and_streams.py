@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import pathlib
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,6 +67,8 @@ def tick_message(minute, second, price):
 
 def test_late_tick_does_not_change_a_closed_bar(spark, tmp_path):
     inbox, out = tmp_path / "in", scratch_path(spark, "test_candles")
+    late_ticks = jobs.LateTicks()
+    spark.streams.addListener(late_ticks)
 
     def run(name, *messages):
         land(inbox, name, *messages)
@@ -75,13 +78,22 @@ def test_late_tick_does_not_change_a_closed_bar(spark, tmp_path):
             started = jobs.to_table(closed, out, f"{out}-checkpoint", once=True).start()
             started.awaitTermination()
         rows = spark.read.schema(closed.schema).parquet(out).orderBy("bar_start").collect()
-        return [(r.bar_start.minute, r.open, r.close, r.ticks) for r in rows], jobs.late_ticks(started)
+        return [(r.bar_start.minute, r.open, r.close, r.ticks) for r in rows], late_ticks.of(started)
 
     assert run("1", tick_message(0, 10, 10), tick_message(0, 50, 12)) == ([], 0)
     assert run("2", tick_message(2, 5, 20)) == ([(0, 10.0, 12.0, 2)], 0)
     bars_now, late = run("3", tick_message(0, 55, 99), tick_message(3, 5, 21))
     assert bars_now == [(0, 10.0, 12.0, 2), (2, 20.0, 20.0, 1)]
     assert late == 1
+    spark.streams.removeListener(late_ticks)
+
+
+def test_late_ticks_of_many_batches_are_all_counted():
+    late = jobs.LateTicks()
+    for _ in range(250):
+        operators = [SimpleNamespace(numRowsDroppedByWatermark=2), SimpleNamespace(numRowsDroppedByWatermark=1)]
+        late.onQueryProgress(SimpleNamespace(progress=SimpleNamespace(runId="r", stateOperators=operators)))
+    assert late.of(SimpleNamespace(runId="r", isActive=True)) == 750
 
 
 def test_ingest_keeps_good_and_rejected_rows_and_replays_once(spark, tmp_path):
@@ -119,6 +131,23 @@ def test_side_by_side_streams_report_the_failing_one(spark, tmp_path):
     assert list(errors) == ["quote"] and "broken feed" in errors["quote"]
 
 
+def test_a_failing_stream_is_reported_while_an_endless_one_runs(spark, tmp_path):
+    land(tmp_path / "quote", "1", "x")
+    broken = jobs.read_text_messages(spark, str(tmp_path / "quote")).select(
+        F.raise_error(F.lit("broken feed")).cast("string").alias("value"))
+    endless = spark.readStream.format("rate").option("rowsPerSecond", 5).load().select(F.col("value").cast("string"))
+    writers = {
+        name: stream.writeStream.format("noop").option("checkpointLocation", scratch_path(spark, f"test_{name}"))
+        for name, stream in {"endless": endless, "quote": broken}.items()
+    }
+    queries = jobs.start_all(writers)
+    try:
+        name, error = next(jobs.as_they_end(queries))
+        assert name == "quote" and "broken feed" in error and queries["endless"].isActive
+    finally:
+        queries["endless"].stop()
+
+
 def test_stateless_map(spark, tmp_path):
     land(tmp_path / "n", "1", *"12345")
     out = scratch_path(spark, "test_map")

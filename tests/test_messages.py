@@ -62,7 +62,8 @@ def test_routing(spark):
 
 def test_kafka_options():
     options = kafka.reader_options("host:9092", "market_data_trade", group="chart-group")
-    assert options["startingOffsets"] == "earliest" and options["maxOffsetsPerTrigger"] == "50000"
+    assert options["startingOffsets"] == "earliest" and "maxOffsetsPerTrigger" not in options
+    assert kafka.reader_options("h", "t", max_messages=50_000)["maxOffsetsPerTrigger"] == "50000"
     assert kafka.reader_options("h", "t", start="latest", max_messages=None) == {
         "kafka.bootstrap.servers": "h", "subscribe": "t", "startingOffsets": "latest"}
 

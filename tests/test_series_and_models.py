@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tapeworks.operators import forecast, series, ticks
+from tapeworks.operators import forecast, merge, series, ticks
+from tapeworks.plans.inputs import Inputs
 from tapeworks.schemas import FEATURES
 
 DAY0 = dt.date(2025, 1, 1)
@@ -125,19 +126,74 @@ def test_lag1_fit_is_least_squares(spark):
     assert predicted.predicted_price == pytest.approx((intercept + slope * scaled[-1]) * 9 + 3)
 
 
-def test_incremental_training_equals_training_at_once_without_the_pair_across(spark):
+def test_incremental_training_equals_training_at_once(spark):
     prices = [3, 5, 4, 8, 7, 9, 12, 10]
     rows = daily(spark, A=prices, B=[1, 2, 4])
     early = rows.where((F.col("symbol") == "A") & (F.col("tradingdate") < DAY0 + dt.timedelta(days=4)))
     state = forecast.incremental_fit(rows, forecast.pair_sums(early))
     line = {r.symbol: r for r in forecast.line_of(state).collect()}
-    pairs = [(a, b) for i, (a, b) in enumerate(zip(prices, prices[1:])) if i != 3]
+    pairs = list(zip(prices, prices[1:]))
     slope, intercept = np.polyfit(*zip(*pairs), 1)
     assert line["A"].slope == pytest.approx(slope) and line["A"].intercept == pytest.approx(intercept)
     assert line["B"].n == 2
     assert str(line["A"].last_train_date) == "2025-01-08"
     again = forecast.incremental_fit(rows, state)
-    assert {r.symbol: r.n for r in again.collect()} == {"A": 6, "B": 2}
+    assert {r.symbol: r.n for r in again.collect()} == {"A": 7, "B": 2}
+
+
+def test_daily_increments_equal_one_training(spark):
+    prices = [3, 5, 4, 8, 7, 9]
+    rows = daily(spark, A=prices)
+    state = forecast.pair_sums(rows.where(F.col("tradingdate") <= DAY0))
+    for i in range(1, len(prices)):
+        known = rows.where(F.col("tradingdate") <= DAY0 + dt.timedelta(days=i))
+        kept = [tuple(r) for r in state.collect()]
+        state = forecast.incremental_fit(known, spark.createDataFrame(kept, state.schema))
+    got, want = state.first(), forecast.pair_sums(rows).first()
+    assert got.asDict() == pytest.approx(want.asDict())
+
+
+def test_series_use_hash_aggregates(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    trades = Inputs(spark, "/root/testdata/sf0.001").trades()
+    for df in (series.daily_series(trades), series.latest(daily(spark, A=[1, 2]))):
+        assert "HashAggregate" in plan(df) and "SortAggregate" not in plan(df)
+    batch = spark.createDataFrame([("X", "a", 1)], "id string, v string, seq int")
+    merged = plan(merge.upsert(spark.createDataFrame([("X", "old")], "id string, v string"), batch, "id", "seq"))
+    assert "SortAggregate" not in merged
+
+
+def test_trades_of_one_second_are_ordered_by_price(spark):
+    columns = ["trading_date", "time", "symbol", *FEATURES]
+    given = [(DAY0, "09:00:00", "A", 2.5, *range(7)), (DAY0, "09:00:00", "A", 2.4, *range(7)), (DAY0, None, "A", 9.0, *range(7)),
+             (DAY0, "08:59:59", "A", 9.0, *range(7)), (DAY0, None, "B", -1.0, *range(7)), (DAY0, "x", "B", None, *range(7))]
+    kinds = ["date", "string", "string", *["double"] * len(FEATURES)]
+    given = [tuple(float(v) if isinstance(v, int) else v for v in row) for row in given]
+    df = spark.createDataFrame(given, ", ".join(f"{c} {k}" for c, k in zip(columns, kinds)))
+    got = {r.symbol: r.last_price for r in series.daily_series(df).collect()}
+    assert got == {"A": 2.5, "B": -1.0}
+
+
+@pytest.mark.parametrize("target", [6, 40, 1000])
+def test_segments_do_not_change_results(spark, target):
+    """Missing and malformed times, and a slot of distinct rows above the target."""
+    draw = random.Random(2)
+    rows = []
+    for i in range(260):
+        time = draw.choice([None, None, 93000 + i % 60, 93000, 101500])
+        day = draw.choice([None, DAY0, DAY0 + dt.timedelta(days=1)])
+        rows.append(("hot", day, time, float(i)))
+    df = spark.createDataFrame(rows, "k string, day date, clock int, price double").repartition(4)
+    df = df.withColumn("slot", ticks.hour_slot(F.col("day"), F.col("clock")))
+    order = ["day", "clock", "price"]
+    own = sorted(rows, key=lambda r: (r[1] or dt.date.min, -1 if r[2] is None else r[2], r[3]))
+    placed = ticks.tick_positions(df, "k", "slot", order, target).collect()
+    assert {r.price: r.position for r in placed} == {r[3]: i + 1 for i, r in enumerate(own)}
+    runs = ticks.tick_sequences(df, "k", "slot", order, ["price"], 4, target).collect()
+    assert {r.label: [s.price for s in r.steps] for r in runs} == {
+        own[i][3]: [r[3] for r in own[i - 4:i]] for i in range(4, len(own))}
+    sizes = ticks.cut_segments(df, "k", "slot", target, order)[0].groupBy("segment").count().collect()
+    assert max(r["count"] for r in sizes) < 2 * target
 
 
 def test_metrics_without_test_rows_are_null(spark):
@@ -152,6 +208,21 @@ def test_last_prediction_is_marked(spark):
     assert [r.actual for r in rows] == [3.0, 2.0, 5.0]
 
 
+def test_fit_of_columns_of_very_different_size(spark):
+    rng = np.random.default_rng(4)
+    raw = np.column_stack([rng.random(400) * 1e5 + 1e5, rng.random(400) * 1e-2, np.full(400, 3.0)])
+    rows = [("A", DAY0 + dt.timedelta(days=i), *map(float, v)) for i, v in enumerate(raw)]
+    df = spark.createDataFrame(rows, "symbol string, tradingdate date, a double, b double, c double")
+    names = ["a", "b", "c"]
+    model = forecast.fit_sequences(series.sequences(series.scaled(df, names), 2, names), 2, names).first()
+    low, spread = raw.min(axis=0), np.ptp(raw, axis=0)
+    scaled = np.where(spread > 0, (raw - low) / np.where(spread > 0, spread, 1), 0.0)
+    x = np.array([np.r_[1, scaled[i - 2:i].ravel()] for i in range(2, len(scaled))])
+    want, *_ = np.linalg.lstsq(x, scaled[2:, 0], rcond=None)
+    np.testing.assert_allclose([model.intercept, *model.weights], want, atol=1e-7)
+    assert model.train_mse == pytest.approx(np.mean((x @ want - scaled[2:, 0]) ** 2), rel=1e-6)
+
+
 def test_fit_sequences_is_least_squares(spark):
     rng = np.random.default_rng(3)
     names = ["a", "b"]

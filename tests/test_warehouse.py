@@ -70,7 +70,7 @@ def test_unknown_symbol_is_dropped_and_other_misses_stay(spark, dims):
         (dt.date(2030, 1, 1), "09:30:00", "ACB", 10.0, 1.0, 10.0), (None, "09:30:00", "ACB", 10.0, 1.0, 10.0),
     )
     got = star.trade_facts(raw, dims).select("tradingdate_key", "time_key", "symbol_key")
-    assert rows(got) == [(20250106, None, 1), (None, 93000, 2)]
+    assert rows(got) == [(20250106, 100000, 1), (20300101, 93000, 2)]
     assert star.undated(raw).count() == 1
 
 
@@ -136,16 +136,60 @@ def test_surrogate_keys_are_dense_and_stable(spark):
     assert sorted(k for k, _ in once) == list(range(11, 511))
 
 
+def test_trades_at_unknown_times_stay_apart_and_are_stored_once(spark, dims):
+    raw = trade(spark, (DAY1, "10:00:05", "VCB", 10.0, 1.0, 10.0), (DAY1, "11:00:00", "VCB", 10.0, 1.0, 10.0))
+    store = ParquetStore(spark, scratch_path(spark, "test_facts"))
+    assert load_batch(raw, dims, store) == 2
+    later = dims | {"dim_time": star.time_members(raw)}
+    assert load_batch(raw, later, store) == 0
+    assert rows(store.read("fact_trade").select("time_key")) == [(100005,), (110000,)]
+
+
+def jobs_run(spark):
+    return spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+
+
+def test_building_a_star_runs_no_job(spark, dims):
+    stored = {}
+    for name, members in dims.items():
+        path = scratch_path(spark, name)
+        members.write.parquet(path)
+        stored[name] = spark.read.schema(members.schema).parquet(path)
+    raw = trade(spark, (DAY1, "09:30:00", "VCB", 10.0, 1.0, 10.0))
+    before = jobs_run(spark)
+    star.trade_facts(raw, stored)
+    assert jobs_run(spark) == before
+
+
+def test_hot_keys_of_a_large_lookup_are_split(spark):
+    facts = spark.range(400_000).select(
+        "id", F.when(F.col("id") % 3 > 0, F.lit("hot")).when(F.col("id") % 7 > 0, F.col("id").cast("string")).alias("k"))
+    dim = spark.range(0, 200_000, 2).select(F.col("id").cast("string").alias("m"), "id").unionByName(
+        spark.createDataFrame([("hot", -1)], "m string, id bigint"))
+    settings = {"autoBroadcastJoinThreshold": "-1", "adaptive.advisoryPartitionSizeInBytes": "64k",
+                "adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    before = {k: spark.conf.get(f"spark.sql.{k}") for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        found = joins.lookup(facts, dim, {"k": "m"}, [F.col("id").alias("found")])
+        assert found.where("found = -1").count() == facts.where("k = 'hot'").count()
+        whole = found.groupBy().agg(F.sum(F.hash("id", "found")))
+        whole.collect()
+        assert "skew=true" in whole._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+
+
 @pytest.mark.parametrize("how", ["left", "inner"])
-def test_salted_lookup_equals_broadcast_lookup(spark, how):
+def test_shuffled_lookup_equals_broadcast_lookup(spark, how):
     facts = spark.range(1000).select(
         "id", F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 7 > 0, F.col("id").cast("string")).alias("k"))
     dim = spark.range(0, 2000, 2).select(F.col("id").cast("string").alias("m"), "id").unionByName(
         spark.createDataFrame([("hot", -1), (None, -2)], "m string, id bigint"))
-    find = lambda limit: joins.lookup(facts, dim, {"k": "m"}, [F.col("id").alias("found")], how, broadcast_rows=limit)
-    assert rows(find(0)) == rows(find(10_000))
-    plan = find(0)._jdf.queryExecution().toString()
-    assert "_salt" in plan
+    find = lambda ref: joins.lookup(facts, ref, {"k": "m"}, [F.col("id").alias("found")], how)
+    assert rows(find(dim.hint("merge"))) == rows(find(F.broadcast(dim)))
 
 
 def test_orphan_report(spark, dims):
@@ -169,6 +213,20 @@ def test_all_jobs_run_again_without_change(spark):
     warehouse = ParquetStore(spark, scratch_path(spark, "test_warehouse"))
     raw = {"raw_trade": inputs.trades(), "raw_quote": inputs.quotes(), "raw_index": inputs.index_values(),
            "corporation": inputs.corporations(), "corporation_sector": inputs.sectors()}
+    text = lambda name, *given: spark.createDataFrame(list(given), schemas.TABLES[name])
+    blank = lambda fields, **given: tuple({**{wire: None for wire, _, _ in fields}, **given}.values())
+    raw |= {
+        "markets": text("markets", (1, "HOSE ")),
+        "landed_securities": text("landed_securities", ("HOSE", "VCB", "a", "b"), ("HNX", "VCB", "x", "y")),
+        "landed_security_details": text("landed_security_details", ("VCB", "{}")),
+        "landed_index_list": text("landed_index_list", ("HOSE", "X", "n", 1)),
+        "landed_sectors": text("landed_sectors", ("Bank", "VCB", "HOSE")),
+        "landed_daily_index": text("landed_daily_index", blank(schemas.DAILY_INDEX, IndexId="X", TradingDate="20/09/2025")),
+        "landed_daily_price": text("landed_daily_price", blank(schemas.DAILY_PRICE, Symbol="V", TradingDate="20/09/2025")),
+        "landed_index_components": text("landed_index_components", ("X", " VCB", "i"), ("X", None, "i")),
+        "landed_daily_bars": text("landed_daily_bars", ("VCB", "20/09/2025", *"123456")),
+        "landed_intraday_bars": text("landed_intraday_bars", ("VCB", "20/09/2025", "09:00:00", *"123456")),
+    }
     for table, rows_ in raw.items():
         source.append(table, rows_)
     first = {name: job(source, warehouse) for name, job in JOBS.items()}
@@ -177,7 +235,12 @@ def test_all_jobs_run_again_without_change(spark):
     facts = warehouse.read("fact_trade").join(warehouse.read("dim_symbol"), "symbol_key", "left_anti")
     assert facts.count() == 0
     again = {name: job(source, warehouse) for name, job in JOBS.items()}
-    assert {name for name, n in again.items() if n} == {"features"}
+    replaced = {"features", "daily_features", "index_list", "index_components", "daily_bars", "intraday_bars"}
+    assert {name for name, n in again.items() if n} == replaced
+    assert all(again[name] == first[name] for name in replaced)
+    assert spark.read.option("header", True).csv(f"{warehouse.root}/export/index_components").first().StockSymbol == "VCB"
+    assert warehouse.read("feature_data").count() == first["fact_trade"]
+    assert warehouse.read("model_info").count() == first["train"]
     assert warehouse.read("model_state").count() == first["train"]
     assert warehouse.read("prediction_log").where("predicted_next_day_price is null").count() == 0
     assert JOBS["fact_trade"](source, warehouse, as_of="2001-11-04") == 0
@@ -208,4 +271,6 @@ def test_reference_data_loads(spark):
     assert etl.load_daily("daily_price", daily, store) == 1
     assert [(r.symbol_id, r.close_price) for r in store.read("daily_price").collect()] == [("VCB", 1.5)]
     sectors = spark.createDataFrame([("Bank", "VCB", "HOSE")], "Brand string, Symbol string, Market string")
+    assert etl.load_daily("daily_price", daily, store) == 0
     assert etl.load_sector_file(sectors, store) == 1
+    assert etl.load_sector_file(sectors, store) == 0
