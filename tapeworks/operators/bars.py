@@ -8,16 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def tick_order(ts: Column, tick_id: Column | None) -> Column:
-    """Order of ticks: by time, then by id.
+def tick_order(ts: Column, tick_id: Column | None, price: Column) -> Column:
+    """Order of ticks: by time, then by id, or by price in ten-thousandths where there is no id.
 
-    With a bigint id both are packed in one DECIMAL(38), which Spark can keep in a hash aggregate
-    (a struct would force a sort). 16 digits of microseconds and 20 of id fit without overlap.
+    Both parts are packed in one DECIMAL(38), which Spark can keep in a hash aggregate (a struct
+    would force a sort). 16 digits of microseconds and 20 of the second part fit without overlap.
     """
-    if tick_id is None:
-        return F.unix_micros(ts)
     micros = F.unix_micros(ts).cast("decimal(18,0)")
-    return (micros * F.lit(Decimal(10**19)) + tick_id.cast("decimal(19,0)")).cast("decimal(38,0)")
+    second = tick_id.cast("decimal(19,0)") if tick_id is not None else F.round(price * 10_000).try_cast("decimal(19,0)")
+    return (micros * F.lit(Decimal(10**19)) + F.coalesce(second, F.lit(Decimal(0)))).cast("decimal(38,0)")
 
 
 def bars(
@@ -34,16 +33,12 @@ def bars(
     busy symbol before the shuffle.
     """
     id_column = F.col(tick_id) if tick_id else None
-    ordered = ticks.withColumn("_order", tick_order(F.col(ts), id_column))
-    if tick_id is None:
-        first, last = F.struct("_order", "price"), F.struct("_order", "price")
-    else:
-        first = last = F.col("_order")
+    ordered = ticks.withColumn("_order", tick_order(F.col(ts), id_column, F.col("price")))
     grouped = ordered.groupBy(F.window(ts, interval).alias("_window"), symbol).agg(
-        F.min_by("price", first).alias("open"),
+        F.min_by("price", "_order").alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
-        F.max_by("price", last).alias("close"),
+        F.max_by("price", "_order").alias("close"),
         F.sum("volume").alias("volume"),
         F.sum(F.col("price") * F.col("volume")).alias("value"),
         F.unix_millis(F.min(ts)).alias("timestamp"),

@@ -69,14 +69,17 @@ def candle_messages(t: Inputs) -> DataFrame:
 @query(
     "trade_candles",
     o.with_(o.TRADE) + f"""SELECT symbol, strftime(bar, '%Y-%m-%d %H:%M:%S') AS bar_start, max(last_price) AS high,
-  min(last_price) AS low, sum(last_vol) AS volume, count(*) AS ticks
+  min(last_price) AS low, sum(last_vol) AS volume, count(*) AS ticks,
+  min({{'t': sod, 'p': last_price}}).p AS open, max({{'t': sod, 'p': last_price}}).p AS close,
+  round(sum(last_price * last_vol), 2) AS value
 FROM (SELECT *, date_trunc('minute', trading_date + to_seconds(sod)) AS bar FROM (
   SELECT *, (tk // 10000) * 3600 + ((tk // 100) % 100) * 60 + tk % 100 AS sod FROM trade) AS x) AS y
 GROUP BY symbol, bar""",
 )
 def trade_candles(t: Inputs) -> DataFrame:
     """Bars of decoded trade rows, the other form a tick can arrive in."""
-    return bars(trades_as_ticks(t.trades())).select("symbol", "bar_start", "high", "low", "volume", "ticks")
+    rows = bars(trades_as_ticks(t.trades())).withColumn("value", F.round("value", 2))
+    return rows.select("symbol", "bar_start", "open", "high", "low", "close", "volume", "value", "ticks")
 
 
 @query("ohlcv_1m_stream", _bars_sql(

@@ -79,15 +79,22 @@ def minmax_scale(t: Inputs) -> DataFrame:
     return scaled.select("symbol", "tradingdate", *[F.round(c, 6).alias(c) for c in FEATURES])
 
 
-@query("minmax_inverse", o.with_(*SERIES_SQL) + f"SELECT symbol, {DAY}, round(last_price, 4) AS last_price FROM series")
+@query(
+    "minmax_inverse",
+    o.with_(*SERIES_SQL)
+    + f"SELECT symbol, {DAY}, round(last_price, 4) AS last_price, {_scaled_sql('last_price').replace(' AS last_price', ' AS scaled')}"
+    " FROM series",
+)
 def minmax_inverse(t: Inputs) -> DataFrame:
-    """Prices scaled and scaled back."""
+    """Prices scaled, and scaled back."""
     rows = _daily(t).select("symbol", "tradingdate", "last_price")
     low, high = [f("last_price").over(series.by_symbol()) for f in (F.min, F.max)]
     kept = rows.withColumns({"_low": low, "_high": high})
     scaled = series.scaled(kept, ["last_price"])
     back = minmax_back(F.col("last_price"), F.col("_low"), F.col("_high"))
-    return scaled.select("symbol", "tradingdate", F.round(back, 4).alias("last_price"))
+    return scaled.select(
+        "symbol", "tradingdate", F.round(back, 4).alias("last_price"), F.round("last_price", 6).alias("scaled")
+    )
 
 
 @query(

@@ -504,6 +504,26 @@ def ingest_status(t: Inputs) -> DataFrame:
 # Loads of response records
 
 
+def _filled(fields: messages.Fields, given: set[str], ours: bool) -> dict[str, str]:
+    """SQL for the fields that are not ``given``, from the whole numbers ``c`` and ``k`` of a row: for Spark
+    (``ours``) by wire name as text with spaces around, else by column name for the oracle."""
+    values = {}
+    for i, (wire, column, kind) in enumerate(fields):
+        if wire not in given:
+            text = f"concat(' {wire} ', (k + {i}) % 13)" if ours else f"'{wire} ' || ((k + {i}) % 13)"
+            values[wire if ours else column] = (
+                f"((c + {i}) % 9973) / 100" if kind == "double" else f"(k + {i}) % 97" if kind == "int" else text
+            )
+    return values
+
+
+_INDEX_GIVEN = {"IndexId", "TradingDate", "TotalMatchVal", "TotalTrade", "Advances", "Change", "TradingSession"}
+_PRICE_GIVEN = {
+    "Symbol", "TradingDate", "ClosePrice", "AveragePrice", "CeilingPrice", "FloorPrice", "RefPrice", "PriceChange",
+    "TotalMatchVol", "TotalMatchVal", "Time",
+}
+
+
 def _as_text(rows: DataFrame, fields: messages.Fields, given: dict[str, Column]) -> DataFrame:
     """Records with every wire field as text, ``given`` or missing."""
     return rows.select(*[given.get(wire, F.lit(None)).cast("string").alias(wire) for wire, _, _ in fields])
@@ -516,7 +536,9 @@ def _daily_index(t: Inputs) -> DataFrame:
         "TotalTrade": F.col("o_custkey"), "Advances": F.col("o_orderkey") % 50, "Change": F.lit(""),
         "TradingSession": F.rpad("o_orderstatus", 3, " "),
     }
-    return responses.load_rows(_as_text(t.table("orders"), DAILY_INDEX, given), DAILY_INDEX, "IndexId")
+    orders = t.table("orders").withColumns({"c": F.round(F.col("o_totalprice") * 100).cast("bigint"), "k": F.col("o_orderkey")})
+    filled = {wire: F.expr(sql) for wire, sql in _filled(DAILY_INDEX, _INDEX_GIVEN, True).items()}
+    return responses.load_rows(_as_text(orders, DAILY_INDEX, given | filled), DAILY_INDEX, "IndexId")
 
 
 def _null_columns(fields: messages.Fields, **given: str) -> str:
@@ -529,8 +551,10 @@ def _null_columns(fields: messages.Fields, **given: str) -> str:
     + _null_columns(
         DAILY_INDEX, indexlist_id="o_orderpriority", trading_date=o.day_text("o_orderdate"), total_match_val="o_totalprice",
         total_trade="o_custkey", advances="o_orderkey % 50", trading_session="o_orderstatus",
+        **_filled(DAILY_INDEX, _INDEX_GIVEN, False),
     )
-    + " FROM orders WHERE o_orderkey % 9 <> 0 AND o_orderkey % 4 IN (0, 1)",
+    + " FROM (SELECT *, round(o_totalprice * 100)::BIGINT AS c, o_orderkey AS k FROM orders) AS x"
+    " WHERE o_orderkey % 9 <> 0 AND o_orderkey % 4 IN (0, 1)",
 )
 def load_daily_index(t: Inputs) -> DataFrame:
     return responses.accepted(_daily_index(t))
@@ -554,8 +578,9 @@ def reject_reasons(t: Inputs) -> DataFrame:
         DAILY_PRICE, symbol_id="symbol", trading_date=o.day_text("src.trading_date"), close_price="last_price",
         average_price="avg_price", ceiling_price="ceiling", floor_price="floor", ref_price="ref_price",
         price_change="change", total_match_vol="last_vol", total_match_val="total_val", time="time",
+        **(_filled(DAILY_PRICE, _PRICE_GIVEN, False) | {"net_buy_sell_vol": "NULL"}),
     )
-    + " FROM trade AS src",
+    + " FROM (SELECT *, round(total_val * 100)::BIGINT AS c, last_vol::BIGINT AS k FROM trade) AS src",
 )
 def load_daily_price(t: Inputs) -> DataFrame:
     given = {
@@ -565,7 +590,9 @@ def load_daily_price(t: Inputs) -> DataFrame:
         "TotalMatchVol": F.col("last_vol"), "TotalMatchVal": F.col("total_val"), "Time": F.col("time"),
         "NetBuySellVol": F.lit(" "),
     }
-    records_ = _as_text(t.trades(), DAILY_PRICE, given)
+    trades = t.trades().withColumns({"c": F.round(F.col("total_val") * 100).cast("bigint"), "k": F.col("last_vol").cast("bigint")})
+    filled = {wire: F.expr(sql) for wire, sql in _filled(DAILY_PRICE, _PRICE_GIVEN, True).items()}
+    records_ = _as_text(trades, DAILY_PRICE, filled | given)
     return responses.accepted(responses.load_rows(records_, DAILY_PRICE, "Symbol"))
 
 

@@ -194,9 +194,10 @@ def late_time_members(t: Inputs) -> DataFrame:
     return facts.withColumn("time_known", F.col("_known").isNotNull()).drop("_known")
 
 
-@query("batch_dates", f"SELECT DISTINCT {o.day_key('ts')} AS tradingdate_key FROM events WHERE ts >= '2024-01-28'")
+@query("batch_dates", f"SELECT DISTINCT {o.day_key('ts')} AS tradingdate_key FROM events")
 def batch_dates(t: Inputs) -> DataFrame:
-    return _date_keys(star.recent(t.quotes(), "2024-01-30", 2)).distinct()
+    """The date keys of a whole batch."""
+    return _date_keys(t.quotes()).distinct()
 
 
 @query(

@@ -50,16 +50,18 @@ def accepted(loaded: DataFrame) -> DataFrame:
 
 
 def html_rows(
-    pages: DataFrame, html: str, columns: list[str], row_tag: str, cell_tag: str, *keep: str
+    pages: DataFrame, html: str, columns: list[str], row_tag: str, cell_tag: str, *keep: str,
+    container: str | None = None,
 ) -> DataFrame:
     """Rows of markup tables: the cell texts of every row element with enough cells.
 
-    Rows with fewer cells than ``columns`` are skipped and surplus cells ignored. Whole pages are
-    searched.
+    Rows with fewer cells than ``columns`` are skipped and surplus cells ignored. Rows are taken from the first
+    ``container`` element of a page, or from the whole page without one. Tags match in any case.
     """
-    row_body = rf"(?s)<{row_tag}(?:\s[^>]*)?>(.*?)</{row_tag}>"
-    cell_body = rf"(?s)<{cell_tag}(?:\s[^>]*)?>(.*?)</{cell_tag}>"
-    rows = pages.select(*keep, F.posexplode(F.regexp_extract_all(html, F.lit(row_body), 1)).alias("row_no", "_row"))
+    element = lambda tag: rf"(?si)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"
+    row_body, cell_body = element(row_tag), element(cell_tag)
+    searched = F.regexp_extract(html, element(container), 1) if container else F.col(html)
+    rows = pages.select(*keep, F.posexplode(F.regexp_extract_all(searched, F.lit(row_body), 1)).alias("row_no", "_row"))
     cells = rows.withColumn("_cells", F.regexp_extract_all("_row", F.lit(cell_body), 1))
     wide = cells.where(F.size("_cells") >= len(columns))
     return wide.select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
 from tapeworks.operators.bars import bars
-from tapeworks.schemas import CHANNELS, table_of
+from tapeworks.schemas import CHANNELS
+from tapeworks.session import file_system, path_exists
 from tapeworks.sources.messages import decode_envelopes
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -42,21 +44,71 @@ def read_text_messages(spark: SparkSession, path: str, files_per_trigger: int |
     return reader.load(path)
 
 
-def batch_writer(channel: str, path: str) -> Callable[[DataFrame, int], None]:
-    """Writes a micro-batch of envelopes to ``path/batch_id=N``, good and rejected rows apart.
+def batch_writer(channel: str, path: str, run: str | None = None) -> Callable[[DataFrame, int], None]:
+    """Writes a micro-batch of envelopes to ``path/run=R/batch_id=N``, by rejection and trading date.
 
-    A replayed batch overwrites its own folder, so every message is stored once.
+    The run is the id of the query, which Spark keeps with the checkpoint: a replayed batch overwrites
+    its own folder, so every message is stored once, and batches of a new checkpoint never meet those of an
+    older one.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        known = run or batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not known:
+            raise ValueError("a batch writer outside a stream needs the id of its run")
         decoded = decode_envelopes(batch, CHANNELS[channel])
         rejected = F.col("reject_reason").isNotNull()
         rows = decoded.withColumn("_message", F.when(rejected, F.col("_message"))).withColumn("rejected", rejected)
-        rows.write.mode("overwrite").partitionBy("rejected").parquet(f"{path}/batch_id={batch_id}")
+        rows.write.mode("overwrite").partitionBy("rejected", "trading_date").parquet(f"{path}/run={known}/batch_id={batch_id}")
 
     return write
 
 
+def compact(spark: SparkSession, channel: str, path: str, before: str) -> int:
+    """Merge the good rows of all days before ``before`` into few files per day; returns the folders replaced.
+
+    For days that no stream writes any more. The replaced folders are listed in a file before the merged ones
+    move in, and ``finish_compaction`` deletes them: a job that broke off leaves either all old folders or the
+    merged ones and the list, and is run again.
+    """
+    finish_compaction(spark, path)
+    files, root = file_system(spark, path)
+    if not files.exists(root):
+        return 0
+    old = [
+        day.getPath().toString() for day in files.globStatus(_below(spark, path, "run=*/batch_id=*/rejected=false/trading_date=*"))
+        if day.getPath().getName().partition("=")[2] < before and "run=compacted-" not in day.getPath().toString()
+    ]
+    if not old:
+        return 0
+    name = f"run=compacted-{uuid.uuid4().hex}"
+    merged = _stored(spark, channel, path).where((F.col("trading_date") < F.lit(before)) & ~F.col("rejected"))
+    merged = merged.where(~F.col("run").startswith("compacted-")).drop("run", "batch_id")
+    beside = f"{path}/_merging/{name}"
+    merged.hint("rebalance", "trading_date").write.partitionBy("rejected", "trading_date").parquet(f"{beside}/batch_id=0")
+    listed = files.create(_below(spark, path, f"_compactions/{name}"))
+    listed.write(bytearray("\n".join(old).encode()))
+    listed.close()
+    files.rename(_below(spark, path, f"_merging/{name}"), _below(spark, path, name))
+    finish_compaction(spark, path)
+    return len(old)
+
+
+def finish_compaction(spark: SparkSession, path: str) -> None:
+    """Delete folders whose merged rows are in place, and forget compactions that never got there."""
+    files, _ = file_system(spark, path)
+    lists = _below(spark, path, "_compactions")
+    for found in files.listStatus(lists) if files.exists(lists) else []:
+        if files.exists(_below(spark, path, found.getPath().getName())):
+            for row in spark.read.text(found.getPath().toString()).collect():
+                files.delete(_below(spark, row[0], ""), True)
+        files.delete(found.getPath(), True)
+
+
+def _below(spark: SparkSession, path: str, name: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}" if name else path)
+
+
 def ingest(
     messages: DataFrame, channel: str, path: str, checkpoint: str, once: bool = False, every: str = "1 second"
 ) -> DataStreamWriter:
@@ -66,12 +118,15 @@ def ingest(
 
 
 def _stored(spark: SparkSession, channel: str, path: str) -> DataFrame:
-    schema = table_of(CHANNELS[channel]) + ", `_message` string, reject_reason string, rejected boolean, batch_id bigint"
+    columns = [f"`{c}` {kind}" for _, c, kind in CHANNELS[channel]]
+    schema = ", ".join([*columns, "`_message` string, reject_reason string, run string, batch_id bigint, rejected boolean"])
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)
 
 
 def raw_table(spark: SparkSession, channel: str, path: str) -> DataFrame:
-    """The typed rows ingested so far."""
+    """The typed rows ingested so far, in folders by trading date: a filter on it reads only those days."""
     return _stored(spark, channel, path).where("not rejected").select(*[c for _, c, _ in CHANNELS[channel]])
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeworks import schemas
+from tapeworks.operators import star
 from tapeworks.operators.bars import bars, candles
 from tapeworks.plans.inputs import Inputs
 from tapeworks.session import scratch_path
@@ -51,8 +52,9 @@ def test_bars_keep_volume_and_order_of_prices(spark):
 
 def test_bars_use_a_hash_aggregate(spark):
     ticks = tick_table(spark, ("A", at(0, 1), 5.0, 1.0, 1))
-    plan = bars(ticks, tick_id="id")._jdf.queryExecution().executedPlan().toString()
-    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    for tick_id in ("id", None):
+        plan = bars(ticks, tick_id=tick_id)._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan
 
 
 def land(folder: pathlib.Path, name: str, *messages):
@@ -98,10 +100,16 @@ def test_late_ticks_of_many_batches_are_all_counted():
 
 def test_ingest_keeps_good_and_rejected_rows_and_replays_once(spark, tmp_path):
     inbox, raw = tmp_path / "in", scratch_path(spark, "test_raw")
-    message = lambda symbol: json.dumps({"Content": json.dumps({"Symbol": symbol, "LastPrice": 1})})
-    run = lambda: jobs.ingest(
-        jobs.read_text_messages(spark, str(inbox)), "trade", raw, f"{raw}-checkpoint", once=True
-    ).start().awaitTermination()
+    message = lambda symbol, day="06/01/2025": json.dumps(
+        {"Content": json.dumps({"Symbol": symbol, "LastPrice": 1, "TradingDate": day})})
+    runs = []
+
+    def run(checkpoint="checkpoint"):
+        query = jobs.ingest(
+            jobs.read_text_messages(spark, str(inbox)), "trade", raw, f"{raw}-{checkpoint}", once=True).start()
+        query.awaitTermination()
+        runs.append(query.id)
+
     land(inbox, "1", message("A"), "broken", message("B"))
     run()
     land(inbox, "2", message("C"))
@@ -111,13 +119,39 @@ def test_ingest_keeps_good_and_rejected_rows_and_replays_once(spark, tmp_path):
     assert sorted(r.symbol for r in stored.collect()) == ["A", "B", "C"]
     assert [(r.message, r.batch_id) for r in jobs.rejected_messages(spark, "trade", raw).collect()] == [("broken", 0)]
     # the last batch handed over again after a failure
-    jobs.batch_writer("trade", raw)(spark.createDataFrame([(message("C"),)], "value string"), 1)
-    assert jobs.raw_table(spark, "trade", raw).count() == 3
-    spark.read.parquet(raw).write.partitionBy("batch_id", "rejected").parquet(f"{raw}-root/trade")
-    assert RawStore(spark, f"{raw}-root").read("raw_trade").count() == 3
+    jobs.batch_writer("trade", raw, runs[-1])(spark.createDataFrame([(message("C"),)], "value string"), 1)
+    assert jobs.raw_table(spark, "trade", raw).count() == 3 and len(set(runs)) == 1
+    # a new checkpoint starts at batch 0 again and destroys nothing
+    run("new-checkpoint")
+    assert jobs.raw_table(spark, "trade", raw).count() == 6 and len(set(runs)) == 2
+    with pytest.raises(ValueError, match="id of its run"):
+        jobs.batch_writer("trade", raw)(spark.createDataFrame([("x",)], "value string"), 0)
     assert RawStore(spark, raw).read("dim_date").count() == 0
 
 
+def test_raw_days_are_pruned_and_compacted(spark, tmp_path):
+    root = scratch_path(spark, "test_raw")
+    raw = f"{root}/trade"
+    message = lambda symbol, day: json.dumps({"Content": json.dumps({"Symbol": symbol, "TradingDate": day})})
+    for batch in range(4):
+        days = [f"0{d}/01/2025" for d in (6, 7, 8)]
+        given = [(message(f"S{batch}", day),) for day in days] + [(message("N", None),), ("broken",)]
+        jobs.batch_writer("trade", raw, "r")(spark.createDataFrame(given, "value string"), batch)
+    store = RawStore(spark, root)
+    rows = lambda: sorted((r.symbol, str(r.trading_date)) for r in store.read("raw_trade").collect())
+    before = rows()
+    recent = star.recent(store.read("raw_trade"), "2025-01-08", 1)
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "trading_date" in plan.split("PartitionFilters:")[1].split("PushedFilters")[0]
+    assert recent.count() == 8
+    assert jobs.compact(spark, "trade", raw, "2025-01-08") == 8
+    assert rows() == before and jobs.rejected_messages(spark, "trade", raw).count() == 4
+    assert jobs.compact(spark, "trade", raw, "2025-01-08") == 0
+    assert star.recent(store.read("raw_trade"), "2025-01-08", 1).count() == 8
+    files = [f for f in store.read("raw_trade").inputFiles() if "2025-01-06" in f]
+    assert len(files) == 1
+
+
 def test_side_by_side_streams_report_the_failing_one(spark, tmp_path):
     writers = {}
     for name in ("trade", "quote", "index"):

@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from tapeworks import schemas
+from tapeworks.functions import times
 from tapeworks.sources import kafka, messages, responses
 
 
@@ -99,6 +100,19 @@ def test_html_table(spark):
     assert [tuple(r) for r in got] == [(0, "1", "VCB", "A & B"), (2, "2", "ACB", "c")]
 
 
+def test_html_rows_of_one_container(spark):
+    page = "<TABLE><TR><TD>a</TD></TR></TABLE><tbody id='x'><tr><td>b</td></tr></tbody><tbody><tr><td>c</td></tr></tbody>"
+    df = spark.createDataFrame([(page,)], "html string")
+    rows = lambda **given: [r.x for r in responses.html_rows(df, "html", ["x"], "tr", "td", **given).collect()]
+    assert rows() == ["a", "b", "c"] and rows(container="tbody") == ["b"]
+
+
+def test_dates_of_implausible_years_are_missing(spark):
+    df = spark.createDataFrame([("01/02/2025",), ("1/2/0001",), ("1/2/9999",), ("31/12/2199",)], "d string")
+    got = [str(r[0]) for r in df.select(times.trading_date(F.col("d"))).collect()]
+    assert got == ["2025-02-01", "None", "None", "2199-12-31"]
+
+
 def test_sector_headers(spark):
     for header in ("Sector", "Brand"):
         df = spark.createDataFrame([(" Bank ", "VCB ", "HOSE")], f"{header} string, Symbol string, Market string")
