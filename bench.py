@@ -16,7 +16,7 @@ from tapeworks.session import build_session
 
 QUERIES = [
     "ohlcv_1m", "ohlc_daily", "ohlcv_1m_stream", "fact_trade", "fact_quote", "incremental_by_date", "dedupe_by_key",
-    "upsert_latest", "ingest_trade", "sequences", "lag1_fit", "model_metrics", "tick_sequences", "ar_fit",
+    "upsert_latest", "ingest_trade", "sequences", "lag1_fit", "model_metrics", "tick_sequences", "ar_fit", "tick_fit",
 ]
 
 

@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from tapeworks.functions.times import date_key
 from tapeworks.operators import forecast, merge, series, star
 from tapeworks.operators.joins import lookup, not_in
 from tapeworks.schemas import DAILY_INDEX, DAILY_PRICE, NATURAL_KEYS
-from tapeworks.session import staged
+from tapeworks.session import staged, temporary_scratch
 from tapeworks.sources.responses import accepted, index_list_rows, load_rows, load_sectors
 from tapeworks.sources.stores import Store, month_of
 
@@ -168,7 +169,18 @@ def _names(raw: str, column: str, name: str) -> Callable[[Store], DataFrame]:
     return lambda source: star.name_members(source.read(raw), column, name)
 
 
-JOBS: dict[str, Callable[..., int]] = {
+def cleaned(job: Callable[..., int]) -> Callable[..., int]:
+    """The job, after which its intermediate tables are deleted."""
+
+    @wraps(job)
+    def run(source: Store, warehouse: Store, **given) -> int:
+        with temporary_scratch():
+            return job(source, warehouse, **given)
+
+    return run
+
+
+_LOADS: dict[str, Callable[..., int]] = {
     "dim_date": load_dim("dim_date", lambda source: star.date_members(source.read("raw_trade"))),
     "dim_time": load_dim("dim_time", lambda source: star.time_members(source.read("raw_quote"))),
     "dim_exchange": load_numbered_dim("dim_exchange", "exchange_key", _names("raw_index", "exchange", "exchange_name")),
@@ -196,3 +208,4 @@ JOBS: dict[str, Callable[..., int]] = {
     "daily_bars": export_csv("daily_bars", "Symbol"),
     "intraday_bars": export_csv("intraday_bars", "Symbol"),
 }
+JOBS = {name: cleaned(job) for name, job in _LOADS.items()}

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_scratch: dict[str, str] = {}
+_made: ContextVar[list[str] | None] = ContextVar("scratch paths of the job that runs", default=None)
 
 
 def build_session(app_name: str = "tapeworks", master: str | None = None, **conf) -> SparkSession:
@@ -48,7 +52,24 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared scratch folder."""
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if (paths := _made.get()) is not None:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def temporary_scratch() -> Iterator[None]:
+    """Delete, at the end, the scratch paths that this thread made inside: for work that has stored its result."""
+    paths: list[str] = []
+    before = _made.set(paths)
+    try:
+        yield
+    finally:
+        _made.reset(before)
+        for path in paths:
+            files, at = file_system(SparkSession.active(), path)
+            files.delete(at, True)
 
 
 def file_system(spark: SparkSession, path: str):

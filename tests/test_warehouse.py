@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -9,7 +10,7 @@ from tapeworks.etl import JOBS, load_facts
 from tapeworks.functions.times import date_key
 from tapeworks.operators import joins, merge, star
 from tapeworks.plans.inputs import Inputs
-from tapeworks.session import scratch_path
+from tapeworks.session import scratch_dir, scratch_path
 from tapeworks.sources.stores import ParquetStore
 
 DAY1, DAY2 = dt.date(2025, 1, 6), dt.date(2025, 1, 7)
@@ -229,8 +230,11 @@ def test_all_jobs_run_again_without_change(spark):
     }
     for table, rows_ in raw.items():
         source.append(table, rows_)
+    left = lambda: sorted(os.listdir(scratch_dir(spark).removeprefix("file://")))
+    before = left()
     first = {name: job(source, warehouse) for name, job in JOBS.items()}
     assert all(first.values())
+    assert {entry.rpartition("-")[0] for entry in set(left()) - set(before)} <= {"test_warehouse"}
     assert first["fact_trade"] == warehouse.read("fact_trade").count()
     facts = warehouse.read("fact_trade").join(warehouse.read("dim_symbol"), "symbol_key", "left_anti")
     assert facts.count() == 0
