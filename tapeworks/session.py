@@ -50,10 +50,10 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local_scratch[app]
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared scratch folder."""
+def scratch_path(spark: SparkSession, label: str, keep: bool = False) -> str:
+    """A fresh path under the shared scratch folder; ``keep`` saves it from ``temporary_scratch``."""
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    if (paths := _made.get()) is not None:
+    if not keep and (paths := _made.get()) is not None:
         paths.append(path)
     return path
 
@@ -84,13 +84,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return files.exists(at)
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts lineage in a way that survives the loss of executors and gives Spark true sizes, so that
     it can choose join strategies for small tables.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, label)
+    path = scratch_path(spark, label, keep)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
