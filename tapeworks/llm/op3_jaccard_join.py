@@ -35,7 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tapeworks.llm.links import components
 from tapeworks.llm.shared import fresh, table
 from tapeworks.llm.words import Words, find_words, signed, slices
-from tapeworks.session import staged
+from tapeworks.session import staged, temporary_scratch
 
 SKETCH_BITS, SKETCH_PARTS = 21, 128
 #: Rows under one shingle that one task may well stream.
@@ -221,13 +221,19 @@ def _sets_of(rows: DataFrame, needed: DataFrame, width: int) -> DataFrame:
                 data = pa.array([packed_set(one) for one in found], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("id"), data], names=["id", "hashes"])
 
-    return rows.join(needed, "id").select("id", "text").mapInArrow(run, "id long, hashes binary")
+    # shuffled at any size, so that the plan and its cost don't turn over as the needed ids grow
+    return rows.join(needed.hint("merge"), "id").select("id", "text").mapInArrow(run, "id long, hashes binary")
 
 
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80
 ) -> DataFrame:
-    """``id, n_shingles, component_id`` for every row of ``docs``."""
+    """``id, n_shingles, component_id`` for every row of ``docs``, as a stored table; all others are deleted."""
+    with temporary_scratch():
+        return staged(_components_of(docs, doc_id, text, width, percent), "near-duplicates", keep=True)
+
+
+def _components_of(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     sets = staged(document_sets(rows, shingle_sketch(rows, width), width, percent), "sets")
     real = sets.where("id is not null and n > 0")
@@ -314,7 +320,7 @@ def one_of_each(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80
 ) -> DataFrame:
     """The document with the smallest id of each component, with its own columns; rows without an id all stay."""
-    found = staged(near_duplicates(docs, doc_id, text, width, percent), "near-duplicates")
+    found = near_duplicates(docs, doc_id, text, width, percent)
     named, several = fresh(docs, "_doc_key"), fresh(docs, "_rows")
     keep = found.where("id = component_id").groupBy("id").agg(F.count("*").alias("rows"))
     keep = staged(keep.select(F.col("id").alias(named), (F.col("rows") > 1).alias(several)), "kept-ids")

@@ -34,7 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tapeworks.llm.shared import fresh, table
 from tapeworks.llm.words import Words, batch_of, find_words, mix, signed, slices
-from tapeworks.session import staged
+from tapeworks.session import staged, temporary_scratch
 
 GRAM = 8
 INFO = "id long, n_words long, digest binary, seq long, anchors array<long>, firsts array<int>, lasts array<int>"
@@ -299,7 +299,8 @@ def repeated_windows(
         F.collect_list(F.struct("ref", "salts", "first", "last")).alias("runs")
     )
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    segments = _segments(texts.join(candidates, "id"), width, shard_words)
+    # shuffled at any size, here and below, so that the plan doesn't turn over as the input grows
+    segments = _segments(texts.join(candidates.hint("merge"), "id"), width, shard_words)
     found = staged(_matched(segments, width, shard_words), "repeat-windows")
     rest = found.where("h1 is not null")
     again = staged(rest.groupBy("h1", "h2").agg(F.min("id").alias("ref"), F.max("id").alias("_most"))
@@ -343,8 +344,11 @@ def removal_counts(
     salt_rows: int = 200,
 ) -> DataFrame:
     """``id, n_words, n_removed, kept_sha256`` for every row of ``docs``."""
-    infos = staged(text_infos(docs, doc_id, text, width), "repeat-infos")
-    repeats = staged(repeated_windows(docs, infos, doc_id, text, width, shard_words, salt_rows), "repeats")
+    with temporary_scratch():
+        infos = staged(text_infos(docs, doc_id, text, width), "repeat-infos")
+        repeats = repeated_windows(docs, infos, doc_id, text, width, shard_words, salt_rows)
+        repeats = staged(repeats, "repeats", keep=True)
+        infos = staged(infos.drop("anchors", "firsts", "lasts"), "repeat-digests", keep=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -365,9 +369,9 @@ def removal_counts(
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     out_schema = docs.sparkSession.createDataFrame([], "id long, seq long, n_cut long, kept string").schema
     schema = to_arrow_schema(out_schema)
-    partly = texts.join(_by_id(repeats.where("not copy")), "id").mapInArrow(run, out_schema).distinct()
+    partly = texts.join(_by_id(repeats.where("not copy")).hint("merge"), "id").mapInArrow(run, out_schema).distinct()
     copies = repeats.where("copy").select("id", "seq", F.lit(True).alias("copy"))
-    rows = infos.drop("anchors", "firsts", "lasts").join(partly, ["id", "seq"], "left").join(
+    rows = infos.join(partly, ["id", "seq"], "left").join(
         copies, ["id", "seq"], "left"
     )
     nothing = hashlib.sha256(b"").hexdigest()
@@ -383,11 +387,13 @@ def remove_repeats(
     salt_rows: int = 200,
 ) -> DataFrame:
     """``docs`` with the spans of repeated windows cut out of the text; all rows and columns are kept."""
-    infos = staged(text_infos(docs, doc_id, text, width), "repeat-infos")
-    repeats = staged(_by_id(repeated_windows(docs, infos, doc_id, text, width, shard_words, salt_rows)), "repeats")
+    with temporary_scratch():
+        infos = staged(text_infos(docs, doc_id, text, width), "repeat-infos")
+        repeats = repeated_windows(docs, infos, doc_id, text, width, shard_words, salt_rows)
+        repeats = staged(_by_id(repeats), "repeats", keep=True)
     named, found = fresh(docs, "_doc_key"), fresh(docs, "_repeats")
     repeats = repeats.select(F.col("id").alias(named), F.col("repeats").alias(found))
-    joined = docs.join(repeats, docs[doc_id].cast("long") == repeats[named], "left").drop(named)
+    joined = docs.join(repeats.hint("merge"), docs[doc_id].cast("long") == repeats[named], "left").drop(named)
     place, width_of = docs.columns.index(text), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
