@@ -445,7 +445,10 @@ def fit_extractor(
     pages: DataFrame, page_id: str = "page_id", html: str = "html", max_pages: int = 300, layouts: int = 450
 ) -> Model:
     """Fit on built layouts and on at most ``max_pages`` pages with telling markup, those with the smallest id hashes."""
-    sample = sample_by_hash(pages.where(F.length(html) < 50_000).select(page_id, html), page_id, max_pages)
+    short = pages.where(F.length(html) < 50_000)
+    chosen = sample_by_hash(short.select(F.col(page_id).alias("_id")), "_id", max_pages).distinct()
+    found = short.select(F.col(page_id).alias("_id"), F.col(html).alias("_html")).join(F.broadcast(chosen), "_id")
+    sample = found.orderBy("_id", "_html")
     trees = [parse(page) for page in labelled_layouts(layouts)]
     labels = [_labels(tree) for tree in trees]
     for row in sample.collect():
