@@ -195,7 +195,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose whole sets link. Each side's set travels once for each pair it is in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part.slice(at, 500) for part in batches for at in range(0, part.num_rows, 500)):
             a, b = [], []
             for node, other, one, two in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 x, y = unpacked_set(one), unpacked_set(two)
