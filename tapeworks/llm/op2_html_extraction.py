@@ -10,8 +10,11 @@ The weights maximise the likelihood of labelled pages: pages of the table whose
 markup or mix adverts, forms, notices and comments into the article (``labelled_layouts``).
 
 Defined results: null and empty html give an empty text; broken markup is repaired as browsers do for the common cases
-(open paragraphs, list items and cells are closed by the next one, unknown end tags are ignored); a page of any
-length is one tree; rows are kept one to one and extra columns are ignored.
+(open paragraphs, list items and cells are closed by the next one, unknown end tags are ignored, ``head`` needs no end
+tag); an element without text of its own, as ``svg`` or ``noscript``, hides what stands before its end tag, or without
+an end tag what stands before the next block or the end of an element around it (``script`` and ``style`` without an
+end tag hide the rest, as in browsers); a page of any length is one tree; rows are kept one to one and extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -38,8 +41,14 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span"
     " strike strong sub sup time tt u var wbr".split()
 )
-SILENT = frozenset("script style template noscript head title iframe object svg math select textarea".split())
+SILENT = frozenset("script style template noscript title iframe object svg math select textarea".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Start tags that end a silent element without an end tag; svg and math end at those of text too.
+BREAKS = frozenset(
+    "address article aside blockquote body button center dd details dialog div dl dt fieldset figcaption figure footer form"
+    " h1 h2 h3 h4 h5 h6 header hr legend li main menu nav ol p pre section summary table tbody td th thead tr ul".split()
+)
+FOREIGN_BREAKS = frozenset("b big br code em embed i img nobr ruby s small span strike strong sub sup tt u var".split())
 #: What an opening tag closes, and where the search for it ends.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -60,6 +69,12 @@ HINTS = {
     "form": "form search login signup signin register contact input poll",
     "body": "article content main post entry story articlebody text prose page body maincontent blog",
 }
+_NAMED = r"<(?P<end>/?)(?P<tag>%s)(?=[\s/>])[^<>]*"
+_SILENT = re.compile("<!--|" + _NAMED % "|".join(sorted(SILENT)), re.I | re.A)
+#: Silent elements whose content is no markup: they end at the first end tag. The others nest.
+_RAW = {t: re.compile(_NAMED % t, re.I | re.A) for t in "script style title textarea iframe noscript".split()}
+_CLOSED = {t: re.compile(rf"</{t}(?=[\s/>])[^<>]*", re.I | re.A) for t in ("script", "style")}
+_COMMENT_END = re.compile(r"--\s*>")
 _HINT_OF = {word: kind for kind, words in HINTS.items() for word in words.split()}
 _WORD = re.compile(r"[a-z]+")
 KINDS = ["leaf", "heading", "p", "li", "list", "div", "section", "frame", "form", "other"]
@@ -81,6 +96,36 @@ def _kind(tag: str) -> str:
     return tag if tag in ("p", "div") else "other"
 
 
+def silent_ends(html: str) -> dict[int, int]:
+    """Where the silent elements that have an end tag begin, and where what follows them begins."""
+    ends: dict[int, int] = {}
+    waiting: dict[str, list[int]] = {}
+    endless: set[str] = set()
+    i = 0
+    while found := _SILENT.search(html, i):
+        start, i = found.start(), found.end()
+        tag = (found["tag"] or "--").lower()
+        empty = found[0].endswith("/") and html.startswith(">", i)
+        if found["end"]:
+            if waiting.get(tag):
+                ends[waiting[tag].pop()] = i + html.startswith(">", i)
+        elif tag == "--" or tag in _RAW:
+            if tag in endless:
+                continue
+            pattern = _COMMENT_END if tag == "--" else _RAW[tag] if empty or tag not in _CLOSED else _CLOSED[tag]
+            close = pattern.search(html, i)
+            if close is None:
+                endless.add(tag)
+            elif tag == "--":
+                i = close.end()
+            elif pattern is not _RAW[tag] or close["end"]:  # a second start tag comes first: no end tag of its own
+                i = close.end()
+                ends[start] = i + html.startswith(">", i)
+        elif not (empty and tag in ("svg", "math")):
+            waiting.setdefault(tag, []).append(start)
+    return ends
+
+
 class Tree(HTMLParser):
     """Nodes of one page in page order: parents, tags, hints, and the text of leaves."""
 
@@ -90,7 +135,9 @@ class Tree(HTMLParser):
         self.text: list[str | None] = [None]
         self.links: list[int] = [0]
         self.open = [0]
-        self.silent: list[str] = []
+        self.silent: list[str] = []  # the silent element and, where it has no end tag, what is open inside
+        self.ends: dict[int, int] = {}
+        self.at = self.passed = self.skip = 0
         self.anchors = 0
         self.run: list[str] = []
         self.run_links = 0
@@ -120,18 +167,38 @@ class Tree(HTMLParser):
             if tag in stops:
                 return
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
+    def feed(self, data: str) -> None:
+        """Takes a whole page: silent elements with an end tag are passed over in one step."""
+        self.ends = silent_ends(data)
+        super().feed(data)
+        self.passed = len(data) - len(self.rawdata)
+
+    def parse_starttag(self, i: int) -> int:
+        self.at, self.skip = self.passed + i, 0
+        k = super().parse_starttag(i)
+        return self.skip - self.passed if self.skip else k
+
+    def set_cdata_mode(self, elem: str) -> None:
+        if not self.skip:
+            super().set_cdata_mode(elem)
+
+    def handle_starttag(self, tag: str, attrs: list, empty: bool = False) -> None:
+        empty = empty and (tag in ("svg", "math") or self.at not in self.ends)
+        if self.silent and (tag in BREAKS or tag in FOREIGN_BREAKS and self.silent[0] in ("svg", "math")):
+            self.silent = []
+        if tag in SILENT and not empty:
+            self.skip = self.ends.get(self.at, 0)
         if self.silent:
-            if tag == self.silent[-1]:
+            if not (empty or self.skip or tag in VOID):
                 self.silent.append(tag)
-            elif tag == "body" and self.silent == ["head"]:
-                self.silent = []
-            if self.silent:
-                return
+            return
+        if tag == "head":
+            return
         if tag in SILENT:
-            if tag not in ("head", "title"):
+            if tag != "title":
                 self.run.append(" ")
-            self.silent.append(tag)
+            if not (empty or self.skip):
+                self.silent.append(tag)
             return
         if tag == "br":
             self.run.append(" ")
@@ -152,12 +219,15 @@ class Tree(HTMLParser):
         self.open.append(len(self.tag) - 1)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
+        self.handle_starttag(tag, attrs, empty=True)
 
     def handle_endtag(self, tag: str) -> None:
-        if self.silent:
-            if tag == self.silent[-1]:
-                self.silent.pop()
+        for i in range(len(self.silent) - 1, -1, -1):
+            if self.silent[i] == tag:
+                del self.silent[i:]
+                return
+        self.silent = []
+        if tag == "head":
             return
         if tag in INLINE:
             self.anchors = max(0, self.anchors - (tag == "a"))

@@ -88,6 +88,29 @@ def test_broken_markup_and_odd_pages(spark, odd_pages, extractor):
     assert extract_texts(odd_pages.where("false"), extractor, ["page_id"]).count() == 0
 
 
+@pytest.mark.parametrize(("html", "want"), [
+    ("<p>a</p><svg viewBox='0 0 1 1'/><p>b</p><math/><p>c</p>", ["a", "b", "c"]),
+    ("<p>a <svg><g/><svg/><text>no</text></svg> b</p>", ["a b"]),
+    ("<head><title>T</title><p>a</p><p>b", ["a", "b"]),
+    ("<head><meta charset=utf-8><title>T</title><link rel=x>a<p>b", ["a", "b"]),
+    ("<head><title>T</head><body><p>a</p>", ["a"]),
+    ("<html><head><title>T</title><style>no</style><noscript><img></noscript></head><body>a", ["a"]),
+    ("<div><noscript>no</div><p>a</p><noscript><p>no</p></noscript>b", ["a", "b"]),
+    ("<div><object data=x>no</div>a", ["a"]), ("<p>a</p><object data=x />b<p>c", ["a", "b", "c"]),
+    ("<form><select><option>no<option>no</form><p>a", ["a"]), ("<body><select><option>no<p>a</body>", ["a"]),
+    ("<p><a href=x><svg><path></a>a</p><p>b", ["a", "b"]), ("<svg><path><span>a</span><p>b", ["a", "b"]),
+    ("<svg><foreignObject><p>no</p></foreignObject></svg><p>a", ["a"]),
+    ("<iframe src=x /><p>a</p><iframe src=y><p>no</p></iframe>b", ["a", "b"]), ("<script src=x /><p>a", ["a"]),
+    ("<title>the <script> element</title><p>a", ["a"]), ("<textarea><style></textarea><p>a", ["a"]),
+    ("<script>if (a<b) '<svg><title>'</script ><p>a</p><script>'</svg>'</script>b", ["a", "b"]),
+    ("<!-- <svg> --><p>a</p><svg><!-- </svg> --><p>no</p></svg>b", ["a", "b"]),
+    ("<object><object><p>no</p></object><p>no</p></object><p>a", ["a"]), ("<div title='<svg>'>a</div>", ["a"]),
+    ("a & b <svg/> c &am", ["a & b c &am"]),
+])
+def test_silent_elements_hide_no_more_than_themselves(html, want):
+    assert [text for text in parse(html).text if text] == want
+
+
 def test_rules_of_odd_urls(odd_pages):
     rows = filter_urls(odd_pages).collect()
     got = {(r["page_id"], r["host"], r["path"], r["rule"]) for r in rows}
