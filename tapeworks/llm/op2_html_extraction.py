@@ -10,8 +10,8 @@ The weights maximise the likelihood of labelled pages: pages of the table whose
 markup or mix adverts, forms, notices and comments into the article (``labelled_layouts``).
 
 Defined results: null and empty html give an empty text; broken markup is repaired as browsers do for the common cases
-(open paragraphs, list items and cells are closed by the next one, unknown end tags are ignored, ``head`` needs no end
-tag); an element without text of its own, as ``svg`` or ``noscript``, hides what stands before its end tag, or without
+(open paragraphs, list items and cells are closed by the next one, unknown end tags are ignored, unknown ``<![``
+sections are comments up to ``>``, ``head`` needs no end tag); an element without text of its own, as ``svg`` or ``noscript``, hides what stands before its end tag, or without
 an end tag what stands before the next block or the end of an element around it (``script`` and ``style`` without an
 end tag hide the rest, as in browsers); a page of any length is one tree; rows are kept one to one and extra columns
 are ignored.
@@ -74,6 +74,10 @@ _SILENT = re.compile("<!--|" + _NAMED % "|".join(sorted(SILENT)), re.I | re.A)
 #: Silent elements whose content is no markup: they end at the first end tag. The others nest.
 _RAW = {t: re.compile(_NAMED % t, re.I | re.A) for t in "script style title textarea iframe noscript".split()}
 _CLOSED = {t: re.compile(rf"</{t}(?=[\s/>])[^<>]*", re.I | re.A) for t in ("script", "style")}
+#: The sections that the library's parser knows; it raises an error on others.
+_SECTION = re.compile(r"<!\[(?:temp|cdata|ignore|include|rcdata|if|else|endif)(?![-_.a-z0-9])", re.I | re.A)
+#: Character numbers that int() refuses.
+_LONG_NUMBER = re.compile(r"&#([0-9]{4000,})", re.A)
 _COMMENT_END = re.compile(r"--\s*>")
 _HINT_OF = {word: kind for kind, words in HINTS.items() for word in words.split()}
 _WORD = re.compile(r"[a-z]+")
@@ -178,6 +182,11 @@ class Tree(HTMLParser):
         k = super().parse_starttag(i)
         return self.skip - self.passed if self.skip else k
 
+    def parse_html_declaration(self, i: int) -> int:
+        if self.rawdata.startswith("<![", i) and not _SECTION.match(self.rawdata, i):
+            return self.parse_bogus_comment(i)
+        return super().parse_html_declaration(i)
+
     def set_cdata_mode(self, elem: str) -> None:
         if not self.skip:
             super().set_cdata_mode(elem)
@@ -248,7 +257,7 @@ class Tree(HTMLParser):
 
 def parse(html: str) -> Tree:
     tree = Tree()
-    tree.feed(html)
+    tree.feed(_LONG_NUMBER.sub(lambda m: "&#" + (m[1].lstrip("0")[:8] or "0"), html))
     tree.close()
     return tree
 

@@ -81,6 +81,9 @@ def test_articles_of_the_table(spark, sf_dir, extractor):
 
 def test_broken_markup_and_odd_pages(spark, odd_pages, extractor):
     assert page_texts(extractor, [None, "", "<", "<p", "</div></div>", "<!-- x", "<script>a", "&amp"])[:2] == ["", ""]
+    odd = ["<p>a <![x] b</p>", "<p>x <![ y</p>", "<![İf x]>a", "<p>a &#" + "1" * 5000 + "; b", "&#" + "0" * 5000 + "65;"]
+    assert [[t for t in parse(html).text if t] for html in odd] == [["a"], ["x"], ["a"], ["a \ufffd b"], ["A"]]
+    assert len(page_texts(extractor, odd)) == len(odd)
     deep = "<div>" * 3000 + "text"
     assert len(page_texts(extractor, [deep, "<p>" * 5000])) == 2
     out = extract_texts(odd_pages, extractor, ["page_id", "url"])
