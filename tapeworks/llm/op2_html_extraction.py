@@ -6,15 +6,16 @@ potential for their pair of labels that depends on the kind of child. Sum-produc
 again, level by level for many pages at once, and the leaves' content marginals decide.
 
 The weights maximise the likelihood of labelled pages: pages of the table whose markup says what the article is (an
-``article`` or ``main`` element; a bounded sample, ``max_pages``), and pages built from layouts that lack such
-markup or mix adverts, forms, notices and comments into the article (``labelled_layouts``).
+``article`` or ``main`` element; a bounded sample, ``max_pages`` of fewer than ``max_chars`` characters), and pages
+built from layouts that lack such markup or mix adverts, forms, notices and comments into the article
+(``labelled_layouts``).
 
 Defined results: null and empty html give an empty text; broken markup is repaired as browsers do for the common cases
 (open paragraphs, list items and cells are closed by the next one, unknown end tags are ignored, unknown ``<![``
-sections are comments up to ``>``, ``head`` needs no end tag); an element without text of its own, as ``svg`` or ``noscript``, hides what stands before its end tag, or without
-an end tag what stands before the next block or the end of an element around it (``script`` and ``style`` without an
-end tag hide the rest, as in browsers); a page of any length is one tree; rows are kept one to one and extra columns
-are ignored.
+sections are comments up to ``>``, ``head`` needs no end tag); an element without text of its own, as ``svg`` or
+``noscript``, hides what stands before its end tag, or without an end tag what stands before the next block or the end
+of an element around it (``script`` and ``style`` without an end tag hide the rest, as in browsers); a page of any
+length is one tree; rows are kept one to one and extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -520,11 +521,23 @@ def labelled_layouts(n: int, seed: int = 3) -> list[str]:
     return [page() for _ in range(n)]
 
 
+def _is_telling(html: str) -> Column:
+    """Whether ``_markup_labels`` finds labels: one ``article`` or one ``main`` outside comments and silent elements."""
+    hidden = rf"(?is)<!--.*?--\s*>|<({'|'.join(sorted(SILENT))})(?=[\s/>])[^<>]*(?<!/)>.*?</\1(?=[\s/>])"
+    bare = F.regexp_replace(html, hidden, " ")
+    one = [F.regexp_count(bare, F.lit(rf"(?i)<{tag}(?=[\s/>])")) == 1 for tag in ("article", "main")]
+    return one[0] | one[1]
+
+
 def fit_extractor(
-    pages: DataFrame, page_id: str = "page_id", html: str = "html", max_pages: int = 300, layouts: int = 450
+    pages: DataFrame, page_id: str = "page_id", html: str = "html", max_pages: int = 300, layouts: int = 450,
+    max_chars: int = 50_000,
 ) -> Model:
-    """Fit on built layouts and on at most ``max_pages`` pages with telling markup, those with the smallest id hashes."""
-    short = pages.where(F.length(html) < 50_000)
+    """Fit on built layouts and on at most ``max_pages`` pages with telling markup, those with the smallest id hashes.
+
+    Only pages of fewer than ``max_chars`` characters are taken, which bounds what the driver fetches.
+    """
+    short = pages.where((F.length(html) < max_chars) & _is_telling(html))
     chosen = sample_by_hash(short.select(F.col(page_id).alias("_id")), "_id", max_pages).distinct()
     found = short.select(F.col(page_id).alias("_id"), F.col(html).alias("_html")).join(F.broadcast(chosen), "_id")
     sample = found.orderBy("_id", "_html")

@@ -50,6 +50,21 @@ def test_layouts_kept_out_of_the_fit(extractor):
     assert np.allclose(pair.sum(axis=(1, 2)), 1)
 
 
+def test_fit_takes_pages_with_telling_markup(spark, monkeypatch):
+    plain = ["<p>a", "<article>a</article><article>b</article>", "<!-- <main> --><p>a", "<script>'<article>'</script>a", None]
+    telling = [
+        "<article>a", "<ARTICLE class=x>a</ARTICLE><!-- <article> -->", "<main>a</main><noscript><main></noscript>",
+        "<main/>a<articles>", "<article>a</article><article>b</article><main>c", "<script src=x/></script><article\n>a",
+    ]
+    rows = [(i, plain[i % len(plain)]) for i in range(200)] + [(1000 + i, html) for i, html in enumerate(telling)]
+    pages = spark.createDataFrame([*rows, (2000, "<main>" + "long " * 100)], "page_id long, html string")
+    for html in telling + [h or "" for h in plain]:
+        assert (op2._markup_labels(parse(html)) is not None) == (html in telling)
+    monkeypatch.setattr(op2, "fit_model", lambda f, labels: int(f.page.max()) + 1)
+    fit = lambda **options: op2.fit_extractor(pages, layouts=2, **options) - 2
+    assert [fit(max_pages=3), fit(max_pages=10), fit(max_pages=10, max_chars=300)] == [3, len(telling) + 1, len(telling)]
+
+
 def test_messages_give_exact_marginals():
     rng = np.random.default_rng(2)
     f = forest([parse("<body><nav><p>a b</p></nav><div class=ad>c</div><p>d e f")])
