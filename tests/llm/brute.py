@@ -55,6 +55,23 @@ def near_duplicates(docs: list[tuple], width: int, percent: int) -> set[tuple]:
     return {(key, len(sets[i]), None if key is None else min(least[root(i)])) for i, (key, _) in enumerate(docs)}
 
 
+def clean(docs: list[tuple], items: list[str | None], width: int = 13, percent: int = 5) -> list[tuple]:
+    """Documents of which benchmark windows cover less than the share, or nothing."""
+    cut = lambda text: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+    windows = defaultdict(set)
+    for own in map(cut, items):
+        size = min(width, len(own))
+        windows[size] |= {tuple(own[i : i + size]) for i in range(len(own) - size + 1) if size}
+    out = []
+    for key, text in docs:
+        own = cut(text)
+        hit = {i + k for size, found in windows.items() for i in range(len(own) - size + 1)
+               if tuple(own[i : i + size]) in found for k in range(size)}
+        if not hit or 100 * len(hit) < percent * len(own):
+            out.append((key, text))
+    return out
+
+
 def removals(docs: list[tuple], width: int) -> list[tuple]:
     first = {}
     for key, text in docs:

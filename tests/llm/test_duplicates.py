@@ -5,14 +5,18 @@ import random
 import corpus_pipeline
 import numpy as np
 import pytest
+import sentencepiece
+from brute import clean, removals, words
 from brute import near_duplicates as brute_near
-from brute import removals, words
 from conftest import pairs
 from tapeworks.llm import op3_jaccard_join as op3
+from tapeworks.llm import op4_quality_classifier as op4
 from tapeworks.llm import op7_substring_dedup as op7
 from tapeworks.llm.links import components
 from tapeworks.llm.op3_jaccard_join import near_duplicates, one_of_each, prefix_length
 from tapeworks.llm.op7_substring_dedup import SuffixAutomaton, removal_counts, remove_repeats, sliding_min
+from tapeworks.llm.op8_sentencepiece import MODEL
+from tapeworks.llm.shared import table
 
 
 @pytest.fixture(scope="module")
@@ -155,6 +159,48 @@ def test_pipeline(spark, sf_dir):
     assert len({c for _, _, c in brute_near(kept, 5, 100)}) <= len(kept)
 
 
+def test_stages_keep_what_brute_force_keeps(spark, sf_dir):
+    """The chain, each stage against plain code on its own input."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = sorted((r.asDict() for r in docs.collect()), key=lambda r: r["doc_id"])[:150]
+    items = [r["text"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    long, top, planted = [r for r in rows if len(words(r["text"])) >= 80], rows[-1]["doc_id"] + 1, []
+    for i, row in enumerate(long):
+        own, other = words(row["text"]), words(long[i - 1]["text"])
+        texts = [
+            " ".join([*own[:40], "changed", *own[41:]]), " ".join([*own[: len(own) // 2], *other[:70], *own[len(own) // 2 :]]),
+            f"{' '.join(own[: len(own) // 3])}\n{items[i % len(items)]}",
+        ]
+        planted += [{**row, "doc_id": top + 3 * i + k, "text": text} for k, text in enumerate(texts)]
+    given = spark.createDataFrame([tuple(r[c] for c in docs.columns) for r in rows + planted], docs.schema)
+    stages = {name: stage for name, stage in corpus_pipeline.STAGES}
+
+    def after(name, frame):
+        return corpus_pipeline.staged(stages[name](spark, frame, sf_dir), "test-stage")
+
+    good = after("quality classifier", given)
+    network = op4.fit_quality(given, table(spark, sf_dir, "labels"))
+    fine = {r["doc_id"] for r in op4.score_quality(given, network, ["doc_id"]).collect() if r["predicted"] == 1}
+    assert sorted(pairs(good)) == sorted(p for p in pairs(given) if p[0] in fine) and 0 < len(fine) < given.count()
+
+    single = after("n-gram Jaccard join", good)
+    firsts = {component for _, _, component in brute_near(pairs(good), 5, 80)}
+    assert sorted(pairs(single)) == sorted(p for p in pairs(good) if p[0] in firsts) and len(firsts) < len(fine)
+
+    cut = after("substring dedup", single)
+    before, got, removed = dict(pairs(single)), dict(pairs(cut)), removals(pairs(single), 50)
+    digest = {key: op7.hashlib.sha256(" ".join(words(text)).encode()).hexdigest() for key, text in got.items()}
+    assert digest == {key: kept for key, _, _, kept in removed} and cut.count() == len(removed)
+    assert all(got[key] == before[key] for key, _, gone, _ in removed if not gone) and any(r[2] for r in removed)
+
+    kept = after("benchmark decontamination", cut)
+    assert sorted(pairs(kept)) == sorted(clean(pairs(cut), items)) and 0 < kept.count() < cut.count()
+
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    out = {r["doc_id"]: list(r["token_ids"]) for r in after("SentencePiece encoding and decoding", kept).collect()}
+    assert out == {key: library.encode(text) for key, text in pairs(kept)}
+
+
 def test_stages_take_odd_rows(spark, odd_docs, no_docs, sf_dir):
     for frame in (odd_docs, no_docs):
         for name, stage in corpus_pipeline.STAGES:
