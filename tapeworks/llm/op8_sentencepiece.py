@@ -9,8 +9,8 @@ exactly the tokens of the merge procedure, left to right.
   and remembered; a unit of over ``LONG_UNIT`` characters is encoded by the scan.
 * Giant documents are split into chunks anywhere. For each chunk a task computes the transfer matrix: from every boundary
   state in which a token may cross its start to those reachable at its end. Matrices are combined along a
-  document in the max-plus semiring, the one finite path fixes each chunk's states, and each chunk is traced back
-  on its own.
+  document in the max-plus semiring, the one finite path fixes each chunk's states, and each chunk is encoded on its
+  own: the units at both ends are traced back from the scan, the library encodes those between the safe cuts.
 
 Spaces become ``MARK`` and one is put in front of a text that is not empty; characters without a piece become
 byte tokens. Decoding undoes both, so every text comes back exactly unless it contains ``MARK`` itself, which
