@@ -13,7 +13,8 @@ prefixes and sizes are one group that sends its prefix once.
    Links give components.
 4. What a leader did not settle is made complete: under every shingle that still has groups of several
    components, all pairs of groups of different components that pass the bounds are expanded and verified too.
-   Pairs inside one component need no check: a link there changes nothing.
+   Pairs inside one component are not checked: a link there changes no component. So the links themselves, and their
+   number per document, are not results of this operator; it returns components only.
 
 Defined results: null texts and texts without words have no shingles and no links; rows without an id are never
 linked and have no component; rows that share an id are one document; extra columns are ignored by
@@ -228,7 +229,10 @@ def _sets_of(rows: DataFrame, needed: DataFrame, width: int) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80
 ) -> DataFrame:
-    """``id, n_shingles, component_id`` for every row of ``docs``, as a stored table; all others are deleted."""
+    """``id, n_shingles, component_id`` for every row of ``docs``, as a stored table; all others are deleted.
+
+    Components only: links inside a component are not all computed.
+    """
     with temporary_scratch():
         return staged(_components_of(docs, doc_id, text, width, percent), "near-duplicates", keep=True)
 
