@@ -12,6 +12,9 @@ from tapeworks.llm.op7_substring_dedup import OP7_SQL, op7_substring_dedup
 from tapeworks.llm.op8_sentencepiece import op8_sentencepiece
 from tapeworks.llm.op9_sharding import op9_sharding
 from tapeworks.llm.op10_decontamination import OP10_SQL, op10_decontamination
+from tapeworks.llm.op11_bpe import op11_bpe
+from tapeworks.llm.op12_periodic_runs import op12_periodic_runs
+from tapeworks.llm.op13_lexical_search import OP13_SQL, op13_lexical_search
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
@@ -24,10 +27,14 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
+    "op11_bpe": op11_bpe,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_lexical_search": op13_lexical_search,
 }
 SQL: dict[str, str] = {
     "op3_jaccard_join": OP3_SQL,
     "op6_warc": OP6_SQL,
     "op7_substring_dedup": OP7_SQL,
     "op10_decontamination": OP10_SQL,
+    "op13_lexical_search": OP13_SQL,
 }
