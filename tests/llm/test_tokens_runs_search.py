@@ -119,10 +119,10 @@ def _runs(own, least):
             while k + q < n and own[k] == own[k + q]:
                 k += 1
             size = k - i + q
-            inner = own[i : i + size]
-            shorter = any(all(inner[x] == inner[x + p] for x in range(size - p)) for p in range(1, q))
-            if k > i and size >= max(least, 2 * q) and not shorter:
-                out.append((i, size, q))
+            if k > i and size >= max(least, 2 * q):
+                inner = own[i : i + size]
+                if not any(inner[p:] == inner[:-p] for p in range(1, q)):
+                    out.append((i, size, q))
             i = max(i + 1, k)
     return sorted(out, key=lambda r: (r[0], r[2]))
 
