@@ -182,13 +182,21 @@ def _may_link(n: Column, pos: Column, other_n: Column, other_pos: Column, percen
 
 
 def packed_set(hashes: np.ndarray) -> bytes:
-    """A set as 48-bit numbers: within one pair of sets of a thousand, two differ by chance once in 10^8 pairs."""
-    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+    """A sorted set of 64-bit numbers, whole: the first bytes as a bitmap of steps, the other seven as they are."""
+    n = len(hashes)
+    steps = np.zeros(n + 256, bool)
+    steps[(hashes >> np.uint64(56)).astype(np.int64) + np.arange(n)] = True
+    low = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]
+    return n.to_bytes(4, "little") + np.packbits(steps).tobytes() + low.tobytes()
 
 
 def unpacked_set(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    n = int.from_bytes(data[:4], "little")
+    raw = np.frombuffer(data, np.uint8)
+    split = 4 + (n + 256 + 7) // 8
+    top = np.flatnonzero(np.unpackbits(raw[4:split], count=n + 256)) - np.arange(n)
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :7], wide[:, 7] = raw[split:].reshape(-1, 7), top
     return wide.view("<u8").ravel()
 
 
@@ -267,13 +275,15 @@ def _components_of(docs: DataFrame, doc_id: str, text: str, width: int, percent:
         members.where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     )
     pairs = staged(pairs.distinct(), "set-pairs")
-    needed = shared.select(F.col("node").alias("id")).unionByName(members.select(F.col("node").alias("id"))).distinct()
-    whole = staged(_sets_of(rows, needed, width), "whole-sets")
+    # only sets of pairs that the bounds leave open are built
+    whole = staged(_sets_of(rows, _ids_in(pairs), width), "whole-sets")
     links = staged(_verified(pairs, whole, percent), "set-links")
     roots = staged(components(links), "set-roots")
     more = staged(_unsettled(shared, members, roots, pairs, percent), "set-pairs")
     if not more.isEmpty():
-        found = _verified(more, whole, percent)
+        new = _ids_in(more).join(_ids_in(pairs), "id", "left_anti")
+        added = staged(_sets_of(rows, new, width), "whole-sets")
+        found = _verified(more, whole.unionByName(added), percent)
         roots = staged(components(links.unionByName(found)), "set-roots")
     placed = classes.select("class", "node").join(roots, "node", "left").select(
         "class", F.coalesce("root", "node").alias("root")
@@ -285,6 +295,10 @@ def _components_of(docs: DataFrame, doc_id: str, text: str, width: int, percent:
     ).withColumn("component_id", F.when(F.col("id").isNotNull(), F.col("component_id")))
 
 
+def _ids_in(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+
 def _unsettled(shared: DataFrame, members: DataFrame, roots: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes of different components that share a shingle and pass the bounds, without the known ones."""
 
