@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tapeworks.llm.words import BYTE_BASE, BYTE_VALUES, Words, batch_of, find_words, mix, run_hashes, slices
+from tapeworks.llm.words import BYTE_VALUES, PLACE, Words, batch_of, find_words, mix, run_hashes, slices
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SHARES = [
@@ -46,7 +46,7 @@ def _per_text(mask: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def _in_text(hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
     """Hashes that differ between texts."""
-    return mix(hashes + text.astype(np.uint64) * BYTE_BASE)
+    return mix(hashes + text.astype(np.uint64) * PLACE)
 
 
 def _repeat_words(words: Words, hashes: np.ndarray, width: int = 3) -> np.ndarray:
@@ -72,7 +72,7 @@ def _dup_lines(words: Words) -> tuple[np.ndarray, np.ndarray]:
     starts = np.minimum(starts, ends)
     has_word = np.searchsorted(words.start, ends) > np.searchsorted(words.start, starts)
     starts, ends, text = starts[has_word], ends[has_word], text[has_word]
-    lines = _in_text(run_hashes(BYTE_VALUES[words.data], starts, ends, BYTE_BASE), text)
+    lines = _in_text(run_hashes(BYTE_VALUES[words.data], starts, ends), text)
     _, first = np.unique(lines, return_index=True)
     again = np.ones(len(lines), bool)
     again[first] = False

@@ -13,7 +13,7 @@ has no bound and can't be broadcast whole; each automaton is sent where its docu
    reference with many of them is copied to several tasks). A window is found where the
    matching statistic reaches ``width``: word hashes are compared one by one, not window hashes.
 4. Windows left over (their place differs from the reference, but perhaps equals a third document) and reference windows
-   beyond a shard's length are compared exactly by 96-bit hashes in one aggregate and one join. No window
+   beyond a shard's length are compared exactly by 128-bit hashes in one aggregate and one join. No window
    is lost: equal windows have one reference, so either all of them were found there or all come here.
 
 Defined results: null texts have no words; rows without an id are never touched and remove nothing; rows that share id
@@ -39,7 +39,7 @@ from tapeworks.session import staged, temporary_scratch
 GRAM = 8
 INFO = "id long, n_words long, digest binary, seq long, anchors array<long>, firsts array<int>, lasts array<int>"
 SEGMENT = "ref long, salt int, stream boolean, id long, seq long, start int, words binary"
-FOUND = "id long, seq long, first int, last int, h1 long, h2 int"
+FOUND = "id long, seq long, first int, last int, h1 long, h2 long"
 
 
 class SuffixAutomaton:
@@ -215,7 +215,7 @@ def _window_hashes(words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarra
     values = words.view(np.uint64)
     _, one = whole.windows(values, width)
     _, two = whole.windows(mix(values ^ np.uint64(0x5851F42D4C957F2D)), width)
-    return signed(one), (two >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return signed(one), signed(two)
 
 
 def _spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -259,7 +259,7 @@ def _matched(segments: DataFrame, width: int, shard_words: int) -> DataFrame:
                 if len(first):
                     n, none = len(first), pa.nulls(len(first), pa.int64())
                     yield emit(
-                        np.full(n, own), np.full(n, seq), first + start, last + start, none, pa.nulls(n, pa.int32())
+                        np.full(n, own), np.full(n, seq), first + start, last + start, none, none
                     )
                 missing = np.flatnonzero(~found)
                 if len(missing):

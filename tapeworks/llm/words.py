@@ -18,7 +18,7 @@ SLICE_BYTES = 1 << 20
 
 _SEED = np.random.default_rng(20240917)
 BYTE_VALUES = _SEED.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BYTE_BASE, WORD_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+PLACE, LENGTH, PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
 _MIX = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 _SPACE = np.zeros(256, bool)
@@ -27,27 +27,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
 
-def _inverse(base: np.uint64) -> np.uint64:
-    return np.uint64(pow(int(base), -1, 1 << 64))
-
-
-class _Powers:
-    """base^0, base^1, ... modulo 2^64, as far as asked for."""
-
-    def __init__(self, base: np.uint64) -> None:
-        self.base, self.known = base, np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> np.ndarray:
-        if len(self.known) < n:
-            steps = np.full(max(n, 2 * len(self.known)), self.base, np.uint64)
-            steps[0] = 1
-            self.known = np.multiply.accumulate(steps)
-        return self.known[:n]
-
-
-_POWERS = {base: _Powers(base) for b in (BYTE_BASE, WORD_BASE) for base in (b, _inverse(b))}
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads the bits of 64-bit values."""
     x = x ^ (x >> np.uint64(33))
@@ -57,13 +36,36 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64) -> np.ndarray:
-    """Hash of values[start:end] for each pair; equal runs have equal hashes wherever they stand."""
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * _POWERS[base].upto(len(values)), out=sums[1:])
-    hashes = sums[ends] - sums[starts]
-    hashes *= _POWERS[_inverse(base)].upto(len(values) + 1)[starts]
-    return mix(hashes)
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of values[start:end] for each pair; equal runs have equal hashes wherever they stand.
+
+    Every value is mixed with its place before it is added up: sums over powers of a base modulo 2^64 would
+    collide for texts that somebody makes for it (two symbols in the order of Thue and Morse), whatever the base.
+    """
+    counts = ends - starts
+    offsets = np.zeros(len(counts) + 1, np.int64)
+    np.cumsum(counts, out=offsets[1:])
+    place = np.arange(offsets[-1]) - np.repeat(offsets[:-1], counts)
+    mixed = mix(values[place + np.repeat(starts, counts)] + place.astype(np.uint64) * PLACE)
+    sums = np.zeros(len(mixed) + 1, np.uint64)
+    np.cumsum(mixed, out=sums[1:])
+    return mix(sums[offsets[1:]] - sums[offsets[:-1]] + counts.astype(np.uint64) * LENGTH)
+
+
+def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each ``width`` neighbouring values, from hashes of 1, 2, 4 ... of them, mixed pair by pair."""
+
+    def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        n = min(len(a), len(b))
+        return mix(a[:n] * PAIR ^ mix(b[:n] + PLACE))
+
+    out, done, span, level = None, 0, 1, values
+    while True:
+        if width & span:
+            out, done = level if out is None else pair(out, level[done:]), done + span
+        if 2 * span > width:
+            return out[: max(0, len(values) - width + 1)]
+        level, span = pair(level, level[span:]), 2 * span
 
 
 @dataclass
@@ -82,7 +84,7 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        return run_hashes(BYTE_VALUES[self.data], self.start, self.end, BYTE_BASE)
+        return run_hashes(BYTE_VALUES[self.data], self.start, self.end)
 
     def windows(self, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """First words and hashes of all runs of ``width`` words inside one text."""
@@ -90,11 +92,11 @@ class Words:
         if n < width:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         at = np.flatnonzero(self.text[: n - width + 1] == self.text[width - 1 :])
-        return at, run_hashes(hashes, at, at + width, WORD_BASE)
+        return at, window_hashes(hashes, width)[at]
 
     def whole(self, hashes: np.ndarray) -> np.ndarray:
         """Hash of the whole word sequence of each text."""
-        return run_hashes(hashes, self.first[:-1], self.first[1:], WORD_BASE)
+        return run_hashes(hashes, self.first[:-1], self.first[1:])
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
