@@ -100,13 +100,16 @@ def train(source: Store, warehouse: Store) -> int:
     features, stored = warehouse.read("daily_features"), warehouse.read("model_state")
     enough = series.with_min_history(features, 3)
     fresh = staged(forecast.new_sums(enough, stored), "new_sums")
-    merged = staged(forecast.merge_states(stored, fresh), "model_state")
+    # symbols without new rows keep their model and state: only the others are merged and stored
+    known = stored.join(fresh.select("symbol"), "symbol", "left_semi")
+    merged = staged(forecast.merge_states(known, fresh), "model_state")
     lines = forecast.line_of(merged).join(fresh.select("symbol"), "symbol", "left_semi")
     predictions = staged(forecast.predict_line(lines, features), "predictions")
     append_unknown(warehouse, "target_data", forecast.target_rows(predictions))
     append_unknown(warehouse, "prediction_log", forecast.prediction_rows(predictions))
-    warehouse.replace("model_info", forecast.model_rows(merged, forecast.evaluate(enough)))
-    warehouse.replace("model_state", merged)
+    trained = enough.join(fresh.select("symbol"), "symbol", "left_semi")
+    warehouse.upsert("model_info", forecast.model_rows(merged, forecast.evaluate(trained)))
+    warehouse.upsert("model_state", merged)
     return fresh.count()
 
 
@@ -132,11 +135,11 @@ def load_security_details(items: DataFrame, warehouse: Store) -> int:
     return warehouse.append("security_detail", fresh)
 
 
-def load_index_list(items: DataFrame, markets: DataFrame, sequence: str, warehouse: Store) -> None:
+def load_index_list(items: DataFrame, markets: DataFrame, sequence: str, warehouse: Store) -> int:
     """Index records of known markets (``market_id, market_name``); the last of each code is stored."""
     named = markets.select("market_id", F.trim("market_name").alias("market_name"))
     found = lookup(index_list_rows(items, sequence), named, {"exchange": "market_name"}, ["market_id"], "inner")
-    warehouse.replace("index_list", merge.upsert(warehouse.read("index_list"), found, "index_code", sequence))
+    return warehouse.upsert("index_list", found, sequence)
 
 
 def load_daily(table: str, records: DataFrame, warehouse: Store) -> int:
@@ -150,8 +153,7 @@ def load_sector_file(rows: DataFrame, warehouse: Store) -> int:
 
 
 def _index_list_job(source: Store, warehouse: Store) -> int:
-    load_index_list(source.read("landed_index_list"), source.read("markets"), "arrival", warehouse)
-    return warehouse.read("index_list").count()
+    return load_index_list(source.read("landed_index_list"), source.read("markets"), "arrival", warehouse)
 
 
 def export_csv(table: str, code: str) -> Callable[[Store, Store], int]:

@@ -243,11 +243,11 @@ class Inputs:
             return dict(zip(names, pool.map(lambda name: staged(self.members(name), name), names)))
 
 
-def envelopes(rows: DataFrame, channel: str) -> DataFrame:
-    """Raw rows as the messages they would have arrived in."""
+def envelopes(rows: DataFrame, channel: str, *beside: str) -> DataFrame:
+    """Raw rows as the messages they would have arrived in, with the columns ``beside``."""
     inner = [
         (F.date_format(column, "dd/MM/yyyy") if kind == "date" else F.col(column)).alias(wire)
         for wire, column, kind in CHANNELS[channel]
     ]
     content = F.to_json(F.struct(*inner)).alias("Content")
-    return rows.select(F.to_json(F.struct(content)).alias("value"))
+    return rows.select(F.to_json(F.struct(content)).alias("value"), *beside)

@@ -12,9 +12,10 @@ from tapeworks.plans import oracle as o
 from tapeworks.plans.catalog import query
 from tapeworks.plans.inputs import Inputs, envelopes
 from tapeworks.schemas import CHANNELS, DAILY_INDEX, DAILY_PRICE
-from tapeworks.session import scratch_path
+from tapeworks.session import scratch_path, staged
 from tapeworks.sources import kafka, messages, responses
 from tapeworks.sources.files import read_csv, read_landed_pages, replace_table, read_table, write_csv
+from tapeworks.streaming.jobs import batch_writer, compact, raw_table
 
 NOW_MS = 1_735_689_600_000  # 2025-01-01 00:00:00
 
@@ -469,6 +470,20 @@ def ingest_quote(t: Inputs) -> DataFrame:
     return _ingested(t.quotes(), "quote")
 
 
+@query("raw_compacted", o.with_(o.QUOTE) + f"SELECT {_columns('quote', symbol_id=_PAD10['symbol'].replace('symbol', 'symbol_id'))}"
+       " FROM quote AS src")
+def raw_compacted(t: Inputs) -> DataFrame:
+    """The raw table after batches, one of them handed over twice, a compaction of the first half, and one more batch."""
+    path = f"{scratch_path(t.spark, 'raw')}/quote"
+    sent = staged(envelopes(t.quotes().withColumn("_part", F.pmod(F.xxhash64("symbol_id", "time"), F.lit(3))), "quote", "_part"), "sent")
+    write = batch_writer("quote", path, "feed")
+    for number in (0, 1, 1):
+        write(sent.where(F.col("_part") == number).drop("_part"), number)
+    compact(t.spark, "quote", path, "2024-01-16")
+    write(sent.where("_part = 2").drop("_part"), 2)
+    return raw_table(t.spark, "quote", path)
+
+
 @query(
     "ingest_index",
     o.with_(o.INDEX)

@@ -341,6 +341,24 @@ def upsert_latest(t: Inputs) -> DataFrame:
     return merge.upsert(_securities(t, "c_nationkey < 10"), _listed(t), "symbol_id", "arrival")
 
 
+@query(
+    "upsert_buckets",
+    """WITH sent AS (SELECT o_custkey::VARCHAR AS code, o_orderkey AS k, o_orderkey % 3 AS part FROM orders)
+SELECT code AS indexlist_id, 7 AS market_id, 'Order ' || k AS index_name, code AS index_code FROM sent
+QUALIFY row_number() OVER (PARTITION BY code ORDER BY part DESC, k DESC) = 1""",
+)
+def upsert_buckets(t: Inputs) -> DataFrame:
+    """A table kept in buckets of its key after three upserts; the last record of the last batch of each key."""
+    store, code = ParquetStore(t.spark, scratch_path(t.spark, "warehouse")), F.col("o_custkey").cast("string")
+    rows = t.table("orders").select(
+        code.alias("indexlist_id"), F.lit(7).alias("market_id"), F.concat(F.lit("Order "), "o_orderkey").alias("index_name"),
+        code.alias("index_code"), "o_orderkey",
+    )
+    for part in range(3):
+        store.upsert("index_list", rows.where(F.col("o_orderkey") % 3 == part), "o_orderkey")
+    return store.read("index_list")
+
+
 @query(
     "resume_append",
     """SELECT c_custkey::VARCHAR AS symbol_id, CASE WHEN c_nationkey < 10 THEN c_name ELSE upper(c_name) END AS symbol_name

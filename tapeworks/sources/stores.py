@@ -2,23 +2,39 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from typing import Protocol
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from tapeworks.operators.joins import not_in
+from tapeworks.operators.merge import first_by_key, upsert
 from tapeworks.operators.star import DATE_KEY
 from tapeworks.schemas import CHANNELS, TABLES
 from tapeworks.session import path_exists, staged
 from tapeworks.sources.files import replace_table
 from tapeworks.sources.jdbc import read_jdbc, write_jdbc
+from tapeworks.sources.versions import Change, Conflict, Snapshot, Versions
 from tapeworks.streaming.jobs import raw_table
 
 MONTH = "trading_month"
 
 
+BUCKET, BUCKETS = "key_bucket", 64
+#: Columns that the folders of keyed tables add.
+OWN = f", load string, {BUCKET} int"
+#: Tables whose rows are replaced by key, and the key.
+KEYED = {"index_list": "index_code", "model_info": "symbol", "model_state": "symbol"}
+
+
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int").alias(BUCKET)
+
+
 class Store(Protocol):
     def read(self, table: str, months: list[int] | None = None) -> DataFrame: ...
 
@@ -26,6 +42,8 @@ class Store(Protocol):
 
     def replace(self, table: str, rows: DataFrame) -> None: ...
 
+    def upsert(self, table: str, batch: DataFrame, sequence: str | None = None) -> int: ...
+
 
 def month_of(day_key: Column) -> Column:
     """yyyyMM of a date key, or 0 where the date is not in the dimension."""
@@ -58,6 +76,8 @@ class ParquetStore:
     def read(self, table: str, months: list[int] | None = None) -> DataFrame:
         """The table, empty before the first write; of a fact table only ``months`` if given."""
         schema = self.schemas[table]
+        if table in KEYED:
+            return Versions(self.spark, self.path(table)).read(f"{schema}{OWN}").drop("load", BUCKET)
         partitioned = table.startswith("fact_")
         if not path_exists(self.spark, self.path(table)):
             return self.spark.createDataFrame([], schema)
@@ -80,7 +100,54 @@ class ParquetStore:
         ))
 
     def replace(self, table: str, rows: DataFrame) -> None:
-        replace_table(rows, self.path(table))
+        if table not in KEYED:
+            replace_table(rows, self.path(table))
+            return
+        versions = Versions(self.spark, self.path(table))
+        added = self._write_buckets(versions, table, rows)
+        versions.change(lambda now: Change(add=added, drop=now.folders))
+
+    def upsert(self, table: str, batch: DataFrame, sequence: str | None = None) -> int:
+        """Replace rows by key, and add those of new keys; returns the number of keys in the batch.
+
+        Rows lie in buckets of their key, and only buckets with a key of the batch are read and written, once, in
+        fresh folders that replace the old ones in one version. Of several batch rows of a key the last by ``sequence``
+        counts. ``create_time``, where the table has it, stays as it was stored first.
+        """
+        key, columns = KEYED[table], [f.name for f in StructType.fromDDL(self.schemas[table]).fields]
+        versions = Versions(self.spark, self.path(table))
+        order = [F.col(sequence).desc_nulls_last()] if sequence else []
+        newest = staged(first_by_key(batch, [key], order).select(*columns, _bucket(key)), "upsert")
+        touched = {row[0] for row in newest.select(BUCKET).distinct().collect()}  # BUCKETS numbers at most
+        if not touched:
+            return 0
+        while True:
+            now = versions.snapshot()
+            old = frozenset(f for f in now.folders if int(f.rpartition("=")[2]) in touched)
+            stored = versions.read(f"{self.schemas[table]}{OWN}", old).drop("load")
+            rows = newest
+            if "create_time" in columns:
+                known = stored.select(F.col(key).alias("_key"), F.col("create_time").alias("_first"))
+                rows = rows.join(known, F.col(key).eqNullSafe(F.col("_key")), "left")
+                rows = rows.withColumn("create_time", F.coalesce("_first", "create_time")).drop("_key", "_first")
+            merged = not_in(stored, newest, [key]).unionByName(rows)
+            added = self._write_buckets(versions, table, merged)
+
+            def swap(latest: Snapshot, old=old, added=added) -> Change:
+                # another writer has added rows to these buckets since they were read
+                if any(int(f.rpartition("=")[2]) in touched for f in latest.folders - old):
+                    raise Conflict(table)
+                return Change(add=added, drop=old)
+
+            try:
+                versions.change(swap)
+                return newest.count()
+            except Conflict:
+                continue
+
+    def _write_buckets(self, versions: Versions, table: str, rows: DataFrame) -> frozenset[str]:
+        dealt = rows.withColumn(BUCKET, _bucket(KEYED[table])).hint("rebalance", BUCKET)
+        return versions.write(dealt, f"load={uuid.uuid4().hex}", [BUCKET])
 
     def export(self, name: str, rows: DataFrame) -> int:
         """Write a CSV folder with a header under ``export`` in place of the last one; returns the rows written."""
@@ -130,3 +197,8 @@ class JdbcStore:
         kept = staged(rows, "replace")
         write_jdbc(kept, self.url, self.names.get(table, table), self.properties | {"truncate": "true"}, mode="overwrite",
                    writers=self.writers)
+
+    def upsert(self, table: str, batch: DataFrame, sequence: str | None = None) -> int:
+        newest = staged(first_by_key(batch, [KEYED[table]], [F.col(sequence).desc_nulls_last()] if sequence else []), "upsert")
+        self.replace(table, upsert(self.read(table), newest.withColumn("_sequence", F.lit(0)), KEYED[table], "_sequence"))
+        return newest.count()

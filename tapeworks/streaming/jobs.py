@@ -15,8 +15,8 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQue
 
 from tapeworks.operators.bars import bars
 from tapeworks.schemas import CHANNELS
-from tapeworks.session import file_system, path_exists
 from tapeworks.sources.messages import decode_envelopes
+from tapeworks.sources.versions import Change, Snapshot, Versions
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -44,69 +44,68 @@ def read_text_messages(spark: SparkSession, path: str, files_per_trigger: int |
     return reader.load(path)
 
 
+PARTITIONS = ["rejected", "trading_date"]
+
+
 def batch_writer(channel: str, path: str, run: str | None = None) -> Callable[[DataFrame, int], None]:
-    """Writes a micro-batch of envelopes to ``path/run=R/batch_id=N``, by rejection and trading date.
+    """Writes a micro-batch of envelopes to the raw table at ``path``, by rejection and trading date.
 
-    The run is the id of the query, which Spark keeps with the checkpoint: a replayed batch overwrites
-    its own folder, so every message is stored once, and batches of a new checkpoint never meet those of an
-    older one.
+    A batch goes to a folder of its own and counts from the version that names it. The run is the id of the
+    query, which Spark keeps with the checkpoint: a batch of a run that is stored already is handed over
+    again only after a failure, and is left out, so every message is stored once; batches of a new
+    checkpoint never meet those of an older one.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         known = run or batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         if not known:
             raise ValueError("a batch writer outside a stream needs the id of its run")
+        versions = Versions(batch.sparkSession, path)
+        if versions.snapshot().batches.get(known, -1) >= batch_id:
+            return
         decoded = decode_envelopes(batch, CHANNELS[channel])
         rejected = F.col("reject_reason").isNotNull()
         rows = decoded.withColumn("_message", F.when(rejected, F.col("_message"))).withColumn("rejected", rejected)
-        rows.write.mode("overwrite").partitionBy("rejected", "trading_date").parquet(f"{path}/run={known}/batch_id={batch_id}")
+        below = f"run={known}/batch_id={batch_id}/attempt={uuid.uuid4().hex}"
+        added = versions.write(rows, below, PARTITIONS)
+
+        def stored(now: Snapshot) -> Change | None:
+            if now.batches.get(known, -1) >= batch_id:
+                return None  # another attempt was faster
+            return Change(add=added, batches={known: batch_id})
+
+        versions.change(stored)
 
     return write
 
 
 def compact(spark: SparkSession, channel: str, path: str, before: str) -> int:
-    """Merge the good rows of all days before ``before`` into few files per day; returns the folders replaced.
+    """Merge the good rows of each day before ``before`` into few files; returns the folders replaced.
 
-    For days that no stream writes any more. The replaced folders are listed in a file before the merged ones
-    move in, and ``finish_compaction`` deletes them: a job that broke off leaves either all old folders or the
-    merged ones and the list, and is run again.
+    Works beside streams that write and readers: exactly the folders of the version it starts from are merged, the
+    merged ones replace them in one version, and batches that land meanwhile stay beside them. Replaced folders are
+    there for readers that have opened them until ``vacuum``. A job that breaks off changes nothing.
     """
-    finish_compaction(spark, path)
-    files, root = file_system(spark, path)
-    if not files.exists(root):
-        return 0
-    old = [
-        day.getPath().toString() for day in files.globStatus(_below(spark, path, "run=*/batch_id=*/rejected=false/trading_date=*"))
-        if day.getPath().getName().partition("=")[2] < before and "run=compacted-" not in day.getPath().toString()
-    ]
+    versions = Versions(spark, path)
+    by_day: dict[str, list[str]] = {}
+    for folder in versions.snapshot().folders:
+        if "/rejected=false/" in folder:
+            by_day.setdefault(folder.rpartition("=")[2], []).append(folder)
+    old = frozenset(
+        folder for day, own in by_day.items() if day < before and any("run=compacted" not in name for name in own) for folder in own
+    )
     if not old:
         return 0
-    name = f"run=compacted-{uuid.uuid4().hex}"
-    merged = _stored(spark, channel, path).where((F.col("trading_date") < F.lit(before)) & ~F.col("rejected"))
-    merged = merged.where(~F.col("run").startswith("compacted-")).drop("run", "batch_id")
-    beside = f"{path}/_merging/{name}"
-    merged.hint("rebalance", "trading_date").write.partitionBy("rejected", "trading_date").parquet(f"{beside}/batch_id=0")
-    listed = files.create(_below(spark, path, f"_compactions/{name}"))
-    listed.write(bytearray("\n".join(old).encode()))
-    listed.close()
-    files.rename(_below(spark, path, f"_merging/{name}"), _below(spark, path, name))
-    finish_compaction(spark, path)
+    merged = versions.read(_raw_schema(channel), old).drop("run", "batch_id", "attempt")
+    below = f"run=compacted/batch_id=0/attempt={uuid.uuid4().hex}"
+    added = versions.write(merged.hint("rebalance", "trading_date"), below, PARTITIONS)
+    versions.change(lambda now: Change(add=added, drop=old))
     return len(old)
 
 
-def finish_compaction(spark: SparkSession, path: str) -> None:
-    """Delete folders whose merged rows are in place, and forget compactions that never got there."""
-    files, _ = file_system(spark, path)
-    lists = _below(spark, path, "_compactions")
-    for found in files.listStatus(lists) if files.exists(lists) else []:
-        if files.exists(_below(spark, path, found.getPath().getName())):
-            for row in spark.read.text(found.getPath().toString()).collect():
-                files.delete(_below(spark, row[0], ""), True)
-        files.delete(found.getPath(), True)
-
-
-def _below(spark: SparkSession, path: str, name: str):
-    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}" if name else path)
+def vacuum_raw(spark: SparkSession, path: str, hours: float = 24) -> int:
+    """Delete folders of a raw table that no version of the last ``hours`` names; returns how many."""
+    return Versions(spark, path).vacuum(hours, depth=5)
 
 
 def ingest(
@@ -117,21 +116,30 @@ def ingest(
     return writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
 
 
-def _stored(spark: SparkSession, channel: str, path: str) -> DataFrame:
+def _raw_schema(channel: str) -> str:
     columns = [f"`{c}` {kind}" for _, c, kind in CHANNELS[channel]]
-    schema = ", ".join([*columns, "`_message` string, reject_reason string, run string, batch_id bigint, rejected boolean"])
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    return ", ".join([
+        *columns, "`_message` string, reject_reason string, run string, batch_id bigint, attempt string, rejected boolean"
+    ])
+
+
+def _stored(spark: SparkSession, channel: str, path: str, rejected: bool) -> DataFrame:
+    versions = Versions(spark, path)
+    kind = f"/rejected={str(rejected).lower()}/"
+    folders = frozenset(folder for folder in versions.snapshot().folders if kind in folder)
+    return versions.read(_raw_schema(channel), folders)
 
 
 def raw_table(spark: SparkSession, channel: str, path: str) -> DataFrame:
-    """The typed rows ingested so far, in folders by trading date: a filter on it reads only those days."""
-    return _stored(spark, channel, path).where("not rejected").select(*[c for _, c, _ in CHANNELS[channel]])
+    """The typed rows of the latest version, in folders by trading date: a filter on it reads only those days.
+
+    Later changes of the table don't touch what was opened here.
+    """
+    return _stored(spark, channel, path, False).select(*[c for _, c, _ in CHANNELS[channel]])
 
 
 def rejected_messages(spark: SparkSession, channel: str, path: str) -> DataFrame:
-    rows = _stored(spark, channel, path).where("rejected")
+    rows = _stored(spark, channel, path, True)
     return rows.select(F.col("_message").alias("message"), "reject_reason", "batch_id")
 
 

@@ -13,6 +13,7 @@ from tapeworks.plans.inputs import Inputs
 from tapeworks.session import scratch_path
 from tapeworks.sources.messages import decode_ticks, good
 from tapeworks.sources.stores import RawStore
+from tapeworks.sources.versions import Change, Conflict, Versions
 from tapeworks.streaming import jobs
 
 
@@ -152,6 +153,87 @@ def test_raw_days_are_pruned_and_compacted(spark, tmp_path):
     assert len(files) == 1
 
 
+def _batches(spark, raw, *batches, run="r"):
+    for number, symbols in batches:
+        given = [(json.dumps({"Content": json.dumps({"Symbol": s, "TradingDate": day})}),)
+                 for s in symbols for day in ("06/01/2025", "07/01/2025")]
+        jobs.batch_writer("trade", raw, run)(spark.createDataFrame(given, "value string"), number)
+
+
+def _symbols(rows):
+    return sorted(r.symbol for r in rows.collect())
+
+
+def test_a_reader_in_the_middle_of_a_compaction_sees_every_row_once(spark, monkeypatch):
+    raw = f"{scratch_path(spark, 'test_raw')}/trade"
+    _batches(spark, raw, (0, "AB"), (1, "C"))
+    want = sorted("AABBCC")
+    opened, seen, change = jobs.raw_table(spark, "trade", raw), [], Versions.change
+
+    def watched(self, plan):
+        # merged rows are written, but do not count yet; a late batch lands before they do
+        seen.append(_symbols(jobs.raw_table(spark, "trade", raw)))
+        monkeypatch.setattr(Versions, "change", change)
+        _batches(spark, raw, (2, "D"))
+        return change(self, plan)
+
+    monkeypatch.setattr(Versions, "change", watched)
+    assert jobs.compact(spark, "trade", raw, "2025-01-09") == 4
+    assert seen == [want] and _symbols(opened) == want
+    assert _symbols(jobs.raw_table(spark, "trade", raw)) == want + ["D", "D"]
+    # the late batch is merged with the merged days
+    assert jobs.compact(spark, "trade", raw, "2025-01-09") == 4
+    assert jobs.compact(spark, "trade", raw, "2025-01-09") == 0
+    assert _symbols(jobs.raw_table(spark, "trade", raw)) == want + ["D", "D"]
+    assert jobs.vacuum_raw(spark, raw) == 0 and _symbols(opened) == want
+    assert jobs.vacuum_raw(spark, raw, hours=-1) == 8
+    assert _symbols(jobs.raw_table(spark, "trade", raw)) == want + ["D", "D"]
+    assert len(jobs.raw_table(spark, "trade", raw).inputFiles()) == 2
+
+
+@pytest.mark.parametrize("step", ["write", "change", "_publish"])
+def test_a_job_that_dies_at_any_step_changes_nothing(spark, monkeypatch, step):
+    raw = f"{scratch_path(spark, 'test_raw')}/trade"
+    _batches(spark, raw, (0, "AB"), (1, "C"))
+    for work in (lambda: jobs.compact(spark, "trade", raw, "2025-01-09"), lambda: _batches(spark, raw, (2, "D"))):
+        with monkeypatch.context() as patched:
+            own = getattr(Versions, step)
+
+            def dies(self, *given, own=own):
+                if step == "write":
+                    own(self, *given)
+                raise OSError("executor lost")
+
+            patched.setattr(Versions, step, dies)
+            with pytest.raises(OSError):
+                work()
+        assert _symbols(jobs.raw_table(spark, "trade", raw)) == sorted("AABBCC")
+        work()
+    assert _symbols(jobs.raw_table(spark, "trade", raw)) == sorted("AABBCCDD")
+    _batches(spark, raw, (0, "AB"), (2, "D"))  # handed over again, and after a compaction
+    assert _symbols(jobs.raw_table(spark, "trade", raw)) == sorted("AABBCCDD")
+
+
+def test_one_of_two_writers_with_one_number_tries_again(spark):
+    path = f"{scratch_path(spark, 'test_versions')}/t"
+    one, two = Versions(spark, path), Versions(spark, path)
+    late = []
+
+    def plan(now):
+        if not late:
+            late.append(two.change(lambda _: Change(add=frozenset({"b"}), batches={"y": 1})).version)
+        return Change(add=frozenset({"a"}), batches={"x": 3})
+
+    assert one.change(plan).version == 2 and late == [1]
+    for i in range(70):
+        one.change(lambda now, i=i: Change(add=frozenset({f"n{i}"}), drop=frozenset({f"n{i - 1}"}) & now.folders))
+    now = two.snapshot()
+    assert now.folders == {"a", "b", "n69"} and now.batches == {"x": 3, "y": 1} and now.version == 72
+    assert two.snapshot(2).folders == {"a", "b"}
+    with pytest.raises(Conflict):
+        two.change(lambda _: Change(drop=frozenset({"n3"})))
+
+
 def test_side_by_side_streams_report_the_failing_one(spark, tmp_path):
     writers = {}
     for name in ("trade", "quote", "index"):

@@ -11,6 +11,7 @@ from tapeworks.functions.times import date_key
 from tapeworks.operators import joins, merge, star
 from tapeworks.plans.inputs import Inputs
 from tapeworks.session import scratch_dir, scratch_path
+from tapeworks.sources import stores
 from tapeworks.sources.stores import ParquetStore
 
 DAY1, DAY2 = dt.date(2025, 1, 6), dt.date(2025, 1, 7)
@@ -278,3 +279,42 @@ def test_reference_data_loads(spark):
     assert etl.load_daily("daily_price", daily, store) == 0
     assert etl.load_sector_file(sectors, store) == 1
     assert etl.load_sector_file(sectors, store) == 0
+
+
+def test_upsert_rewrites_only_touched_buckets(spark):
+    root = scratch_path(spark, "test_upsert")
+    store = stores.ParquetStore(spark, root, {"index_list": "index_code string, name string, create_time timestamp"})
+    day = lambda d: dt.datetime(2025, 1, d)
+    frame = lambda *given: spark.createDataFrame(list(given), "index_code string, name string, create_time timestamp, at int")
+    assert store.upsert("index_list", frame(*[(f"S{i}", "old", day(1), 1) for i in range(300)], (None, "none", day(1), 1)), "at") == 301
+    files = lambda: set(store.read("index_list").inputFiles())
+    before = files()
+    assert store.upsert("index_list", frame(("S7", "mid", day(2), 1), ("S7", "new", day(2), 2), ("T", "t", day(3), 1), (None, "again", day(4), 1)), "at") == 3
+    kept = {r["index_code"]: (r["name"], r["create_time"].day) for r in store.read("index_list").collect()}
+    assert len(kept) == 302 and kept["S7"] == ("new", 1) and kept["T"] == ("t", 3) and kept[None] == ("again", 1)
+    assert kept["S8"] == ("old", 1)
+    # files of other buckets keep their names
+    assert 0 < len(before - files()) <= 3 and len(before & files()) >= stores.BUCKETS - 3 - 2
+    assert store.upsert("index_list", frame().where("false"), "at") == 0
+    opened = store.read("index_list")
+    store.replace("index_list", opened.where("index_code = 'T'"))
+    assert store.read("index_list").count() == 1 and opened.count() == 302  # the version it was opened at
+
+
+def test_writers_of_one_bucket_take_turns(spark, monkeypatch):
+    root = scratch_path(spark, "test_upsert")
+    store = stores.ParquetStore(spark, root)
+    batch = lambda code, name: spark.createDataFrame([(code, 1, name, code)], "indexlist_id string, market_id int, index_name string, index_code string")
+    store.upsert("index_list", batch("A", "first"))
+    write, late = store._write_buckets, [("A", "other")]
+
+    def beaten(versions, table, rows):
+        added = write(versions, table, rows)
+        if late:
+            stores.ParquetStore(spark, root).upsert("index_list", batch(*late.pop()))
+        return added
+
+    monkeypatch.setattr(store, "_write_buckets", beaten)
+    store.upsert("index_list", batch("A", "mine"))
+    assert [r["index_name"] for r in store.read("index_list").collect()] == ["mine"]
+    assert not late
