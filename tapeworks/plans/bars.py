@@ -11,7 +11,7 @@ from tapeworks.plans.catalog import query
 from tapeworks.plans.inputs import Inputs
 from tapeworks.session import scratch_path
 from tapeworks.sources.messages import trades_as_ticks
-from tapeworks.streaming.jobs import candle_stream, rocksdb_state, to_table
+from tapeworks.streaming.jobs import candle_stream, rocksdb_state, sent_once, to_table
 
 
 def _bars_sql(bucket: str, extra: str = "", having: str = "") -> str:
@@ -100,3 +100,15 @@ def stream_map(t: Inputs) -> DataFrame:
     mapped = t.event_stream().where("event_type <> 'error'").select("event_id", F.round(F.col("value") * 10, 4).alias("value"))
     to_table(mapped, path, f"{path}-checkpoint", once=True).start().awaitTermination()
     return t.spark.read.schema(mapped.schema).parquet(path)
+
+
+@query("stream_sent_once", "SELECT event_id, event_type FROM events")
+def stream_sent_once(t: Inputs) -> DataFrame:
+    """A stream in which every message is sent twice, each stored once."""
+    path = scratch_path(t.spark, "sent")
+    sent = t.event_stream().select(F.to_json(F.struct("event_id", "event_type")).alias("value"))
+    once = sent_once(sent.select(F.explode(F.array("value", "value")).alias("value")))
+    rows = once.select(F.from_json("value", "event_id bigint, event_type string").alias("m")).select("m.*")
+    with rocksdb_state(t.spark):
+        to_table(rows, path, f"{path}-checkpoint", once=True).start().awaitTermination()
+    return t.spark.read.schema(rows.schema).parquet(path)

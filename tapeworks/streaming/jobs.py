@@ -108,6 +108,19 @@ def vacuum_raw(spark: SparkSession, path: str, hours: float = 24) -> int:
     return Versions(spark, path).vacuum(hours, depth=5)
 
 
+def sent_once(messages: DataFrame, within: str = "1 hour") -> DataFrame:
+    """A stream of messages (``value``) without those sent again ``within`` that time after they first arrived.
+
+    State holds a digest per message until the time has passed, over batches and restarts. It runs on arrival, not on
+    the time in the message: no message is ever too late, however old its trading date, and rejected ones have none.
+    """
+    arrived = messages.withColumn("_arrived", F.current_timestamp()).withColumn(
+        "_digest", F.sha2(F.coalesce(F.col("value").cast("string"), F.lit("")), 256)
+    )
+    first = arrived.withWatermark("_arrived", within).dropDuplicatesWithinWatermark(["_digest"])
+    return first.drop("_arrived", "_digest")
+
+
 def ingest(
     messages: DataFrame, channel: str, path: str, checkpoint: str, once: bool = False, every: str = "1 second"
 ) -> DataStreamWriter:

@@ -234,6 +234,22 @@ def test_one_of_two_writers_with_one_number_tries_again(spark):
         two.change(lambda _: Change(drop=frozenset({"n3"})))
 
 
+def test_messages_sent_again_are_stored_once(spark, tmp_path):
+    inbox, out = tmp_path / "in", scratch_path(spark, "test_sent")
+
+    def run(name, *messages):
+        land(inbox, name, *messages)
+        stream = jobs.sent_once(jobs.read_text_messages(spark, str(inbox)))
+        with jobs.rocksdb_state(spark):
+            jobs.to_table(stream, out, f"{out}-checkpoint", once=True).start().awaitTermination()
+        return sorted(r.value for r in spark.read.schema("value string").parquet(out).collect())
+
+    assert run("1", "a", "b", "a") == ["a", "b"]
+    # a later batch after a restart, with messages of the first
+    assert run("2", "b", "c", "a", "c") == ["a", "b", "c"]
+    assert run("3", "a", "old 01/01/1999") == ["a", "b", "c", "old 01/01/1999"]
+
+
 def test_side_by_side_streams_report_the_failing_one(spark, tmp_path):
     writers = {}
     for name in ("trade", "quote", "index"):
