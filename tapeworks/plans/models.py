@@ -369,11 +369,11 @@ def target_data(t: Inputs) -> DataFrame:
 @query(
     "prediction_log",
     MODEL_SQL + f"""SELECT symbol, {DAY}, round(last_price, 2) AS last_price,
-  round(round(predicted_price, 6), 4) AS predicted_next_day_price, 'LAG1_' || symbol AS model_name, 'LAG1' AS model_type
+  round(predicted_price, 6) AS predicted_next_day_price, 'LAG1_' || symbol AS model_name, 'LAG1' AS model_type
 FROM prediction""",
 )
 def prediction_log(t: Inputs) -> DataFrame:
-    return _rounded(_trained(t).read("prediction_log"), predicted_next_day_price=4)
+    return _rounded(_trained(t).read("prediction_log"), predicted_next_day_price=6)
 
 
 @query(
@@ -404,20 +404,20 @@ line AS (SELECT symbol, regr_slope(y, x) AS slope, regr_intercept(y, x) AS inter
   FROM pairs GROUP BY symbol),
 marks AS (SELECT symbol, max(tradingdate) AS last_train_date FROM series GROUP BY symbol)""")
     + """SELECT symbol, 'LAG1_' || symbol AS model_name, 'LAG1' AS model_type, 'models/LAG1_' || symbol AS model_path,
-  strftime(last_train_date, '%Y-%m-%d') AS last_train_date, round(mse, 2) AS mse, round(mae, 4) AS mae, round(r2, 5) AS r2,
-  round(lo, 4) AS lo, round(hi, 4) AS hi, round(slope, 5) AS slope, round(intercept, 3) AS intercept
+  strftime(last_train_date, '%Y-%m-%d') AS last_train_date, round(mse, 2) AS mse, round(mae, 4) AS mae, round(r2, 6) AS r2,
+  round(lo, 4) AS lo, round(hi, 4) AS hi, round(slope, 6) AS slope, round(intercept, 4) AS intercept
 FROM line JOIN marks USING (symbol) LEFT JOIN metrics USING (symbol)""",
 )
 def model_info(t: Inputs) -> DataFrame:
     """The model table after two runs of the training job."""
-    return _rounded(_trained(t, steps=True).read("model_info"), mse=2, mae=4, r2=5, lo=4, hi=4, slope=5, intercept=3)
+    return _rounded(_trained(t, steps=True).read("model_info"), mse=2, mae=4, r2=6, lo=4, hi=4, slope=6, intercept=4)
 
 
 @query(
     "incremental_fit",
     o.with_(*SERIES_SQL, _PAIRS)
     + """SELECT symbol, count(*) AS n, strftime(max(label_date), '%Y-%m-%d') AS last_train_date, round(max(lo), 4) AS lo,
-  round(max(hi), 4) AS hi, round(regr_slope(y, x), 5) AS slope, round(regr_intercept(y, x), 3) AS intercept
+  round(max(hi), 4) AS hi, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 4) AS intercept
 FROM pairs GROUP BY symbol""",
 )
 def incremental_fit(t: Inputs) -> DataFrame:
@@ -426,7 +426,7 @@ def incremental_fit(t: Inputs) -> DataFrame:
     early = daily.where((F.col("symbol").cast("int") % 3 != 0) & (F.col("tradingdate") <= MARK))
     state = forecast.incremental_fit(daily, staged(forecast.pair_sums(early), "model_state"))
     line = forecast.line_of(state).select("symbol", "n", "last_train_date", "lo", "hi", "slope", "intercept")
-    return _rounded(line, lo=4, hi=4, slope=5, intercept=3)
+    return _rounded(line, lo=4, hi=4, slope=6, intercept=4)
 
 
 # Models with many lags and features
@@ -502,7 +502,7 @@ fitted AS (
 errors AS (
   SELECT l.symbol, id, any_value(v[17]) - sum(w * v[r]) AS e FROM lists AS l JOIN solution AS s ON s.symbol = l.symbol
   GROUP BY l.symbol, id)""").removeprefix("WITH")
-    + f"""SELECT symbol, {DAY}, n, round(train_mse, 6) AS train_mse, round(m + lift, 4) AS predicted_scaled
+    + f"""SELECT symbol, {DAY}, n, round(train_mse, 6) AS train_mse, round(m + lift, 6) AS predicted_scaled
 FROM fitted JOIN (SELECT symbol, count(*) AS n, avg(e * e) AS train_mse FROM errors GROUP BY symbol) AS x USING (symbol)
 JOIN (SELECT symbol, m FROM means WHERE i = 17) AS y USING (symbol)""",
 )
@@ -513,7 +513,7 @@ def ar_fit(t: Inputs) -> DataFrame:
     scored = forecast.score_sequences(models, series.scoring_sequence(scaled, 2))
     fit = models.select("symbol", "n", F.round("train_mse", 6).alias("train_mse"))
     return fit.join(scored, "symbol").select(
-        "symbol", "tradingdate", "n", "train_mse", F.round("predicted_scaled", 4).alias("predicted_scaled")
+        "symbol", "tradingdate", "n", "train_mse", F.round("predicted_scaled", 6).alias("predicted_scaled")
     )
 
 
