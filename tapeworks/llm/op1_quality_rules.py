@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tapeworks.llm.docstats import COUNTS, SHARES, map_stats, matrix, sample_by_hash
 from tapeworks.llm.shared import table, training_labels
+from tapeworks.session import staged
 
 #: +1: more is never worse, -1: more is never better. Others are free.
 MONOTONE = {
@@ -120,13 +121,18 @@ def fit_quality_trees(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
     max_rows: int = 20_000, **options,
 ) -> Trees | None:
-    """Fit on at most ``max_rows`` labelled documents, those with the smallest id hashes."""
-    chosen = sample_by_hash(training_labels(labels, doc_id, label), "_id", max_rows)
+    """Fit on at most ``max_rows`` labelled documents, those with the smallest id hashes.
+
+    Documents of one id, however many, are cut to ``max_rows`` different rows before any are fetched.
+    """
+    chosen = sample_by_hash(training_labels(labels, doc_id, label), ["_id", "label"], max_rows)
     known = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
     schema = ", ".join(f"{name} double" for name in SHARES)
-    rows = map_stats(known, "_text", ["label"], schema, lambda stats: {n: stats[n] for n in SHARES}).toPandas()
+    found = map_stats(known, "_text", ["_id", "label"], schema, lambda stats: {n: stats[n] for n in SHARES})
+    rows = sample_by_hash(staged(found, "labelled-stats"), found.columns, max_rows).toPandas()
     if rows["label"].nunique() < 2:
         return None
+    rows = rows.sort_values(found.columns)
     return fit_trees(rows[SHARES].to_numpy(), rows["label"].to_numpy(np.float64), SHARES, MONOTONE, **options)
 
 

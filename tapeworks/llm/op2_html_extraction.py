@@ -35,6 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tapeworks.llm.docstats import sample_by_hash
 from tapeworks.llm.shared import table
 from tapeworks.llm.words import batch_of, slices
+from tapeworks.session import staged
 
 # Element names of HTML (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -535,12 +536,15 @@ def fit_extractor(
 ) -> Model:
     """Fit on built layouts and on at most ``max_pages`` pages with telling markup, those with the smallest id hashes.
 
-    Only pages of fewer than ``max_chars`` characters are taken, which bounds what the driver fetches.
+    Only pages of fewer than ``max_chars`` characters are taken, which bounds what the driver fetches; equal
+    pages of one id count once.
     """
-    short = pages.where((F.length(html) < max_chars) & _is_telling(html))
-    chosen = sample_by_hash(short.select(F.col(page_id).alias("_id")), "_id", max_pages).distinct()
-    found = short.select(F.col(page_id).alias("_id"), F.col(html).alias("_html")).join(F.broadcast(chosen), "_id")
-    sample = found.orderBy("_id", "_html")
+    short = pages.where(F.length(html) < max_chars)
+    names = [F.col(page_id).alias("_id"), F.xxhash64(html).alias("_key")]
+    telling = staged(short.where(_is_telling(html)).select(*names), "telling-pages")
+    chosen = sample_by_hash(telling, ["_id", "_key"], max_pages)
+    found = short.select(*names, F.col(html).alias("_html")).join(F.broadcast(chosen), ["_id", "_key"])
+    sample = found.select("_id", "_html").dropDuplicates(["_id", "_html"]).orderBy("_id", "_html")
     trees = [parse(page) for page in labelled_layouts(layouts)]
     labels = [_labels(tree) for tree in trees]
     for row in sample.collect():

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tapeworks.llm.docstats import SHARES, map_stats, matrix, sample_by_hash
 from tapeworks.llm.shared import fold, fresh, table, training_labels
+from tapeworks.session import staged
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -136,15 +137,21 @@ def fit_quality(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
     max_rows: int = 20_000,
 ) -> Network | None:
-    """Fit on at most ``max_rows`` trusted positives and as many unlabelled documents."""
+    """Fit on at most ``max_rows`` trusted positives and as many unlabelled documents.
+
+    Documents of one id, however many, are cut to ``max_rows`` different rows of each kind before any are fetched.
+    """
     known = training_labels(labels, doc_id, label).where("label = 1")
-    positives = sample_by_hash(known, "_id", max_rows).select("_id", F.lit(1).alias("_kind"))
+    positives = sample_by_hash(known, ["_id"], max_rows).select("_id", F.lit(1).alias("_kind"))
     everyone = docs.where(fold(doc_id) != 1).select(F.col(doc_id).alias("_id"))
-    unlabelled = sample_by_hash(everyone, "_id", max_rows, seed=29).select("_id", F.lit(0).alias("_kind")).distinct()
+    unlabelled = sample_by_hash(everyone, ["_id"], max_rows, seed=29).select("_id", F.lit(0).alias("_kind"))
     chosen = positives.unionByName(unlabelled)
     texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
     schema = ", ".join(f"{name} double" for name in SHARES)
-    rows = map_stats(texts, "_text", ["_kind"], schema, lambda stats: {n: stats[n] for n in SHARES}).toPandas()
+    found = map_stats(texts, "_text", ["_id", "_kind"], schema, lambda stats: {n: stats[n] for n in SHARES})
+    found = staged(found, "sample-stats")
+    kinds = [sample_by_hash(found.where(F.col("_kind") == kind), found.columns, max_rows) for kind in (0, 1)]
+    rows = kinds[0].unionByName(kinds[1]).toPandas()
     x, kind = rows[SHARES].to_numpy(), rows["_kind"].to_numpy()
     order = np.lexsort(x.T)
     x, kind = x[order], kind[order]

@@ -4,11 +4,14 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
+import tapeworks.llm.op1_quality_rules as rules
+import tapeworks.llm.op4_quality_classifier as classifier
 from brute import base_counts, words
 from conftest import pairs
 from pyspark.sql import functions as F
-from tapeworks.llm.docstats import COUNTS, matrix, stats_of
-from tapeworks.llm.op1_quality_rules import MONOTONE, fit_trees, op1_quality_rules, quality_rules
+from tapeworks.llm.docstats import COUNTS, matrix, sample_by_hash, stats_of
+from tapeworks.llm.op1_quality_rules import MONOTONE, fit_quality_trees, fit_trees, op1_quality_rules, quality_rules
 from tapeworks.llm.op4_quality_classifier import (
     estimate_prior, fit_network, fit_quality, keep_good, op4_quality_classifier, score_quality,
 )
@@ -122,3 +125,33 @@ def test_odd_rows_of_the_classifier(spark, odd_docs, no_docs, sf_dir):
     assert fit_quality(no_docs, labels) is None and fit_quality(odd_docs, labels.where("false")) is None
     assert {r["score"] for r in score_quality(odd_docs, None, ["doc_id"]).collect()} == {0.5}
     assert keep_good(no_docs, None).count() == 0
+
+
+def test_samples_are_bounded_and_not_sorted(spark):
+    rows = spark.range(50_000).select((F.col("id") % 30_000).alias("_id"), F.lit("x").alias("other"))
+    picked = sample_by_hash(rows, ["_id"], 1000)
+    plan = picked._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "Sort" not in plan
+    first = {r[0] for r in picked.collect()}
+    assert 950 <= len(first) <= 1000 and first == {r[0] for r in sample_by_hash(rows.repartition(3), ["_id"], 1000).collect()}
+    assert sample_by_hash(rows, ["_id"], 30_000).count() == 30_000
+    # one id on nearly all rows: the limit widens until enough different ids lie below it
+    heavy = rows.unionByName(spark.range(400_000).select(F.lit(7).cast("long").alias("_id"), F.lit("x").alias("other")))
+    assert 950 <= sample_by_hash(heavy, ["_id"], 1000).count() <= 1000
+    assert sample_by_hash(rows.where("false"), ["_id"], 10).count() == 0
+
+
+def test_one_id_on_many_rows_is_cut_before_the_fit(spark):
+    docs = spark.range(20_000).select(
+        F.when(F.col("id") < 19_000, 2).otherwise(F.col("id")).alias("doc_id"),
+        F.concat_ws(" ", F.lit("the text of"), F.array_repeat("id", 3).cast("array<string>")).alias("text"),
+    )
+    labels = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("quality"))
+    seen = []
+    with pytest.MonkeyPatch.context() as patched:
+        patched.setattr(rules, "fit_trees", lambda x, y, *a, **k: seen.append(len(x)))
+        fit_quality_trees(docs, labels, max_rows=500)
+        patched.setattr(classifier, "estimate_prior", lambda p, u, n: seen.extend([len(p), len(u)]))
+        patched.setattr(classifier, "fit_network", lambda *a, **k: None)
+        fit_quality(docs, labels, max_rows=500)
+    assert len(seen) == 3 and 0 < max(seen) <= 500
