@@ -26,7 +26,7 @@ from tapeworks.session import staged
 
 ITEM_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 WINDOW, SHINGLE = 13, 3
-#: Files of tables that hold a row or so per benchmark window.
+#: Files of tables that hold a row or so per benchmark window; they are merged into few after the aggregates.
 FILES = 8
 
 
@@ -77,11 +77,11 @@ def _shingled(docs: DataFrame, words: str, widths: list[int]) -> DataFrame:
 
 def rarest_shingles(docs: DataFrame, windows: DataFrame, text: str, block_bytes: int) -> tuple[DataFrame, list[int], int]:
     """The prefix table (each window with its rarest shingle), the shingle widths in use, and the number of blocks."""
-    shingles = staged(window_shingles(windows).coalesce(FILES), "window-shingles")
+    shingles = staged(window_shingles(windows).repartition(FILES), "window-shingles")
     widths = sorted(r[0] for r in shingles.select("width").distinct().collect())
     if not widths:
         return shingles.where("false"), [], 1
-    names = staged(shingles.select("shingle").distinct().coalesce(FILES), "shingles")
+    names = staged(shingles.select("shingle").distinct().repartition(FILES), "shingles")
     blocks = -(-names.count() * 16 // block_bytes)
     words = docs.select(item_words(F.col(text)).alias("_words"))
     places = None
@@ -92,11 +92,11 @@ def rarest_shingles(docs: DataFrame, windows: DataFrame, text: str, block_bytes:
         places = found if places is None else places.unionByName(found)
     least = F.min_by(F.struct("offset", "shingle"), F.struct("places", "shingle", "offset")).alias("rarest")
     # a shingle without places is missing from the join: its window occurs nowhere
-    known = shingles.join(staged(places.coalesce(FILES), "shingle-places"), "shingle", "left")
+    known = shingles.join(staged(places.repartition(FILES), "shingle-places"), "shingle", "left")
     prefix = known.groupBy("window", "length").agg(
         F.min(F.coalesce("places", F.lit(0))).alias("_least"), F.first("items").alias("items"), least
     ).where("_least > 0")
-    prefix = staged(prefix.select("window", "length", "items", "rarest.*").coalesce(FILES), "window-prefix")
+    prefix = staged(prefix.select("window", "length", "items", "rarest.*").repartition(FILES), "window-prefix")
     size = F.sum(F.octet_length("window") + F.coalesce(F.octet_length(F.array_join("items", ",")), F.lit(0)) + 64)
     bytes_ = prefix.agg(size).first()[0] or 0
     return prefix, widths, max(1, -(-bytes_ // block_bytes))
