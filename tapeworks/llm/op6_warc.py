@@ -124,21 +124,24 @@ class _Files:
 
 def write_warc(
     pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html",
-    shard_bytes: int = 16 << 20, roll_bytes: int = 4 << 20, date: str = "2024-01-01T00:00:00Z", level: int = 5,
+    shard_bytes: int = 16 << 20, roll_bytes: int = 4 << 20, most_shards: int = 20_000, date: str = "2024-01-01T00:00:00Z", level: int = 5,
 ) -> DataFrame:
-    """Write one record per row into ``folder`` and return the committed manifest."""
+    """Write one record per row into ``folder`` and return the committed manifest.
+
+    Each shard is one task's work. Beyond ``most_shards`` shards they grow instead, and roll more files each.
+    """
     body = F.coalesce(F.col(html), F.lit(""))
     size, digest = F.octet_length(body).cast("long"), F.sha1(F.encode(body, "UTF-8"))
-    # 60 bits of the digest, then descending ids; a missing id comes last
+    # 60 bits of the digest over the whole span of longs, then descending ids; a missing id comes last
+    high = (F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") - (1 << 59)) * 16
+    low = F.coalesce(F.bitwise_not(F.col(page_id).cast("long")), F.lit((1 << 63) - 1))
     keys = pages.select(
         F.col(page_id).cast("long").alias("page_id"), digest.alias("digest"), size.alias("size"),
-        F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("high"),
-        F.coalesce(F.bitwise_not(F.col(page_id).cast("long")), F.lit((1 << 63) - 1)).alias("low"),
-        (size + 600).alias("weight"),
+        high.alias("high"), low.alias("low"), (size + 600).alias("weight"),
     )
     keys = staged(keys, "warc-keys")
     total = keys.agg(F.sum("weight")).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
+    shards = max(1, min(most_shards, -(-total // shard_bytes)))
     placed = histogram_ranges(keys, shards, tolerance=0.05)
     # digests that begin in an earlier shard than they end in: one per border at most
     cut = [b.first[0] for (a, s), (b, t) in zip(placed, placed[1:]) if s != t and a.last[0] == b.first[0]]
@@ -148,11 +151,10 @@ def write_warc(
         earlier = {r[0]: r[1] for r in tops.agg(F.max("page_id").alias("top")).collect()}
     rows = pages.select(
         F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), body.alias("html"),
-        digest.alias("digest"), F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("high"),
-        F.coalesce(F.bitwise_not(F.col(page_id).cast("long")), F.lit((1 << 63) - 1)).alias("low"),
+        digest.alias("digest"), high.alias("high"), low.alias("low"),
     )
     rows = in_ranges(rows, placed).drop("range", "offset")
-    rows = rows.repartition(min(shards, 20_000), "shard").sortWithinPartitions("shard", "high", "digest", "low", "url")
+    rows = rows.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "high", "digest", "low", "url")
     rows = rows.select("shard", "page_id", "url", "html", "digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

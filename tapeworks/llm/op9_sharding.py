@@ -68,7 +68,8 @@ def _probed(keys: DataFrame, ranges: list[Range], bins: int) -> dict[int, list[R
 
 
 def histogram_ranges(
-    keys: DataFrame, shards: int, tolerance: float = 0.001, bins: int = 256, most_rows: int = 2_000_000
+    keys: DataFrame, shards: int, tolerance: float = 0.001, bins: int = 256, most_rows: int = 2_000_000,
+    most_counts: int = 500_000,
 ) -> list[tuple[Range, int]]:
     """Ranges in key order with their shards, from a table of longs ``high``, ``low`` and ``weight``.
 
@@ -88,7 +89,8 @@ def histogram_ranges(
             below += r.weight
         if not wide:
             break
-        parts = _probed(keys, [ranges[i] for i in wide], bins)
+        # a round brings at most about ``most_counts`` counts to the driver
+        parts = _probed(keys, [ranges[i] for i in wide], max(4, min(bins, most_counts // len(wide))))
         at = {i: parts[k] for k, i in enumerate(wide)}
         ranges = [part for i, r in enumerate(ranges) for part in at.get(i, [r])]
     placed, below = [], 0
