@@ -10,6 +10,7 @@ from tapeworks.plans import oracle as o
 from tapeworks.plans.catalog import query
 from tapeworks.plans.inputs import Inputs
 from tapeworks.session import scratch_path
+from tapeworks.sources.message_log import read_log, write_log
 from tapeworks.sources.messages import trades_as_ticks
 from tapeworks.streaming.jobs import candle_stream, rocksdb_state, sent_once, to_table
 
@@ -102,6 +103,18 @@ def stream_map(t: Inputs) -> DataFrame:
     return t.spark.read.schema(mapped.schema).parquet(path)
 
 
+@query("stream_message_log", "SELECT event_id, event_type, 'events' AS partition FROM events")
+def stream_message_log(t: Inputs) -> DataFrame:
+    """Events sent to a message log by one stream, and what another one reads from it."""
+    path = scratch_path(t.spark, "log")
+    sent = t.event_stream().select(F.to_json(F.struct("event_id", "event_type")).alias("value"))
+    write_log(sent, f"{path}/log", "events", f"{path}/sent").trigger(availableNow=True).start().awaitTermination()
+    read = read_log(t.spark, f"{path}/log")
+    rows = read.select(F.from_json("value", "event_id bigint, event_type string").alias("m"), "partition").select("m.*", "partition")
+    to_table(rows, f"{path}/out", f"{path}/received", once=True).start().awaitTermination()
+    return t.spark.read.schema(rows.schema).parquet(f"{path}/out")
+
+
 @query("stream_sent_once", "SELECT event_id, event_type FROM events")
 def stream_sent_once(t: Inputs) -> DataFrame:
     """A stream in which every message is sent twice, each stored once."""
