@@ -54,8 +54,7 @@ def load_facts(table: str, facts: DataFrame, batch_dates: DataFrame, warehouse:
     days = staged(batch_dates.select(star.DATE_KEY).distinct(), "batch_dates")
     # a literal list prunes partitions when the plan is made; it holds one entry per calendar month
     months = [row[0] for row in days.select(month_of(F.col(star.DATE_KEY))).distinct().collect()]
-    fresh = star.new_rows(facts, warehouse.read(table, months), NATURAL_KEYS[table], days)
-    return warehouse.append(table, fresh)
+    return warehouse.append(table, warehouse.unstored(table, facts, months, days))
 
 
 def fact_job(table: str, raw: str, build: Callable, dims: tuple[str, ...]) -> Callable[..., int]:

@@ -15,6 +15,7 @@ from tapeworks.plans.catalog import query
 from tapeworks.plans.inputs import Inputs
 from tapeworks.schemas import NATURAL_KEYS
 from tapeworks.session import scratch_path, staged
+from tapeworks.sources.bucketed import BucketedStore
 from tapeworks.sources.responses import index_list_rows
 from tapeworks.sources.stores import ParquetStore
 
@@ -177,6 +178,17 @@ def incremental_by_date(t: Inputs) -> DataFrame:
     return warehouse.read("fact_trade")
 
 
+@query("incremental_in_buckets", TRADE_SQL + "SELECT * FROM fact_trade")
+def incremental_in_buckets(t: Inputs) -> DataFrame:
+    """As ``incremental_by_date``, into a table in buckets of the natural key; the second load leaves stored rows in place."""
+    dims, root = t.dims(*FACT_DIMS), scratch_path(t.spark, "buckets")
+    warehouse = BucketedStore(t.spark, root, "w" + root.rpartition("-")[2], buckets=8)
+    for before in (CUTOFF, None):
+        dates = _date_keys(t.trades(dealt_out=False, before=before))
+        load_facts("fact_trade", star.trade_facts(t.trades(before=before), dims), dates, warehouse)
+    return warehouse.read("fact_trade")
+
+
 @query("late_time_members", TRADE_SQL + """SELECT fact_trade.*, dim_time.time_key IS NOT NULL AS time_known
 FROM fact_trade LEFT JOIN dim_time USING (time_key)""")
 def late_time_members(t: Inputs) -> DataFrame:

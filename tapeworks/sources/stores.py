@@ -13,8 +13,8 @@ from pyspark.sql.types import StructType
 
 from tapeworks.operators.joins import not_in
 from tapeworks.operators.merge import first_by_key, upsert
-from tapeworks.operators.star import DATE_KEY
-from tapeworks.schemas import CHANNELS, TABLES
+from tapeworks.operators.star import DATE_KEY, new_rows
+from tapeworks.schemas import CHANNELS, NATURAL_KEYS, TABLES
 from tapeworks.session import path_exists, staged
 from tapeworks.sources.files import replace_table
 from tapeworks.sources.jdbc import read_jdbc, write_jdbc
@@ -40,6 +40,8 @@ class Store(Protocol):
 
     def append(self, table: str, rows: DataFrame) -> int: ...
 
+    def unstored(self, table: str, facts: DataFrame, months: list[int], days: DataFrame) -> DataFrame: ...
+
     def replace(self, table: str, rows: DataFrame) -> None: ...
 
     def upsert(self, table: str, batch: DataFrame, sequence: str | None = None) -> int: ...
@@ -86,6 +88,10 @@ class ParquetStore:
             return rows
         return (rows if months is None else rows.where(F.col(MONTH).isin(months))).drop(MONTH)
 
+    def unstored(self, table: str, facts: DataFrame, months: list[int], days: DataFrame) -> DataFrame:
+        """Facts of ``months`` and ``days`` (date keys) that are not stored yet."""
+        return new_rows(facts, self.read(table, months), NATURAL_KEYS[table], days)
+
     def append(self, table: str, rows: DataFrame) -> int:
         """Append and count. Facts are grouped by month into files of even size; the rebalance hint
         lets Spark split a month that holds many rows."""
@@ -189,6 +195,9 @@ class JdbcStore:
             wanted = wanted | F.col(DATE_KEY).between(month * 100, month * 100 + 99)
         return rows.where(wanted)
 
+    def unstored(self, table: str, facts: DataFrame, months: list[int], days: DataFrame) -> DataFrame:
+        return new_rows(facts, self.read(table, months), NATURAL_KEYS[table], days)
+
     def append(self, table: str, rows: DataFrame) -> int:
         name = self.names.get(table, table)
         return counted(rows, lambda df: write_jdbc(df, self.url, name, self.properties, writers=self.writers))
