@@ -141,6 +141,7 @@ class Tree(HTMLParser):
         self.text: list[str | None] = [None]
         self.links: list[int] = [0]
         self.open = [0]
+        self.places: dict[str, list[int]] = {}  # of the open elements of each name, where they stand in ``open``
         self.silent: list[str] = []  # the silent element and, where it has no end tag, what is open inside
         self.ends: dict[int, int] = {}
         self.at = self.passed = self.skip = 0
@@ -164,14 +165,16 @@ class Tree(HTMLParser):
         self.text.append(text)
         self.links.append(0)
 
+    def _last(self, names: set[str]) -> int:
+        return max((self.places[name][-1] for name in names if self.places.get(name)), default=0)
+
     def _close(self, names: set[str], stops: set[str]) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            tag = self.tag[self.open[i]]
-            if tag in names:
-                del self.open[i:]
-                return
-            if tag in stops:
-                return
+        """Close the innermost open element of ``names`` and what is open inside it, unless one of ``stops`` is."""
+        at = self._last(names)
+        if at and at >= self._last(stops):
+            for node in reversed(self.open[at:]):
+                self.places[self.tag[node]].pop()
+            del self.open[at:]
 
     def feed(self, data: str) -> None:
         """Takes a whole page: silent elements with an end tag are passed over in one step."""
@@ -227,6 +230,7 @@ class Tree(HTMLParser):
         words = _WORD.findall(" ".join(str(known.get(k) or "") for k in ("class", "id", "role")).lower())
         hints = tuple(sorted({_HINT_OF[w] for w in words if w in _HINT_OF}))
         self._node(tag, hints, known.get("data-label") or "")
+        self.places.setdefault(tag, []).append(len(self.open))
         self.open.append(len(self.tag) - 1)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
