@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -106,6 +107,13 @@ def test_broken_markup_and_odd_pages(spark, odd_pages, extractor):
     assert extract_texts(odd_pages.where("false"), extractor, ["page_id"]).count() == 0
 
 
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "text" + "</div>" * 100_000, "<div>text</unknown>" * 100_000])
+def test_nesting_takes_linear_time(page):
+    start = time.process_time()
+    tree = parse(page)
+    assert len(tree.tag) > 100_000 and time.process_time() - start < 60  # minutes where each tag searches what is open
+
+
 @pytest.mark.parametrize(("html", "want"), [
     ("<p>a</p><svg viewBox='0 0 1 1'/><p>b</p><math/><p>c</p>", ["a", "b", "c"]),
     ("<p>a <svg><g/><svg/><text>no</text></svg> b</p>", ["a b"]),
@@ -281,6 +289,33 @@ def test_hot_copies_are_cut_between_ids(spark):
     assert [(r["high"], r["low"]) for r in order] == sorted((r["high"], r["low"]) for r in rows)
 
 
+def test_groups_up_to_a_shard_stay_whole(spark):
+    # groups of 0.2, 0.4, 0.6 and 0.9 shards, one of two and a half shards, and single rows
+    groups = {"a": 400, "b": 600, "c": 900, "d": 2500, "e": 200, "f": 600}
+    texts = [name * 10 for name, n in groups.items() for _ in range(n)] + [f"{i:010d}" for i in range(4800)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for options in ({}, {"bins": 8, "most_rows": 100}):
+        rows = shard_rows(text_keys(frame), 10, **options).join(frame, "doc_id").collect()
+        shards, sizes = {}, [0] * 10
+        for r in rows:
+            shards.setdefault(r["text"], set()).add(r["shard"])
+            sizes[r["shard"]] += r["size"]
+        assert len(rows) == len(texts) == len({(r["shard"], r["slot"]) for r in rows})
+        assert all(len(found) == 1 for text, found in shards.items() if text != "d" * 10)
+        assert max(sizes) - min(sizes) <= 3 * 26
+        assert all(sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sizes[s] // 26)) for s in range(10))
+
+
+def test_no_group_of_the_table_is_cut(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = op9_sharding(spark, sf_dir).join(docs, "doc_id")
+    found = rows.groupBy("text").agg(F.count_distinct("shard").alias("n"), F.sum("size").alias("bytes"))
+    loads = [r[0] for r in rows.groupBy("shard").agg(F.sum("size")).select("sum(size)").collect()]
+    assert found.where(f"n > 1 and bytes <= {sum(loads) / 40}").count() == 0
+    assert max(loads) - min(loads) <= 0.01 * sum(loads) / 40 + docs.agg(F.max(F.octet_length("text"))).first()[0]
+
+
 def test_odd_rows_of_the_shards(odd_docs, no_docs):
     rows = shard_rows(text_keys(odd_docs), 5).collect()
     assert len(rows) == odd_docs.count() == len({(r["shard"], r["slot"]) for r in rows})
