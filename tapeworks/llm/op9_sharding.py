@@ -137,6 +137,20 @@ def _dealt(ranges: list[Range], shards: int, heavy: float) -> Deal:
     return Deal(placed, split)
 
 
+def _joined(ranges: list[Range], shards: list[int], most_rows: int) -> list[tuple[Range, int]]:
+    """Neighbours below one top that go to one shard, as one range while it has at most ``most_rows`` rows."""
+    out: list[tuple[Range, int]] = []
+    for r, shard in zip(ranges, shards, strict=True):
+        if out:
+            before, its = out[-1]
+            near = before.first[0] >> (64 - TOP_BITS) == r.first[0] >> (64 - TOP_BITS)
+            if near and its == shard and before.rows + r.rows <= most_rows:
+                out[-1] = Range(before.first, r.last, before.rows + r.rows, before.weight + r.weight), shard
+                continue
+        out.append((r, shard))
+    return out
+
+
 def histogram_ranges(
     keys: DataFrame, shards: int, tolerance: float = 0.001, heavy: float = 0.01, bins: int = 256,
     most_rows: int = 2_000_000, most_counts: int = 500_000,
@@ -164,7 +178,7 @@ def histogram_ranges(
                 )
             ]
         if not wide:
-            return list(zip(ranges, deal.shard, strict=True))
+            return _joined(ranges, deal.shard, most_rows)
         # a round brings at most about ``most_counts`` counts to the driver
         parts = _probed(keys, [ranges[i] for i in wide], max(4, min(bins, most_counts // len(wide))))
         at = {i: parts[k] for k, i in enumerate(wide)}
