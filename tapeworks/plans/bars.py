@@ -13,6 +13,7 @@ from tapeworks.session import scratch_path
 from tapeworks.sources.message_log import read_log, write_log
 from tapeworks.sources.messages import trades_as_ticks
 from tapeworks.streaming.jobs import candle_stream, rocksdb_state, sent_once, to_table
+from tapeworks.streaming.revised import last_revisions, late_ticks, revised_bars
 
 
 def _bars_sql(bucket: str, extra: str = "", having: str = "") -> str:
@@ -125,3 +126,37 @@ def stream_sent_once(t: Inputs) -> DataFrame:
     with rocksdb_state(t.spark):
         to_table(rows, path, f"{path}-checkpoint", once=True).start().awaitTermination()
     return t.spark.read.schema(rows.schema).parquet(path)
+
+
+# ticks of even ids come first; those of odd ids are late where the bar ended by the watermark, 3 days behind
+_LATE = f"""({MINUTE} + INTERVAL 1 MINUTE
+  <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 3 DAY FROM tick WHERE event_id % 2 = 0))"""
+
+
+def _revised(t: Inputs) -> DataFrame:
+    """All that a stream of revised bars gives for the even events, and after a restart for the odd ones."""
+    path = scratch_path(t.spark, "revised")
+    for rest in (0, 1):
+        t.table("events").where(F.col("event_id") % 2 == rest).write.mode("append").parquet(f"{path}/events")
+        events = t.spark.readStream.schema(t.table("events").schema).parquet(f"{path}/events")
+        rows = revised_bars(t.as_ticks(events), delay="3 days", tick_id="event_id")
+        with rocksdb_state(t.spark):
+            to_table(rows, f"{path}/bars", f"{path}/checkpoint", once=True).start().awaitTermination()
+    return t.spark.read.schema(rows.schema).parquet(f"{path}/bars")
+
+
+@query("stream_revised_bars", _bars_sql(MINUTE).replace("FROM tick GROUP BY", f"FROM tick WHERE event_id % 2 = 0 OR NOT {_LATE} GROUP BY"))
+def stream_revised_bars(t: Inputs) -> DataFrame:
+    """The last revision of every bar over two runs of a stream."""
+    newest = last_revisions(_revised(t)).withColumn("timestamp", F.unix_millis("begun"))
+    return _shown(newest)
+
+
+@query(
+    "stream_late_ticks",
+    o.with_(o.TICK) + f"""SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS event_ts, price, volume, event_id AS tick_id
+FROM tick WHERE event_id % 2 = 1 AND {_LATE}""",
+)
+def stream_late_ticks(t: Inputs) -> DataFrame:
+    """The ticks that came after their bar was closed, as rows."""
+    return late_ticks(_revised(t))
