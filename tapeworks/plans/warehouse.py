@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import suppress
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from tapeworks.operators.joins import lookup
 from tapeworks.plans import oracle as o
 from tapeworks.plans.catalog import query
 from tapeworks.plans.inputs import Inputs
+from tapeworks.runs import RunBroken, run_jobs
 from tapeworks.schemas import NATURAL_KEYS
 from tapeworks.session import scratch_path, staged
 from tapeworks.sources.bucketed import BucketedStore
@@ -206,6 +209,26 @@ def late_time_members(t: Inputs) -> DataFrame:
     return facts.withColumn("time_known", F.col("_known").isNotNull()).drop("_known")
 
 
+def _breaks_off(source: ParquetStore, warehouse: ParquetStore) -> int:
+    JOBS["fact_trade"](source, warehouse)
+    raise InterruptedError("the process ends after the rows were stored and before the log")
+
+
+@query("resumed_run", TRADE_SQL + "SELECT * FROM fact_trade")
+def resumed_run(t: Inputs) -> DataFrame:
+    """The facts after a run of jobs that broke off when they were stored, and was started again."""
+    source, warehouse = (ParquetStore(t.spark, scratch_path(t.spark, name)) for name in ("source", "warehouse"))
+    log, dims = scratch_path(t.spark, "run-log"), [*FACT_DIMS, "dim_date"]
+    source.append("raw_trade", t.trades())
+    source.append("raw_index", t.index_values())
+    source.append("corporation", t.corporations())
+    source.append("corporation_sector", t.sectors())
+    for jobs in (JOBS | {"fact_trade": _breaks_off}, JOBS):
+        with suppress(RunBroken):
+            run_jobs(t.spark, source, warehouse, log, "day", [*dims, "fact_trade"], jobs=jobs)
+    return warehouse.read("fact_trade")
+
+
 @query("batch_dates", f"SELECT DISTINCT {o.day_key('ts')} AS tradingdate_key FROM events")
 def batch_dates(t: Inputs) -> DataFrame:
     """The date keys of a whole batch."""
