@@ -85,7 +85,7 @@ def load_daily_features(source: Store, warehouse: Store) -> int:
 def append_unknown(warehouse: Store, table: str, rows: DataFrame) -> int:
     """Append the rows whose natural key is not stored yet, one of each."""
     keys = NATURAL_KEYS[table]
-    return warehouse.append(table, not_in(merge.first_by_key(rows, keys), warehouse.read(table), keys))
+    return warehouse.append(table, not_in(merge.first_by_key(rows, keys, meet=keys), warehouse.read(table), keys, keys))
 
 
 def train(source: Store, warehouse: Store) -> int:

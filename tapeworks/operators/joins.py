@@ -26,9 +26,27 @@ def lookup(
     return facts.join(right, condition, how).drop(*right_keys)
 
 
-def not_in(new: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``new`` whose key is absent from ``existing``; NULL key parts compare as equal."""
+def meeting(columns: Sequence[str]) -> Column:
+    """Hash by which rows alike in ``columns`` meet, NULL like NULL."""
+    return F.xxhash64(*columns)
+
+
+def all_same(keys: Sequence[str]) -> Column:
+    """Whether all ``keys`` equal their ``_have_`` columns, NULL like NULL, in a form that is no join key: the rows
+    meet by another one."""
+    return F.array_min(F.array(*[F.col(k).eqNullSafe(F.col(f"_have_{k}")) for k in keys]))
+
+
+def not_in(new: DataFrame, existing: DataFrame, keys: Sequence[str], meet: Sequence[str] = ()) -> DataFrame:
+    """Rows of ``new`` whose key is absent from ``existing``; NULL key parts compare as equal.
+
+    With ``meet``, some of the keys, rows meet by the hash of these and the whole key is compared there: rows
+    that ``first_by_key`` has sent by the same columns stay where they are. Few rows should share these columns.
+    """
     have = existing.select(*[F.col(k).alias(f"_have_{k}") for k in keys])
+    if meet:
+        there = meeting([f"_have_{k}" for k in meet])
+        return new.join(have, (meeting(meet) == there) & all_same(keys), "left_anti")
     condition = F.lit(True)
     for k in keys:
         condition = condition & F.col(k).eqNullSafe(F.col(f"_have_{k}"))

@@ -8,19 +8,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions.text import row_hash
-from tapeworks.operators.joins import not_in
+from tapeworks.operators.joins import meeting, not_in
 
 
-def first_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
+def first_by_key(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column] = (), meet: Sequence[str] = ()
+) -> DataFrame:
     """One row per key: the first by ``order``, then by every other column, NULLs first.
 
     Spark keeps only the first row of each key before the shuffle, so copies of one key do not
-    pile up in a task.
+    pile up in a task. That sorts the rows where they are read. With ``meet``, some of the keys, rows go
+    unsorted to the task of the hash of these instead, where ``not_in`` on the same columns finds them in place.
     """
     rest = [F.col(c).asc_nulls_first() for c in df.columns if c not in keys]
     if not rest and not order:
         return df.distinct()
-    window = Window.partitionBy(*keys).orderBy(*order, *rest)
+    together = [meeting(meet)] if meet else []
+    df = df.repartition(*together) if meet else df
+    # the hash comes last, so that rows leave in the order of their keys, which packs better than one of hashes
+    window = Window.partitionBy(*keys, *together).orderBy(*order, *rest)
     return df.withColumn("_rank", F.row_number().over(window)).where("_rank = 1").drop("_rank")
 
 

@@ -17,6 +17,8 @@ from tapeworks.schemas import (
 
 MONEY = "decimal(18,2)"
 DATE_KEY = "tradingdate_key"
+#: Columns of both the key that facts are made single by and the key they are stored by: one exchange serves both.
+MEET = {table: [k for k in NATURAL_KEYS[table] if k in keys] for table, keys in DEDUPE_KEYS.items()}
 
 
 class Link(NamedTuple):
@@ -160,7 +162,7 @@ def trade_star(raw: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
 
 
 def trade_facts(raw: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
-    return first_by_key(trade_star(raw, dims), DEDUPE_KEYS["fact_trade"])
+    return first_by_key(trade_star(raw, dims), DEDUPE_KEYS["fact_trade"], meet=MEET["fact_trade"])
 
 
 def quote_star(raw: DataFrame, dims: dict[str, DataFrame], levels: int = 3) -> DataFrame:
@@ -177,7 +179,7 @@ def quote_star(raw: DataFrame, dims: dict[str, DataFrame], levels: int = 3) -> D
 
 def quote_facts(raw: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
     star = quote_star(raw, dims).select(*_fact_columns("fact_quote"))
-    return first_by_key(star, DEDUPE_KEYS["fact_quote"])
+    return first_by_key(star, DEDUPE_KEYS["fact_quote"], meet=MEET["fact_quote"])
 
 
 def index_star(raw: DataFrame, dims: dict[str, DataFrame], *carry: str) -> DataFrame:
@@ -195,15 +197,17 @@ def index_facts(raw: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
 # New rows
 
 
-def new_rows(facts: DataFrame, existing: DataFrame, keys: Sequence[str], batch_dates: DataFrame) -> DataFrame:
+def new_rows(
+    facts: DataFrame, existing: DataFrame, keys: Sequence[str], batch_dates: DataFrame, meet: Sequence[str] = ()
+) -> DataFrame:
     """Fact rows not yet stored, over all dates of the batch in one pass.
 
     Stored rows of other dates are left out before the anti join. ``batch_dates`` holds the date
-    keys of the batch: at most one row per calendar day once made distinct.
+    keys of the batch: at most one row per calendar day once made distinct. ``meet`` is as in ``not_in``.
     """
     days = batch_dates.select(F.col(DATE_KEY).alias("_day")).distinct()
     touched = existing.join(days, F.col(DATE_KEY).eqNullSafe(F.col("_day")), "left_semi")
-    return not_in(facts, touched, keys)
+    return not_in(facts, touched, keys, meet)
 
 
 def rows_per_day(rows: DataFrame) -> DataFrame:

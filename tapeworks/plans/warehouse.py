@@ -154,7 +154,8 @@ def _fresh_trades(t: Inputs) -> DataFrame:
     """Facts of all trades against a warehouse that holds the trades before the cutoff."""
     trades, dims = t.trades(), t.dims(*FACT_DIMS)
     stored = star.trade_facts(t.trades(before=CUTOFF), dims)
-    return star.new_rows(star.trade_facts(trades, dims), stored, NATURAL_KEYS["fact_trade"], _date_keys(t.trades(dealt_out=False)))
+    dates = _date_keys(t.trades(dealt_out=False))
+    return star.new_rows(star.trade_facts(trades, dims), stored, NATURAL_KEYS["fact_trade"], dates, star.MEET["fact_trade"])
 
 
 @query("fact_new_rows", TRADE_SQL + f"SELECT * FROM fact_trade WHERE tradingdate_key >= {CUTOFF_KEY}")

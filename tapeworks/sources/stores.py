@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from tapeworks.operators.joins import not_in
 from tapeworks.operators.merge import first_by_key, upsert
-from tapeworks.operators.star import DATE_KEY, new_rows
+from tapeworks.operators.star import DATE_KEY, MEET, new_rows
 from tapeworks.schemas import CHANNELS, NATURAL_KEYS, TABLES
 from tapeworks.session import path_exists, staged
 from tapeworks.sources.files import replace_table
@@ -90,7 +90,7 @@ class ParquetStore:
 
     def unstored(self, table: str, facts: DataFrame, months: list[int], days: DataFrame) -> DataFrame:
         """Facts of ``months`` and ``days`` (date keys) that are not stored yet."""
-        return new_rows(facts, self.read(table, months), NATURAL_KEYS[table], days)
+        return new_rows(facts, self.read(table, months), NATURAL_KEYS[table], days, MEET.get(table, ()))
 
     def append(self, table: str, rows: DataFrame) -> int:
         """Append and count. Facts are grouped by month into files of even size; the rebalance hint
@@ -196,7 +196,7 @@ class JdbcStore:
         return rows.where(wanted)
 
     def unstored(self, table: str, facts: DataFrame, months: list[int], days: DataFrame) -> DataFrame:
-        return new_rows(facts, self.read(table, months), NATURAL_KEYS[table], days)
+        return new_rows(facts, self.read(table, months), NATURAL_KEYS[table], days, MEET.get(table, ()))
 
     def append(self, table: str, rows: DataFrame) -> int:
         name = self.names.get(table, table)

@@ -318,3 +318,29 @@ def test_writers_of_one_bucket_take_turns(spark, monkeypatch):
     store.upsert("index_list", batch("A", "mine"))
     assert [r["index_name"] for r in store.read("index_list").collect()] == ["mine"]
     assert not late
+
+
+@pytest.mark.parametrize("table", ["fact_trade", "daily_price"])
+def test_a_load_sends_its_rows_once(spark, dims, table):
+    """One exchange makes rows single and brings them to the stored rows; nothing is sorted before it."""
+    keys = schemas.NATURAL_KEYS[table]
+    if table == "fact_trade":
+        raw = trade(spark, (DAY1, "09:30:00", "VCB", 10.0, 1.0, 10.0))
+        batch = star.trade_facts(raw, {name: dim.hint("broadcast") for name, dim in dims.items()})
+    else:
+        batch = spark.createDataFrame([("A", None)], "symbol_id string, trading_date date").transform(
+            lambda rows: merge.first_by_key(rows.withColumn("price", F.rand()), keys, meet=keys))
+    stored = batch.select(*keys).distinct().hint("merge")
+    fresh = joins.not_in(batch, stored, keys, star.MEET.get(table, keys))
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    own = plan[:plan.index("+- Sort [xxhash64(_have")] if "+- Sort [xxhash64(_have" in plan else plan
+    assert own.count("Exchange hashpartitioning(") == 1 and "Partial" not in own and fresh.count() == 0
+
+
+def test_rows_meet_by_a_part_of_their_key(spark):
+    have = [(1, None, 5), (1, 2, 5), (None, 2, 7)]
+    new = [(1, None, 5), (1, None, 6), (None, 2, 7), (None, None, 7), (1, 2, 5), (1, 2, 5), (3, 3, 3)]
+    frame = lambda given: spark.createDataFrame(given, "a int, b int, c int")
+    single = merge.first_by_key(frame(new).withColumn("d", F.lit(1)), ["a", "b", "c"], meet=["a", "b"])
+    fresh = joins.not_in(single, frame(have), ["a", "b", "c"], ["a", "b"])
+    assert {tuple(r)[:3] for r in fresh.collect()} == {(1, None, 6), (None, None, 7), (3, 3, 3)} and fresh.count() == 3
