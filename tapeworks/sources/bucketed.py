@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tapeworks.operators.joins import all_same
 from tapeworks.operators.star import DATE_KEY
 from tapeworks.schemas import NATURAL_KEYS, TABLES
 from tapeworks.session import file_system, path_exists
@@ -68,20 +69,21 @@ class BucketedStore(ParquetStore):
             return super().append(table, rows)
         name = self._opened(table)
         buckets = int(self.spark.sql(f"DESCRIBE EXTENDED {name}").where("col_name = 'Num Buckets'").first()[1])
-        keyed = rows.select("*", _key_hash(table), month_of(F.col(DATE_KEY)).alias(MONTH))
+        keyed = rows if KEY_HASH in rows.columns else rows.withColumn(KEY_HASH, _key_hash(table))
+        keyed = keyed.withColumn(MONTH, month_of(F.col(DATE_KEY)))
         return counted(keyed, lambda df: (
             df.repartition(buckets, KEY_HASH).select(*self.spark.table(name).columns).write.insertInto(name)
         ))
 
     def unstored(self, table: str, facts: DataFrame, months: list[int], days: DataFrame) -> DataFrame:
-        """Facts that are not stored yet. Stored rows stay in their buckets and the facts are sent to them.
+        """Facts that are not stored yet, with their hash. Stored rows stay in their buckets and the facts are sent to
+        them; ``append`` finds the new ones there and moves them no more.
 
         Rows meet by the hash alone, which is how the table is laid out; the columns of the key, NULL equal to NULL, are
         compared where they have met. ``days`` isn't needed: the months prune the table.
         """
         keys = NATURAL_KEYS[table]
         have = self._stored(table, months).select(F.col(KEY_HASH).alias("_have"), *[F.col(k).alias(f"_have_{k}") for k in keys])
-        # equalities outside an array would become join keys, and the layout would no longer fit
-        same = F.array_min(F.array(*[F.col(k).eqNullSafe(F.col(f"_have_{k}")) for k in keys]))
         keyed = facts.withColumn(KEY_HASH, _key_hash(table))
-        return keyed.join(have, (F.col(KEY_HASH) == F.col("_have")) & same, "left_anti").drop(KEY_HASH)
+        # equalities outside an array would become join keys, and the layout would no longer fit
+        return keyed.join(have, (F.col(KEY_HASH) == F.col("_have")) & all_same(keys), "left_anti")
