@@ -32,7 +32,8 @@ def trading_date(text: Column) -> Column:
     """Wire date ``dd/MM/yyyy`` (one-digit day and month allowed) of the years 1900 to 2199, else NULL."""
     text = F.trim(text)
     wire_form = text.rlike(r"^\d{1,2}/\d{1,2}/(19|2[01])\d{2}$")
-    return F.when(wire_form, F.try_to_date(text, "d/M/yyyy"))
+    year_first = F.concat_ws("-", *[F.split_part(text, F.lit("/"), F.lit(part)) for part in (3, 2, 1)])
+    return F.when(wire_form, year_first.try_cast("date"))  # several times faster than a date pattern
 
 
 def now_ms() -> Column:

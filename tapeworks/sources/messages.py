@@ -10,6 +10,7 @@ from tapeworks.functions.times import ms_to_moment, trading_date
 
 Fields = list[tuple[str, str, str]]
 BROKEN = "_broken"
+NUMBERS = ("double", "int", "bigint")
 
 
 def text_struct(json: Column, names: list[str]) -> Column:
@@ -18,6 +19,16 @@ def text_struct(json: Column, names: list[str]) -> Column:
     return F.from_json(json, schema, {"columnNameOfCorruptRecord": BROKEN})
 
 
+def typed_struct(json: Column, fields: Fields) -> Column:
+    """Parse a JSON object whose numbers are JSON numbers of their kind; what holds others ends in ``BROKEN``.
+
+    Numbers are read in place, where ``text_struct`` writes each of them to text first.
+    """
+    kinds = [f"`{wire}` {kind if kind in NUMBERS else 'string'}" for wire, _, kind in fields]
+    options = {"columnNameOfCorruptRecord": BROKEN, "allowNonNumericNumbers": "false"}
+    return F.from_json(json, ", ".join([*kinds, f"`{BROKEN}` string"]), options)
+
+
 def with_record(df: DataFrame, json: str, names: list[str]) -> DataFrame:
     """Add ``_record``, the ``text_struct`` of a JSON column.
 
@@ -42,20 +53,27 @@ def typed(text: Column, kind: str) -> Column:
     return number(text, kind)
 
 
-def typed_columns(record: str, fields: Fields) -> list[Column]:
-    return [typed(F.col(record)[wire], kind).alias(column) for wire, column, kind in fields]
-
-
 def decode_envelopes(messages: DataFrame, fields: Fields, value: str = "value", *keep: str) -> DataFrame:
-    """Typed fields of ``{"Content": "<JSON text>"}`` messages and the ``reject_reason`` of bad ones."""
+    """Typed fields of ``{"Content": "<JSON text>"}`` messages and the ``reject_reason`` of bad ones.
+
+    Content is parsed with its numbers typed; only where that fails (numbers sent as text, broken content), it is
+    parsed again with every field as text.
+    """
     content = F.get_json_object(F.col(value), "$.Content")
-    opened = with_record(messages.withColumn("_content", content), "_content", [wire for wire, _, _ in fields])
+    quick = F.explode(F.array(typed_struct(F.col("_content"), fields))).alias("_quick")  # as in ``with_record``
+    parsed = messages.withColumn("_content", content).select("*", quick)
+    failed = F.col("_quick")[BROKEN].isNotNull()
+    opened = with_record(parsed.withColumn("_again", F.when(failed, F.col("_content"))), "_again", [w for w, _, _ in fields])
+    columns = [
+        F.when(failed, typed(F.col("_record")[wire], kind))
+        .otherwise(F.col("_quick")[wire] if kind in NUMBERS else typed(F.col("_quick")[wire], kind))
+        .alias(column)
+        for wire, column, kind in fields
+    ]
     reason = F.when(F.col("_content").isNull(), "no content").when(
         ~is_object(F.col("_content"), F.col("_record")), "content is not a JSON object"
     )
-    return opened.select(
-        *keep, F.col(value).alias("_message"), *typed_columns("_record", fields), reason.alias("reject_reason")
-    )
+    return opened.select(*keep, F.col(value).alias("_message"), *columns, reason.alias("reject_reason"))
 
 
 def good(decoded: DataFrame) -> DataFrame:

@@ -34,13 +34,9 @@ def load_rows(rows: DataFrame, fields: Fields, code: str, *keep: str) -> DataFra
     date_text = F.trim(F.col("TradingDate"))
     bad_date = (date_text != "") & trading_date(date_text).isNull()
     reason = F.when(or_blank(F.col(code)).isNull(), "no code").when(bad_date, "bad date")
-    texts = {
-        wire: F.trim(F.col(wire)) if kind == "string" else F.when(F.trim(F.col(wire)) != "", F.trim(F.col(wire)))
-        for wire, _, kind in fields
-    }
     return rows.select(
         *keep,
-        *[typed(texts[wire], kind).alias(column) for wire, column, kind in fields],
+        *[typed(F.trim(F.col(wire)), kind).alias(column) for wire, column, kind in fields],  # an empty number is no number
         reason.alias("reject_reason"),
     )
 
