@@ -13,6 +13,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tapeworks.functions.numbers import rounded
 from tapeworks.functions.scaling import minmax
 from tapeworks.functions.times import clock_key
 from tapeworks.operators.joins import lookup
@@ -53,11 +54,17 @@ def daily_series(trades: DataFrame) -> DataFrame:
 
 def _trade_order(at: Column, price: Column, columns: Sequence[str]) -> Column:
     """Time, price in ten-thousandths and a hash of ``columns``, packed in one DECIMAL(38): a number stays in a
-    hash aggregate, where a struct would force a sort of all trades. Missing parts come first."""
-    whole = F.coalesce(F.round(price * 10_000).try_cast("decimal(17,0)"), F.lit(Decimal(-10**16)))
-    tie = F.pmod(F.xxhash64(*columns), F.lit(10**14)).cast("decimal(14,0)")
-    shifted = F.coalesce(at, F.lit(-1)).cast("decimal(6,0)") * F.lit(Decimal(10**17)) + whole.cast("decimal(18,0)")
-    return (shifted.cast("decimal(24,0)") * F.lit(Decimal(10**14)) + tie).cast("decimal(38,0)")
+    hash aggregate, where a struct would force a sort of all trades. Missing parts come first.
+
+    The parts are put together as two BIGINTs first, for arithmetic of wide decimals is slow: time and the upper
+    bits of the price (at most 18 and 45 bits), then its lower 13 bits and the hash.
+    """
+    parts = rounded(price * 10_000, 0)
+    whole = F.when(F.abs(parts) < 1e17, parts.cast("bigint")).otherwise(F.lit(-(10**16)))
+    above = whole + 10**17
+    high = (F.coalesce(at, F.lit(-1)) + 1).cast("bigint") * 2**45 + F.shiftright(above, 13)
+    low = above.bitwiseAND(F.lit(8191)) * 10**14 + F.pmod(F.xxhash64(*columns), F.lit(10**14))
+    return (high.cast("decimal(19,0)") * F.lit(Decimal(10**18)) + low.cast("decimal(18,0)")).cast("decimal(38,0)")
 
 
 def feature_bounds(rows: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
@@ -68,8 +75,9 @@ def feature_bounds(rows: DataFrame, features: Sequence[str] = FEATURES) -> DataF
 
 def scaled(series: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     """Features scaled to [0, 1] per symbol."""
-    scale = {c: minmax(F.col(c), F.min(c).over(by_symbol()), F.max(c).over(by_symbol())) for c in features}
-    return series.withColumns(scale)
+    bounds = [f(c).over(by_symbol()).alias(f"_{n}_{c}") for c in features for n, f in (("low", F.min), ("high", F.max))]
+    scale = {c: minmax(F.col(c), F.col(f"_low_{c}"), F.col(f"_high_{c}")) for c in features}
+    return series.select("*", *bounds).withColumns(scale).select(*series.columns)
 
 
 def with_min_history(series: DataFrame, rows: int = 3) -> DataFrame:

@@ -11,6 +11,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeworks.functions.numbers import rounded
 from tapeworks.functions.times import clock_text
 from tapeworks.operators.merge import surrogate_keys
 from tapeworks.operators.star import date_members, name_members, symbol_members, time_members
@@ -35,7 +36,7 @@ SCHEMAS = {
 
 
 def cents(column: str) -> Column:
-    return F.round(F.col(column) * 100).cast("bigint")
+    return rounded(F.col(column) * 100, 0).cast("bigint")
 
 
 def money(amount: Column) -> Column:
@@ -68,10 +69,9 @@ class Inputs:
         if before:
             rows = rows.where(day < F.lit(before).cast("timestamp_ntz"))
         rows = spread(rows) if dealt_out else rows
-        rows = rows.withColumns(
+        rows = rows.withColumn("_total", cents("l_extendedprice")).withColumns(
             {
-                "_px": F.expr("(2 * cast(round(l_extendedprice * 100) as bigint) + cast(l_quantity as bigint))"
-                              " div (2 * cast(l_quantity as bigint))"),
+                "_px": F.expr("(2 * _total + cast(l_quantity as bigint)) div (2 * cast(l_quantity as bigint))"),
                 "_at": (F.col("l_orderkey") * 60 + F.col("l_linenumber")) % 86400,
             }
         )

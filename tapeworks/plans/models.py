@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeworks.etl import JOBS
+from tapeworks.functions.numbers import rounded
 from tapeworks.functions.scaling import minmax, minmax_back
 from tapeworks.functions.times import clock_key
 from tapeworks.operators import forecast, series, ticks
@@ -27,7 +28,7 @@ MARKED = "symbol::INT % 3 <> 0"  # symbols that have been trained up to the mark
 
 
 def _shown(rows: DataFrame, *first: str) -> DataFrame:
-    return rows.select(*first, *[F.round(c, 4).alias(c) for c in FEATURES])
+    return rows.select(*first, *[rounded(F.col(c), 4).alias(c) for c in FEATURES])
 
 
 def _daily(t: Inputs) -> DataFrame:
@@ -76,7 +77,7 @@ def _scaled_sql(c: str) -> str:
 )
 def minmax_scale(t: Inputs) -> DataFrame:
     scaled = series.scaled(_daily(t))
-    return scaled.select("symbol", "tradingdate", *[F.round(c, 6).alias(c) for c in FEATURES])
+    return scaled.select("symbol", "tradingdate", *[rounded(F.col(c), 6).alias(c) for c in FEATURES])
 
 
 @query(
@@ -145,7 +146,7 @@ def _flat(rows: DataFrame, length: int, *first) -> DataFrame:
     columns = series.step_columns(rows, length)
     flat = rows.select(*first, *columns)
     names = [c for c in flat.columns if c.rsplit("_", 1)[0] in FEATURES]
-    return flat.withColumns({c: F.round(c, 4) for c in names})
+    return flat.withColumns({c: rounded(F.col(c), 4) for c in names})
 
 
 @query(
@@ -155,7 +156,7 @@ def _flat(rows: DataFrame, length: int, *first) -> DataFrame:
 FROM series QUALIFY row_number() {BY_DAY} > 2""",
 )
 def sequences(t: Inputs) -> DataFrame:
-    return _flat(series.sequences(_daily(t), 2), 2, "symbol", "label_date", F.round("label", 4).alias("label"))
+    return _flat(series.sequences(_daily(t), 2), 2, "symbol", "label_date", rounded(F.col("label"), 4).alias("label"))
 
 
 @query(
@@ -206,7 +207,7 @@ FROM series WHERE NOT ({MARKED}) OR series.tradingdate > '{MARK}' QUALIFY row_nu
 def incremental_sequences(t: Inputs) -> DataFrame:
     daily = _stored(t)
     runs = series.incremental_sequences(daily, _marks(daily), 2)
-    return _flat(runs, 2, "symbol", "label_date", F.round("label", 4).alias("label"))
+    return _flat(runs, 2, "symbol", "label_date", rounded(F.col("label"), 4).alias("label"))
 
 
 # Sequences over single trades; a busy symbol's trades are cut along their order

@@ -1,8 +1,11 @@
 import datetime as dt
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tapeworks.functions import scaling, text, times
+from tapeworks.functions.numbers import rounded
 
 
 def column(spark, values, kind, expression):
@@ -62,3 +65,14 @@ def test_or_blank(spark):
 
 def test_numbers(spark):
     assert column(spark, ["12", "12.7", "x", None], "string", lambda v: text.number(v, "bigint")) == [12, 12, None, None]
+
+
+@pytest.mark.parametrize("digits", [0, 4, 6])
+def test_rounded_equals_round(spark, digits):
+    draw = random.Random(3)
+    values = [None, 0.0, -0.0, float("nan"), float("inf"), -float("inf"), 1e300, -1e-300, 0.5, -0.5, 2.5, 0.00005, 1.00005, 1.005]
+    values += [draw.choice([-1, 1]) * (k + 0.5) / 10**digits for k in range(200)]
+    values += [draw.uniform(-1, 1) * 10 ** draw.randrange(-8, 18) for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = df.select(rounded(F.col("v"), digits).alias("got"), F.round("v", digits).alias("want")).collect()
+    assert [repr(r.got) for r in got] == [repr(r.want) for r in got]

@@ -196,6 +196,24 @@ def test_segments_do_not_change_results(spark, target):
     assert max(r["count"] for r in sizes) < 2 * target
 
 
+def test_scaling_takes_each_bound_once(spark):
+    plan = series.scaled(daily(spark, A=[1, 2, 3]), ["last_price"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("windowspecdefinition(") == 2
+
+
+def test_order_of_trades(spark):
+    """Time, then price in ten-thousandths; what can't be told comes first."""
+    prices = [None, -1e12, -1.5, 0.0, 0.0001, 2.4, 2.5, 1e9, 1e12]
+    times = [None, 0, 1, 235959]
+    rows = [(t, p) for t in times for p in prices]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, at int, price double")
+    order = series._trade_order(F.col("at"), F.col("price"), ["price"]).alias("order")
+    assert [r.i for r in df.select("i", order).orderBy("order").collect()] == list(range(len(rows)))
+    odd = spark.createDataFrame([(p,) for p in (float("nan"), float("inf"), 1e300, None)], "price double")
+    firsts = odd.withColumn("v", F.lit(1)).select(series._trade_order(F.lit(0), F.col("price"), ["v"]))
+    assert firsts.distinct().count() == 1
+
+
 def test_metrics_without_test_rows_are_null(spark):
     got = {r.symbol: r for r in forecast.evaluate(daily(spark, A=[1, 2], B=[1, 3, 2, 5, 4, 6, 5, 8])).collect()}
     assert got["A"].mse is None or got["A"].test_rows > 0
