@@ -84,6 +84,59 @@ def test_busy_keys_are_cut_into_even_segments(spark):
     assert [r.segment for r in sizes if r.k == "cold"] == [0]
 
 
+@pytest.mark.parametrize("group, joins", [(32, 1), (4, 2), (2, 4)])
+def test_rows_are_shuffled_once_for_their_sequences(spark, group, joins, monkeypatch):
+    """And compared with few segments on their way: ten segments of a key take a join for each level of groups."""
+    monkeypatch.setattr(ticks, "GROUP", group)
+    _, df = tick_rows(spark, {"hot": 200, "cold": 3})
+    runs = ticks.tick_sequences(df, "k", "slot", ["at"], ["price"], 4, 20)
+    plan = runs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1 and plan.count("BroadcastHashJoin") == joins
+
+
+@pytest.mark.parametrize("reach", [1, 7, 60])
+def test_segments_are_given_whole_pieces_within_reach(spark, reach):
+    _, df = tick_rows(spark, {"hot": 200, "cold": 3})
+    cut, _ = ticks.cut_segments(df, "k", "slot", 20, ["at"], reach)
+    got = {}
+    for r in cut.collect():
+        got.setdefault((r.k, r.segment), {True: [], False: []})[r.own].append(r["at"])
+    cold = got.pop(("cold", 0))
+    assert sorted(cold[True]) == [0, 1, 2] and not cold[False]
+    assert sorted(i for parts in got.values() for i in parts[True]) == list(range(200))
+    for parts in got.values():
+        start, lent = min(parts[True]), sorted(parts[False])
+        assert lent == list(range(start - len(lent), start))
+        assert min(start, reach) <= len(lent) < reach + 7
+
+
+@pytest.mark.parametrize("broadcast", [-1, 10_000_000])
+@pytest.mark.parametrize("target, group", [(1, 32), (1, 4), (6, 2), (30, 32)])
+def test_sequences_over_uneven_pieces(spark, target, group, broadcast, monkeypatch):
+    """Missing slots, prices that are missing or no number, segments smaller than a history, and joins by sorting."""
+    monkeypatch.setattr(ticks, "GROUP", group)
+    draw = random.Random(7)
+    slots = [None] * 3 + [s for s in range(25) for _ in range(draw.choice([1, 1, 2, 9, 14]))]
+    prices = [draw.choice([None, -0.0, 0.0, float("nan"), float("-inf"), 2.5, float(i)]) for i in range(len(slots))]
+    given = [("hot", slot, price, i) for i, (slot, price) in enumerate(zip(slots, prices))]
+    draw.shuffle(given)
+    df = spark.createDataFrame(given, "k string, slot int, price double, id int").repartition(4)
+    low, high = -float("inf"), float("inf")
+    rank = lambda r: (-1 if r[1] is None else r[1], (0, low) if r[2] is None else (2, high) if r[2] != r[2] else (1, r[2]), r[3])
+    ids = [r[3] for r in sorted(given, key=rank)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        order = ["slot", "price", "id"]
+        runs = ticks.tick_sequences(df, "k", "slot", order, ["id"], 8, target).collect()
+        placed = ticks.tick_positions(df, "k", "slot", order, target).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {r.label: [s.id for s in r.steps] for r in runs} == {ids[i]: ids[i - 8:i] for i in range(8, len(ids))}
+    assert len(runs) == len(ids) - 8
+    assert {r.id: r.position for r in placed} == {d: i for i, d in enumerate(ids, 1)}
+
+
 def copies(spark):
     """A key of which most rows are copies of one row, within a single slot."""
     rows = [("hot", i, i, float(i % 5)) for i in range(40)] + [("hot", 17, 17, 9.0)] * 95 + [("cold", 1, 1, 2.0)] * 4
