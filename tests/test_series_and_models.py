@@ -94,6 +94,16 @@ def test_rows_are_shuffled_once_for_their_sequences(spark, group, joins, monkeyp
     assert plan.count("Exchange hashpartitioning(") == 1 and plan.count("BroadcastHashJoin") == joins
 
 
+@pytest.mark.parametrize("target", [20, 1000])
+def test_values_are_shuffled_once_for_their_sequences(spark, target):
+    """Not as columns and again as the structs that the histories are made of."""
+    _, df = tick_rows(spark, {"hot": 200, "cold": 3})
+    runs = ticks.tick_sequences(df, "k", "slot", ["at", "price"], ["price"], 4, target)
+    plan = runs._jdf.queryExecution().executedPlan().toString()
+    _, shuffled = plan.split("Exchange hashpartitioning(")
+    assert "struct(price" not in shuffled
+
+
 @pytest.mark.parametrize("reach", [1, 7, 60])
 def test_segments_are_given_whole_pieces_within_reach(spark, reach):
     _, df = tick_rows(spark, {"hot": 200, "cold": 3})
