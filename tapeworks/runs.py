@@ -55,8 +55,8 @@ def run_jobs(
     """Run the ``wanted`` jobs (all by default) that ``run`` has not finished; returns the rows each one stored.
 
     Jobs that do not depend on each other run ``side_by_side``. ``given`` holds arguments of single jobs, such as
-    ``{"fact_trade": {"as_of": "2025-01-06"}}``. Needed jobs that are not wanted count as done. If jobs fail, those that
-    don't need them still run before ``RunBroken`` is raised.
+    ``{"fact_trade": {"as_of": "2025-01-06"}}``. Needed jobs that are not wanted count as done, but what they need in turn
+    still comes first. If jobs fail, those that don't need them still run before ``RunBroken`` is raised.
     """
     names = set(jobs if wanted is None else wanted)
     if unknown := names - set(jobs):
@@ -64,7 +64,11 @@ def run_jobs(
     folder = f"{log}/run={run}"
     finished = {r["job"] for r in run_log(spark, folder).select("job").collect()}  # one row a job
     left = names - finished
-    order = TopologicalSorter({job: [n for n in after.get(job, ()) if n in left] for job in sorted(left)})
+
+    def needs(job: str) -> set[str]:
+        return {found for n in after.get(job, ()) for found in ({n} if n in left else needs(n))}
+
+    order = TopologicalSorter({job: needs(job) for job in sorted(left)})
     order.prepare()
 
     def attempt(job: str) -> int:
@@ -84,11 +88,11 @@ def run_jobs(
                 break
             for ended in wait(working, return_when=FIRST_COMPLETED).done:
                 job = working.pop(ended)
-                if error := ended.exception():
+                if (error := ended.exception()) is not None:
                     errors[job] = error
                 else:
                     rows[job] = ended.result()
                     order.done(job)
     if errors:
-        raise RunBroken(run, errors)
+        raise RunBroken(run, errors) from next(iter(errors.values()))
     return rows
