@@ -94,6 +94,40 @@ def test_rows_are_shuffled_once_for_their_sequences(spark, group, joins, monkeyp
     assert plan.count("Exchange hashpartitioning(") == 1 and plan.count("BroadcastHashJoin") == joins
 
 
+@pytest.mark.parametrize("group, levels", [(32, 1), (4, 2)])
+def test_rows_meet_many_bounds_without_another_shuffle(spark, group, levels, monkeypatch):
+    """Bounds too many for a broadcast are sent to the rows: an exchange of theirs, and one of the rows for each level."""
+    monkeypatch.setattr(ticks, "GROUP", group)
+    _, df = tick_rows(spark, {"hot": 200, "cold": 3})
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = ticks.tick_sequences(df, "k", "slot", ["at"], ["price"], 4, 20)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    shuffled = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert len([line for line in shuffled if "(k#" in line]) == levels and len(shuffled) == 2 * levels
+
+
+def test_borders_are_copied_after_the_shuffle(spark):
+    """Small segments go to a task together, so the rows that several of them need are sent there once."""
+    _, df = tick_rows(spark, {"hot": 200, "cold": 3})
+    cut, _ = ticks.cut_segments(df, "k", "slot", 20, ["at"], 60)
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("BroadcastHashJoin") < plan.index("Exchange hashpartitioning(")
+    homes = cut.withColumn("task", F.spark_partition_id()).groupBy("k", "group").agg(F.countDistinct("task").alias("n"))
+    assert {r.n for r in homes.collect()} == {1}
+
+
+@pytest.mark.parametrize("most", [20, 10_000])
+def test_large_segments_go_to_tasks_of_their_own(spark, most, monkeypatch):
+    monkeypatch.setattr(ticks, "SEGMENT_ROWS", most)
+    _, df = tick_rows(spark, {"hot": 700, "cold": 3})
+    cut, _ = ticks.cut_segments(df, "k", "slot", 20, ["at"], 4)
+    groups = cut.groupBy("k", "group").agg(F.countDistinct("segment").alias("n")).where("k = 'hot'").collect()
+    assert max(r.n for r in groups) == (1 if most == 20 else 32)
+
+
 @pytest.mark.parametrize("target", [20, 1000])
 def test_values_are_shuffled_once_for_their_sequences(spark, target):
     """Not as columns and again as the structs that the histories are made of."""
